@@ -222,3 +222,55 @@ def shuffled_rank(
     return local.join(carry, [*keys, BLOCK]).select(
         *df.columns, (F.col("_before") + F.col("_r") - 1).alias(name)
     )
+
+
+def running_min(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: str,
+    name: str,
+    min_rows: int = MIN_ROWS,
+) -> DataFrame:
+    """Minimum of the column over all earlier rows of the key (NULL at the first)."""
+    split = split_hot(df, keys, order[0], min_rows)
+    window = (
+        Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    before = (
+        Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    carry = (
+        split.filter(HOT)
+        .groupBy(*keys, BLOCK)
+        .agg(F.min(value).alias("_m"))
+        .select(*keys, BLOCK, F.min("_m").over(before).alias("_c"))
+    )
+    joined = _finish(split.withColumn("_s", F.min(value).over(window)), carry, keys)
+    return joined.select(*df.columns, F.least("_s", "_c").alias(name))
+
+
+def digest_cutoff(drawn: DataFrame, n: Column) -> Column:
+    """The n-th smallest ``_d`` digest as a scalar; NULL when n is 0.
+
+    A histogram over 4096 digest prefixes finds the block that holds it and only
+    that block's rows are ranked. Choosing n random rows then is a filter on the
+    scan, with no shuffle of the rows themselves.
+    """
+    prefixed = drawn.select("_d", F.substring("_d", 1, 3).alias(BLOCK))
+    before = Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    target = (
+        prefixed.groupBy(BLOCK)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select(BLOCK, "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        .withColumn("_want", n)
+        .filter((F.col("_before") < F.col("_want")) & (F.col("_want") <= F.col("_before") + F.col("_n")))
+        .select(BLOCK, (F.col("_want") - F.col("_before")).alias("_k"))
+    )
+    return (
+        prefixed.join(F.broadcast(target), BLOCK)
+        .withColumn("_r", F.row_number().over(Window.partitionBy(BLOCK).orderBy("_d")))
+        .filter(F.col("_r") == F.col("_k"))
+        .agg(F.max("_d"))
+        .scalar()
+    )
