@@ -5,10 +5,11 @@ key with more than its share of rows is cut into blocks along the order column;
 the window runs per (key, block) and the effect of earlier or later blocks
 arrives as a carry from a table with one row per block.
 
-Both helper tables are bounded by construction. A key counts as hot when it has
-more than ``max(min_rows, total / MAX_HOT)`` rows, so there are fewer than
-``MAX_HOT`` hot keys, and a block stands for that many rows, so there are fewer
-than ``2 * MAX_HOT`` blocks in all. Broadcasting them is safe at any scale.
+A key counts as hot when it has more than ``max(min_rows, total / MAX_HOT)``
+rows, so there are fewer than ``MAX_HOT`` hot keys, and a block stands for that
+many rows, so there are fewer than ``2 * MAX_HOT`` blocks in all. Hot keys may
+therefore be listed on the driver and carries may be broadcast at any scale.
+Without hot keys a scan is one ordinary window.
 
 Keys and order columns must not be NULL.
 """
@@ -16,11 +17,13 @@ Keys and order columns must not be NULL.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tensorloom.functions.draws import digest
+from tensorloom.session import durable
 
 MAX_HOT = 10_000
 MIN_ROWS = 1_000_000
@@ -29,41 +32,69 @@ BLOCK = "_block"
 HOT = "_hot"
 
 
-def split_hot(
-    df: DataFrame, keys: Sequence[str], order: str, min_rows: int = MIN_ROWS
-) -> DataFrame:
-    """Add ``_block`` (0 for ordinary keys) and ``_hot``.
+@dataclass(frozen=True)
+class Split:
+    """Hot keys of a table with the range of their order column and slice count."""
 
-    ``order`` is a numeric column; blocks are equal slices of the hot key's own
-    range of it, so rows that compare equal share a block.
-    """
-    # One counting pass gives both numbers: the total is the sum of the counts.
+    keys: tuple[str, ...]
+    order: str
+    hot: DataFrame | None
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        """Add ``_block`` (0 for ordinary keys) and ``_hot`` where there are hot keys.
+
+        Blocks are equal slices of the key's own range of the order column, so
+        rows that compare equal share a block.
+        """
+        if self.hot is None or BLOCK in df.columns:
+            return df
+        span = F.col("_hi") - F.col("_lo") + F.lit(1)
+        slice_no = F.floor((F.col(self.order) - F.col("_lo")) * F.col("_slices") / span)
+        return (
+            df.join(F.broadcast(self.hot), list(self.keys), "left")
+            .withColumn(HOT, F.col("_slices").isNotNull())
+            .withColumn(BLOCK, F.coalesce(slice_no, F.lit(0)).cast("bigint"))
+            .drop("_lo", "_hi", "_slices")
+        )
+
+    def settle(self, df: DataFrame) -> DataFrame:
+        """Between two scans of a chain: with hot keys a scan reads its input twice."""
+        return df if self.hot is None else durable(df)
+
+    @property
+    def parts(self) -> list[str]:
+        return [*self.keys] if self.hot is None else [*self.keys, BLOCK]
+
+
+def find_hot(
+    df: DataFrame, keys: Sequence[str], order: str, min_rows: int = MIN_ROWS
+) -> Split:
+    """One counting pass; lists the hot keys, at most ``MAX_HOT``, on the driver."""
     counts = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi")
     )
-    if df.isStreaming:
-        raise ValueError("ordered scans are batch operators")
-    share = F.greatest(
-        F.lit(float(min_rows)), counts.agg(F.sum("_n") / F.lit(float(MAX_HOT))).scalar()
-    )
+    large = counts.filter(F.col("_n") > min_rows)
+    total = F.greatest(F.lit(float(min_rows)), F.col("_total") / F.lit(float(MAX_HOT)))
     hot = (
-        counts.withColumn("_share", share)
+        large.withColumn("_total", counts.agg(F.sum("_n")).scalar())
+        .withColumn("_share", total)
         .filter(F.col("_n") > F.col("_share"))
         .withColumn("_slices", F.ceil(F.col("_n") / F.col("_share")))
         .select(*keys, "_lo", "_hi", "_slices")
     )
-    span = F.col("_hi") - F.col("_lo") + F.lit(1)
-    slice_no = F.floor((F.col(order) - F.col("_lo")) * F.col("_slices") / span)
-    return (
-        df.join(F.broadcast(hot), list(keys), "left")
-        .withColumn(HOT, F.col("_slices").isNotNull())
-        .withColumn(BLOCK, F.coalesce(slice_no, F.lit(0)).cast("bigint"))
-        .drop("_lo", "_hi", "_slices")
-    )
+    rows = hot.collect()
+    listed = df.sparkSession.createDataFrame(rows, hot.schema) if rows else None
+    return Split(tuple(keys), order, listed)
+
 
+def _finish(local: DataFrame, carry: DataFrame, split: Split) -> DataFrame:
+    return local.join(F.broadcast(carry), split.parts, "left")
 
-def _finish(local: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return local.join(F.broadcast(carry), [*keys, BLOCK], "left")
+
+def _before(split: Split):
+    return (
+        Window.partitionBy(*split.keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    )
 
 
 def running_total(
@@ -72,36 +103,31 @@ def running_total(
     order: Sequence[str],
     totals: dict[str, Column],
     min_rows: int = MIN_ROWS,
+    split: Split | None = None,
 ) -> DataFrame:
     """Inclusive running sums of the given expressions, by name."""
-    split = split_hot(df, keys, order[0], min_rows)
-    for i, value in enumerate(totals.values()):
-        split = split.withColumn(f"_v{i}", value)
+    split = split or find_hot(df, keys, order[0], min_rows)
+    kept = [c for c in df.columns if c not in totals]
+    names = list(totals)
+    cut = split.apply(df).withColumns({f"_v_{n}": value for n, value in totals.items()})
     window = (
-        Window.partitionBy(*keys, BLOCK)
+        Window.partitionBy(*split.parts)
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    names = list(totals)
-    local = split.select("*", *[F.sum(f"_v{i}").over(window).alias(f"_s{i}") for i in range(len(names))])
-    before = (
-        Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    local = cut.withColumns({f"_s_{n}": F.sum(f"_v_{n}").over(window) for n in names})
+    if split.hot is None:
+        return local.select(*kept, *[F.col(f"_s_{n}").alias(n) for n in names])
     carry = (
-        split.filter(HOT)
-        .groupBy(*keys, BLOCK)
-        .agg(*[F.sum(f"_v{i}").alias(f"_t{i}") for i in range(len(names))])
-        .select(*keys, BLOCK, *[F.sum(f"_t{i}").over(before).alias(f"_c{i}") for i in range(len(names))])
+        cut.filter(HOT)
+        .groupBy(*split.parts)
+        .agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
+        .select(*split.parts, *[F.sum(f"_t_{n}").over(_before(split)).alias(f"_c_{n}") for n in names])
     )
-    joined = _finish(local, carry, keys)
     out = [
-        F.when(F.col(f"_c{i}").isNull(), F.col(f"_s{i}"))
-        .when(F.col(f"_s{i}").isNull(), F.col(f"_c{i}"))
-        .otherwise(F.col(f"_s{i}") + F.col(f"_c{i}"))
-        .alias(name)
-        for i, name in enumerate(names)
+        F.coalesce(F.col(f"_s_{n}") + F.col(f"_c_{n}"), f"_s_{n}", f"_c_{n}").alias(n) for n in names
     ]
-    return joined.select(*[c for c in df.columns if c not in names], *out)
+    return _finish(local, carry, split).select(*kept, *out)
 
 
 def row_numbers(
@@ -110,9 +136,10 @@ def row_numbers(
     order: Sequence[str],
     name: str,
     min_rows: int = MIN_ROWS,
+    split: Split | None = None,
 ) -> DataFrame:
     """1-based position of each row within its key."""
-    return running_total(df, keys, order, {name: F.lit(1).cast("bigint")}, min_rows)
+    return running_total(df, keys, order, {name: F.lit(1).cast("bigint")}, min_rows, split)
 
 
 def neighbours(
@@ -122,34 +149,30 @@ def neighbours(
     values: dict[str, str],
     step: int,
     min_rows: int = MIN_ROWS,
+    split: Split | None = None,
 ) -> DataFrame:
     """Next (``step=1``) or previous (``step=-1``) row's columns, as name -> column."""
     if step not in (1, -1):
         raise ValueError("step is 1 or -1")
-    split = split_hot(df, keys, order[0], min_rows)
-    window = Window.partitionBy(*keys, BLOCK).orderBy(*order)
+    split = split or find_hot(df, keys, order[0], min_rows)
+    kept = [c for c in df.columns if c not in values]
+    cut = split.apply(df)
     shift, edge = (F.lead, F.min_by) if step == 1 else (F.lag, F.max_by)
     packed = F.struct(*[F.col(c).alias(n) for n, c in values.items()])
-    local = split.withColumn("_near", shift(packed).over(window))
-    carry = (
-        split.filter(HOT)
-        .groupBy(*keys, BLOCK)
-        .agg(edge(packed, F.struct(*order)).alias("_edge"))
-        .select(
-            *keys,
-            BLOCK,
-            shift("_edge").over(Window.partitionBy(*keys).orderBy(BLOCK)).alias("_far"),
+    window = Window.partitionBy(*split.parts).orderBy(*order)
+    local = cut.withColumn("_near", shift(packed).over(window))
+    if split.hot is not None:
+        carry = (
+            cut.filter(HOT)
+            .groupBy(*split.parts)
+            .agg(edge(packed, F.struct(*order)).alias("_edge"))
+            .select(
+                *split.parts,
+                shift("_edge").over(Window.partitionBy(*split.keys).orderBy(BLOCK)).alias("_far"),
+            )
         )
-    )
-    near = F.when(F.col("_near").isNotNull(), F.col("_near")).otherwise(F.col("_far"))
-    return (
-        _finish(local, carry, keys)
-        .withColumn("_near", near)
-        .select(
-            *[c for c in df.columns if c not in values],
-            *[F.col("_near").getField(n).alias(n) for n in values],
-        )
-    )
+        local = _finish(local, carry, split).withColumn("_near", F.coalesce("_near", "_far"))
+    return local.select(*kept, *[F.col("_near").getField(n).alias(n) for n in values])
 
 
 def last_known(
@@ -158,24 +181,26 @@ def last_known(
     order: Sequence[str],
     values: dict[str, str],
     min_rows: int = MIN_ROWS,
+    split: Split | None = None,
 ) -> DataFrame:
     """Latest non-NULL value at or before each row, as name -> column."""
-    split = split_hot(df, keys, order[0], min_rows)
+    split = split or find_hot(df, keys, order[0], min_rows)
+    kept = [c for c in df.columns if c not in values]
+    cut = split.apply(df)
     window = (
-        Window.partitionBy(*keys, BLOCK)
+        Window.partitionBy(*split.parts)
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    before = (
-        Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    local = split.select(
-        "*", *[F.last(c, ignorenulls=True).over(window).alias(f"_l_{n}") for n, c in values.items()]
+    local = cut.withColumns(
+        {f"_l_{n}": F.last(c, ignorenulls=True).over(window) for n, c in values.items()}
     )
+    if split.hot is None:
+        return local.select(*kept, *[F.col(f"_l_{n}").alias(n) for n in values])
     at = F.struct(*order)
     carry = (
-        split.filter(HOT)
-        .groupBy(*keys, BLOCK)
+        cut.filter(HOT)
+        .groupBy(*split.parts)
         .agg(
             *[
                 F.max_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(f"_b_{n}")
@@ -183,17 +208,42 @@ def last_known(
             ]
         )
         .select(
-            *keys,
-            BLOCK,
-            *[F.last(f"_b_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in values],
+            *split.parts,
+            *[F.last(f"_b_{n}", ignorenulls=True).over(_before(split)).alias(f"_c_{n}") for n in values],
         )
     )
-    return _finish(local, carry, keys).select(
-        *[c for c in df.columns if c not in values],
-        *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in values],
+    return _finish(local, carry, split).select(
+        *kept, *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in values]
     )
 
 
+def running_min(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: str,
+    name: str,
+    min_rows: int = MIN_ROWS,
+    split: Split | None = None,
+) -> DataFrame:
+    """Minimum of the column over all earlier rows of the key (NULL at the first)."""
+    split = split or find_hot(df, keys, order[0], min_rows)
+    cut = split.apply(df)
+    window = (
+        Window.partitionBy(*split.parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    local = cut.withColumn("_s", F.min(value).over(window))
+    if split.hot is None:
+        return local.select(*df.columns, F.col("_s").alias(name))
+    carry = (
+        cut.filter(HOT)
+        .groupBy(*split.parts)
+        .agg(F.min(value).alias("_m"))
+        .select(*split.parts, F.min("_m").over(_before(split)).alias("_c"))
+    )
+    return _finish(local, carry, split).select(*df.columns, F.least("_s", "_c").alias(name))
+
+
 def shuffled_rank(
     df: DataFrame, seed: int | str, identity: str, name: str, keys: Sequence[str] = ()
 ) -> DataFrame:
@@ -224,31 +274,6 @@ def shuffled_rank(
     )
 
 
-def running_min(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    value: str,
-    name: str,
-    min_rows: int = MIN_ROWS,
-) -> DataFrame:
-    """Minimum of the column over all earlier rows of the key (NULL at the first)."""
-    split = split_hot(df, keys, order[0], min_rows)
-    window = (
-        Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    before = (
-        Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carry = (
-        split.filter(HOT)
-        .groupBy(*keys, BLOCK)
-        .agg(F.min(value).alias("_m"))
-        .select(*keys, BLOCK, F.min("_m").over(before).alias("_c"))
-    )
-    joined = _finish(split.withColumn("_s", F.min(value).over(window)), carry, keys)
-    return joined.select(*df.columns, F.least("_s", "_c").alias(name))
-
 
 def digest_cutoff(drawn: DataFrame, n: Column) -> Column:
     """The n-th smallest ``_d`` digest as a scalar; NULL when n is 0.
