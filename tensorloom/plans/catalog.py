@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -30,3 +33,15 @@ def register(name: str, sql: str | None = None) -> Callable[[Builder], Builder]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def literal_rows(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """Small constant table as an expression, without a Python-backed scan."""
+    names = T.StructType.fromDDL(schema).names
+    text = json.dumps([dict(zip(names, row)) for row in rows])
+    parsed = F.from_json(F.lit(text), f"array<struct<{', '.join(_fields(schema))}>>")
+    return spark.range(1).select(F.inline(parsed))
+
+
+def _fields(schema: str) -> list[str]:
+    return [f"`{f.name}`: {f.dataType.simpleString()}" for f in T.StructType.fromDDL(schema)]
