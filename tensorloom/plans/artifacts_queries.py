@@ -250,8 +250,8 @@ def abort_transfers(spark, sf_dir):
 
 @register(
     "expire_transfers",
-    """SELECT event_id AS transfer, CASE WHEN epoch_ms(ts) + 300000 <= epoch_ms(TIMESTAMP '2024-01-15') THEN 'aborted' ELSE 'in progress' END AS status,
-    CASE WHEN epoch_ms(ts) + 300000 <= epoch_ms(TIMESTAMP '2024-01-15') THEN 'transfer lease expired' END AS reason FROM events""",
+    """SELECT event_id AS transfer, CASE WHEN epoch_us(ts) // 1000 + 300000 <= epoch_ms(TIMESTAMP '2024-01-15') THEN 'aborted' ELSE 'in progress' END AS status,
+    CASE WHEN epoch_us(ts) // 1000 + 300000 <= epoch_ms(TIMESTAMP '2024-01-15') THEN 'transfer lease expired' END AS reason FROM events""",
 )
 def expire_transfers(spark, sf_dir):
     opened = table(spark, sf_dir, "events").select(
