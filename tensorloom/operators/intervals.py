@@ -32,6 +32,9 @@ MIN_SECONDS, MAX_SECONDS = 0.1, 5.0
 # Names of the twelve pitch classes.
 NAMES = ("C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B")
 
+# Cycles unfolded per intermediate row.
+RUN = 4096
+
 LOG = ["log_id"]
 CANONICAL = ["start", "key", "velocity", "pos"]
 
@@ -413,9 +416,18 @@ def due_events(events: DataFrame, elapsed: Column) -> DataFrame:
 
     ``events`` has timestamp and loop in one unit, loop > 0; adds cycle and due.
     """
-    cycles = exact_div(elapsed - F.col("timestamp"), F.col("loop"))
-    spread = events.filter(F.col("timestamp") <= elapsed).withColumn(
-        "cycle", F.explode(F.sequence(F.lit(0).cast("bigint"), cycles))
+    # Cycles are unfolded in runs, so no row builds an array longer than RUN.
+    last = exact_div(elapsed - F.col("timestamp"), F.col("loop"))
+    zero, run = F.lit(0).cast("bigint"), F.lit(RUN).cast("bigint")
+    spread = (
+        events.filter(F.col("timestamp") <= elapsed)
+        .withColumn("_last", last)
+        .withColumn("_run", F.explode(F.sequence(zero, exact_div(F.col("_last"), run))))
+        .withColumn(
+            "cycle",
+            F.explode(F.sequence(F.col("_run") * run, F.least(F.col("_last"), F.col("_run") * run + run - 1))),
+        )
+        .drop("_last", "_run")
     )
     return spread.withColumn("due", F.col("cycle") * F.col("loop") + F.col("timestamp"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.functions.cols import epoch_ms
 from tensorloom.plans.catalog import register, table
+from tensorloom.session import durable
 from tensorloom.sources import artifacts as sa
 
 CHUNK = 256
@@ -79,10 +80,10 @@ def read_byte_ranges(spark, sf_dir):
 
 def upload_parts(spark, sf_dir):
     """Documents in parts; part 1 is sent twice where id % 5 = 2, the last is lost where id % 5 = 1."""
-    cut = sa.chunk_data(objects(spark, sf_dir).select("id", "data"), "data", CHUNK)
     n = F.ceil(F.length("data") / F.lit(CHUNK))
+    cut = sa.chunk_data(objects(spark, sf_dir).select("id", "data", n.alias("part_count")), "data", CHUNK)
     uploads = objects(spark, sf_dir).select("id", n.cast("bigint").alias("part_count"))
-    parts = cut.join(uploads, "id").filter("NOT (id % 5 = 1 AND idx = part_count - 1)").select(
+    parts = cut.filter("NOT (id % 5 = 1 AND idx = part_count - 1)").select(
         "id", (F.col("idx") + 1).alias("part"), F.col("idx").cast("bigint").alias("seq"), F.col("piece").alias("data")
     )
     again = parts.filter("id % 5 = 2 AND part = 1").withColumn("seq", F.lit(10**6)).withColumn("data", F.translate("data", "e", "E"))
@@ -162,10 +163,8 @@ def transfers(spark, sf_dir):
 def arrivals(spark, sf_dir):
     """Chunks in index order, plus the extra ones of the faults."""
     k = F.col("id") % 7
-    stored = objects(spark, sf_dir).select("id", "data")
-    cut = sa.chunk_data(stored, "data", CHUNK).join(
-        stored.select("id", F.ceil(F.length("data") / F.lit(CHUNK)).alias("_n")), "id"
-    )
+    stored = objects(spark, sf_dir).select("id", "data", F.ceil(F.length("data") / F.lit(CHUNK)).alias("_n"))
+    cut = sa.chunk_data(stored, "data", CHUNK)
     extra = F.when((k == 2) & (F.col("idx") == 0), F.array(F.lit(0), F.lit(1))).when(
         (k == 6) & (F.col("idx") == 0), F.array(F.lit(0), F.lit(2))
     ).otherwise(F.array(F.lit(0)))
@@ -198,8 +197,8 @@ def ingest_chunks(spark, sf_dir):
 
 
 def stored_chunks(spark, sf_dir):
-    """Stored chunks without the ingest replay: the accepted ones by construction."""
-    return sa.ingest_chunks(transfers(spark, sf_dir), arrivals(spark, sf_dir)).filter("error IS NULL")
+    """The chunk table that ingest leaves behind."""
+    return durable(sa.ingest_chunks(transfers(spark, sf_dir), arrivals(spark, sf_dir)).filter("error IS NULL"))
 
 
 @register(

@@ -15,7 +15,7 @@ import hashlib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tensorloom.functions.cols import first_failure
@@ -150,15 +150,23 @@ def reassemble(
 
 
 def aggregate_hash(
-    pieces: DataFrame, keys: Sequence[str], order: str, data: str, inline_bytes: int = INLINE_BYTES
+    pieces: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    data: str,
+    inline_bytes: int = INLINE_BYTES,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """SHA-256 of the ordered concatenation per key, whatever its size.
 
     Small values are gathered and hashed in the JVM. Large ones are sorted within
     their partition and streamed through one hash state, a batch at a time.
+    ``sizes`` (keys, _size in bytes) saves the pass that adds them up, and limits
+    the work to its keys.
     """
     keys = list(keys)
-    sizes = pieces.groupBy(*keys).agg(F.sum(F.octet_length(data)).alias("_size"))
+    if sizes is None:
+        sizes = pieces.groupBy(*keys).agg(F.sum(F.octet_length(data)).alias("_size"))
     fits = F.col("_size") <= inline_bytes
     small = (
         pieces.join(sizes.filter(fits).select(*keys), keys, "left_semi")
@@ -273,7 +281,7 @@ def ingest_chunks(transfers: DataFrame, arrivals: DataFrame) -> DataFrame:
 
     The first sound arrival of every index is stored unless the declared length
     runs out. Only transfers where it can run out are replayed in order, over
-    (index, length) pairs without payload.
+    (index, length) pairs without payload; a transfer has at most MAX_PARTS indices.
     """
     declared = transfers.select("transfer", "status", "expected_chunks", "expected_len", "deadline_ms")
     judged = arrivals.join(declared, "transfer", "left").withColumns(
@@ -284,25 +292,24 @@ def ingest_chunks(transfers: DataFrame, arrivals: DataFrame) -> DataFrame:
             "_sound": F.sha2("data", 256) == F.col("hash"),
         }
     )
+    # One slim row per distinct (index, length): a later arrival of the same length
+    # can never be stored once the first one was not, because room only shrinks.
     candidates = (
-        judged.filter("_live AND _range AND _sound")
+        judged.filter("_live AND _range AND _sound AND _len <= expected_len")
         .groupBy("transfer", "idx", "_len", "expected_len")
         .agg(F.min("seq").alias("seq"))
     )
-    firsts = candidates.groupBy("transfer", "idx", "expected_len").agg(
-        F.min("seq").alias("seq"), F.min_by("_len", "seq").alias("_len")
-    )
-    tight = (
-        firsts.groupBy("transfer", "expected_len")
-        .agg(F.sum("_len").alias("_sum"))
-        .filter("_sum > expected_len")
-        .select("transfer")
+    nth = Window.partitionBy("transfer", "idx").orderBy("seq")
+    numbered = candidates.withColumn("_nth", F.row_number().over(nth)).withColumn(
+        "_need", F.sum(F.when(F.col("_nth") == 1, F.col("_len"))).over(Window.partitionBy("transfer"))
     )
-    easy = firsts.join(tight, "transfer", "left_anti").select("transfer", "idx", "seq")
+    easy = numbered.filter("_need <= expected_len AND _nth = 1").select("transfer", "idx", "seq")
     replayed = (
-        candidates.join(tight, "transfer", "left_semi")
-        .groupBy("transfer")
-        .applyInPandas(_replay, f"transfer {dict(arrivals.dtypes)['transfer']}, idx bigint, seq bigint")
+        numbered.filter("_need > expected_len")
+        .groupBy("transfer", "expected_len")
+        .agg(F.sort_array(F.collect_list(F.struct("seq", "idx", "_len"))).alias("_c"))
+        .select("transfer", F.explode(_replay("_c", "expected_len")).alias("_t"))
+        .select("transfer", "_t.idx", "_t.seq")
     )
     stored = easy.unionByName(replayed).select("transfer", "idx", F.col("seq").alias("_stored"))
     outcome = first_failure(
@@ -319,18 +326,20 @@ def ingest_chunks(transfers: DataFrame, arrivals: DataFrame) -> DataFrame:
     )
 
 
-def _replay(frame: pd.DataFrame) -> pd.DataFrame:
-    """Stored (idx, seq) of one transfer whose candidates exceed its length."""
-    room = int(frame["expected_len"].iloc[0])
-    stored: dict[int, int] = {}
-    for row in frame.sort_values("seq").itertuples(index=False):
-        if row.idx not in stored and row[2] <= room:
-            stored[row.idx] = row.seq
-            room -= int(row[2])
-    return pd.DataFrame(
-        {"transfer": frame["transfer"].iloc[0], "idx": list(stored), "seq": list(stored.values())},
-        columns=["transfer", "idx", "seq"],
-    )
+def _replay(candidates: str, room: str) -> Column:
+    """Stored (idx, seq) of one transfer: in order, what is new and still fits."""
+    taken = "array<struct<idx:bigint,seq:bigint>>"
+    start = F.struct(F.col(room).cast("bigint").alias("room"), F.array().cast(taken).alias("taken"))
+
+    def step(acc: Column, c: Column) -> Column:
+        fits = (c["_len"] <= acc["room"]) & ~F.exists(acc["taken"], lambda t: t["idx"] == c["idx"])
+        entry = F.array(F.struct(c["idx"].cast("bigint").alias("idx"), c["seq"].cast("bigint").alias("seq")))
+        return F.struct(
+            F.when(fits, acc["room"] - c["_len"]).otherwise(acc["room"]).alias("room"),
+            F.when(fits, F.concat(acc["taken"], entry)).otherwise(acc["taken"]).alias("taken"),
+        )
+
+    return F.aggregate(F.col(candidates), start, step, lambda acc: acc["taken"])
 
 
 def stage_chunks(transfers: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -356,6 +365,7 @@ def commit_transfers(
         F.max("idx").alias("_hi"),
         F.sum("len").alias("_len"),
         F.bool_and(sound).alias("_sound"),
+        F.sum(F.octet_length("data")).alias("_size"),
     )
     joined = commits.join(transfers, "transfer", "left").join(shape, "transfer", "left")
     n = F.coalesce("_n", F.lit(0))
@@ -375,10 +385,8 @@ def commit_transfers(
             (~F.coalesce("_sound", F.lit(True)), "chunk failed validation"),
         ),
     )
-    hashed = aggregate_hash(
-        chunks.join(cheap.filter("_fault IS NULL").select("transfer"), "transfer", "left_semi"),
-        ["transfer"], "idx", "data", inline_bytes,
-    )
+    passing = cheap.filter("_fault IS NULL AND _size IS NOT NULL").select("transfer", "_size")
+    hashed = aggregate_hash(chunks, ["transfer"], "idx", "data", inline_bytes, passing)
     empty = F.sha2(F.lit(""), 256)
     error = F.when(
         F.col("_fault").isNull() & (F.coalesce("digest", empty) != F.col("aggregate_hash")),
