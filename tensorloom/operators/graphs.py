@@ -8,11 +8,11 @@ source, target, port.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.functions.cols import first_failure
-from tensorloom.plans.scans import neighbours
+from tensorloom.plans.scans import neighbours, row_numbers, running_total
 from tensorloom.session import durable
 
 G = "graph_id"
@@ -270,7 +270,12 @@ def merged_graph_faults(vertices: DataFrame, ports: DataFrame, links: DataFrame)
 
 
 def merge_nested(
-    graphs: DataFrame, vertices: DataFrame, ports: DataFrame, links: DataFrame, top: DataFrame
+    graphs: DataFrame,
+    vertices: DataFrame,
+    ports: DataFrame,
+    links: DataFrame,
+    top: DataFrame,
+    min_rows: int = 1_000_000,
 ) -> tuple[DataFrame, DataFrame]:
     """Expand nested graphs into their parents.
 
@@ -291,7 +296,7 @@ def merge_nested(
         graphs.filter("finalized").join(broken, G, "left_anti")
         .join(ends.filter("_n = 1").select(G, "sink"), G)
     )
-    boundaries = (
+    boundaries = durable(
         vertices.filter("nested IS NOT NULL")
         .select(G, "vertex", "nested")
         .join(usable.select(F.col(G).alias("nested"), "sink"), "nested")
@@ -310,17 +315,20 @@ def merge_nested(
             break
         instances = instances.unionByName(level)
 
-    def numbered(members: DataFrame, item: str, last: bool) -> DataFrame:
+    def numbered(members: DataFrame, item: str) -> DataFrame:
         """Number (top, place, item) rows: outer items keep theirs, others follow."""
+        members = durable(members)
         outer = members.filter("_outer").groupBy("top").agg(F.max(item).alias("_base"))
         inner = members.filter("NOT _outer")
         # Sizes per instance run first, so the ordered pass sees instances, not items.
-        sizes = inner.groupBy("top", "place").agg(F.count(F.lit(1)).alias("_n"))
-        before = Window.partitionBy("top").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = sizes.select("top", "place", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-        within = F.row_number().over(Window.partitionBy("top", "place").orderBy(item))
+        sizes = inner.groupBy("top", "place").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+            "_first", F.element_at("place", 1)
+        )
+        offsets = running_total(sizes, ["top"], ["_first", "place"], {"_through": F.col("_n")}, min_rows)
+        within = row_numbers(inner, ["top", "place"], [item], "_r", min_rows)
         fresh = (
-            inner.withColumn("_r", within).join(offsets, ["top", "place"]).join(outer, "top", "left")
+            within.join(offsets.select("top", "place", (F.col("_through") - F.col("_n")).alias("_off")), ["top", "place"])
+            .join(outer, "top", "left")
             .withColumn("id", F.coalesce("_base", F.lit(0)) + F.col("_off") + F.col("_r"))
             .drop("_r", "_off", "_base")
         )
@@ -330,7 +338,7 @@ def merge_nested(
     cells = instances.join(vertices.select(G, "vertex"), G).select(
         "top", G, "path", F.col("path").alias("place"), outer.alias("_outer"), F.col("vertex").alias("local")
     )
-    nodes = numbered(cells, "local", False)
+    nodes = durable(numbered(cells, "local"))
     # Own ports come before anything nested, the connector after it.
     start, end = F.lit(-1).cast("bigint"), F.lit(2**62).cast("bigint")
     own = instances.join(ports.select(G, "port"), G).select(
@@ -340,7 +348,9 @@ def merge_nested(
         "top", G, "path", F.concat("path", F.array(end)).alias("place"), F.lit(False).alias("_outer"),
         F.lit(-1).cast(dict(ports.dtypes)["port"]).alias("port"),
     )
-    port_ids = numbered(own.unionByName(connectors), "port", True).select("top", "path", "port", F.col("id").alias("port_id"))
+    port_ids = durable(
+        numbered(own.unionByName(connectors), "port").select("top", "path", "port", F.col("id").alias("port_id"))
+    )
     by_local = nodes.select("top", "path", "local", F.col("id").alias("_id"))
 
     def end_of(name: str) -> DataFrame:

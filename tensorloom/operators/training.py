@@ -149,37 +149,41 @@ def two_sided_losses(
         ]
         return rows.agg(F.avg(losses[0]).alias("loss_up"), F.avg(losses[1]).alias("loss_down"))
 
-    weights = params.select("param_id", up.alias("up"), down.alias("down"))
-    flat = weights.filter(F.col("param_id") < classes * width).select(
-        (F.col("param_id") % width).alias("k"),
-        F.floor(F.col("param_id") / width).alias("c"),
-        "up",
-        "down",
+    sides = {"up": up, "down": down}
+    long = long_log_losses(examples, params.select("param_id", *[c.alias(n) for n, c in sides.items()]), width, classes, list(sides))
+    at_target = long.filter(F.col("c") == F.col("target"))
+    return at_target.agg(*[F.avg(-F.col(f"log_{n}")).alias(f"loss_{n}") for n in sides])
+
+
+def long_log_losses(
+    examples: DataFrame, params: DataFrame, width: int, classes: int, heads: Sequence[str]
+) -> DataFrame:
+    """Log-probabilities (example_id, target, c, log_<head>) of heads too large for an array.
+
+    Products and the log-sum-exp are grouped sums, so a wide head never gathers
+    into one row.
+    """
+    weights = params.filter(F.col("param_id") < classes * width).select(
+        (F.col("param_id") % width).alias("k"), F.floor(F.col("param_id") / width).alias("c"), *heads
     )
-    bias = weights.filter(F.col("param_id") >= classes * width).select(
-        (F.col("param_id") - classes * width).alias("c"), F.col("up").alias("_bu"), F.col("down").alias("_bd")
+    bias = params.filter(F.col("param_id") >= classes * width).select(
+        (F.col("param_id") - classes * width).alias("c"), *[F.col(h).alias(f"_b_{h}") for h in heads]
     )
     logits = (
         examples.select("example_id", "target", F.posexplode("v").alias("k", "x"))
-        .join(flat, "k")
+        .join(weights, "k")
         .groupBy("example_id", "target", "c")
-        .agg(F.sum(F.col("x") * F.col("up")).alias("up"), F.sum(F.col("x") * F.col("down")).alias("down"))
+        .agg(*[F.sum(F.col("x") * F.col(h)).alias(f"_z_{h}") for h in heads])
         .join(bias, "c")
-        .select("example_id", "target", "c", (F.col("up") + F.col("_bu")).alias("up"), (F.col("down") + F.col("_bd")).alias("down"))
+        .select("example_id", "target", "c", *[(F.col(f"_z_{h}") + F.col(f"_b_{h}")).alias(f"_z_{h}") for h in heads])
     )
-    # log-sum-exp as two aggregates, so a wide head never gathers into one row.
-    at_target = [F.max(F.when(F.col("c") == F.col("target"), F.col(s))) for s in ("up", "down")]
-    peaks = logits.groupBy("example_id").agg(
-        F.max("up").alias("_pu"), F.max("down").alias("_pd"), at_target[0].alias("_tu"), at_target[1].alias("_td")
+    peaks = logits.groupBy("example_id").agg(*[F.max(f"_z_{h}").alias(f"_p_{h}") for h in heads])
+    shifted = logits.join(peaks, "example_id").select(
+        "example_id", "target", "c", *[(F.col(f"_z_{h}") - F.col(f"_p_{h}")).alias(f"_z_{h}") for h in heads]
     )
-    per_row = (
-        logits.join(peaks, "example_id")
-        .groupBy("example_id", "_pu", "_pd", "_tu", "_td")
-        .agg(F.sum(F.exp(F.col("up") - F.col("_pu"))).alias("_su"), F.sum(F.exp(F.col("down") - F.col("_pd"))).alias("_sd"))
-    )
-    return per_row.agg(
-        F.avg(F.col("_pu") + F.log("_su") - F.col("_tu")).alias("loss_up"),
-        F.avg(F.col("_pd") + F.log("_sd") - F.col("_td")).alias("loss_down"),
+    norms = shifted.groupBy("example_id").agg(*[F.log(F.sum(F.exp(f"_z_{h}"))).alias(f"_n_{h}") for h in heads])
+    return shifted.join(norms, "example_id").select(
+        "example_id", "target", "c", *[(F.col(f"_z_{h}") - F.col(f"_n_{h}")).alias(f"log_{h}") for h in heads]
     )
 
 
@@ -280,9 +284,16 @@ def outer_sums(rows: DataFrame, keys: Sequence[str], left: str, right: str) -> D
 
 
 def head_gradient(
-    examples: DataFrame, params: DataFrame, width: int, classes: int, keys: Sequence[str] = ()
+    examples: DataFrame,
+    params: DataFrame,
+    width: int,
+    classes: int,
+    keys: Sequence[str] = (),
+    array_params: int = ARRAY_PARAMS,
 ) -> DataFrame:
     """Gradient of the mean loss per parameter (and key)."""
+    if classes * (width + 1) > array_params:
+        return _long_head_gradient(examples, params, width, classes, keys)
     rows = head_delta(examples, params, width, classes).withColumn("v", F.concat("v", F.array(F.lit(1.0))))
     sums = outer_sums(rows, keys, "v", "delta")
     param = F.when(F.col("i") < width, F.col("j") * width + F.col("i")).otherwise(
@@ -293,6 +304,24 @@ def head_gradient(
     )
 
 
+def _long_head_gradient(
+    examples: DataFrame, params: DataFrame, width: int, classes: int, keys: Sequence[str]
+) -> DataFrame:
+    hit = F.when(F.col("c") == F.col("target"), 1.0).otherwise(0.0)
+    delta = long_log_losses(examples, params, width, classes, ["value"]).select(
+        "example_id", "c", (F.exp("log_value") - hit).alias("_d")
+    )
+    values = examples.select(
+        "example_id", *keys, F.posexplode(F.concat("v", F.array(F.lit(1.0)))).alias("k", "x")
+    )
+    param = F.when(F.col("k") < width, F.col("c") * width + F.col("k")).otherwise(classes * width + F.col("c"))
+    return (
+        values.join(delta, "example_id")
+        .groupBy(*keys, param.cast("bigint").alias("param_id"))
+        .agg((F.sum(F.col("x") * F.col("_d")) / F.count(F.lit(1))).alias("grad"), F.count(F.lit(1)).alias("rows"))
+    )
+
+
 def dense_mask(rows: DataFrame, values: str, gradient: str, weights) -> DataFrame:
     """Gradient that passes the ReLU of ``values @ weights`` ([k, n] literal)."""
     pre = te.matmul(values, weights)

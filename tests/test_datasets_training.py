@@ -124,6 +124,8 @@ def test_both_loss_paths_and_gradient(spark):
     for got in (short, wide):
         assert math.isclose(got.loss_up, up, rel_tol=1e-9) and math.isclose(got.loss_down, down, rel_tol=1e-9)
     grads = {r.param_id: r.grad for r in tr.head_gradient(examples, params, 5, 3).collect()}
+    long = {r.param_id: r.grad for r in tr.head_gradient(examples, params, 5, 3, array_params=0).collect()}
+    assert long == pytest.approx(grads)
     for p in (0, 7, 14, 16):
         a, b = ({**theta, p: theta[p] + d} for d in (1e-5, -1e-5))
         assert math.isclose(grads[p], (mean_loss(rows, a) - mean_loss(rows, b)) / 2e-5, abs_tol=1e-6)
