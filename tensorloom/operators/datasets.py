@@ -33,12 +33,13 @@ def balanced_sample(df: DataFrame, identity: str, positive: Column, seed: int) -
     counts = df.agg(
         F.count(F.when(positive, 1)).alias("p"), F.count(F.when(~positive, 1)).alias("n")
     )
-    p, n = counts.select("p").scalar(), counts.select("n").scalar()
-    wanted = (
+    p, n = F.col("p"), F.col("n")
+    checked = (
         F.when(p == 0, F.raise_error(F.lit("dataset has no positive samples")).cast("bigint"))
         .when(n < p, F.raise_error(F.lit("dataset has too few negative samples")).cast("bigint"))
         .otherwise(p)
     )
+    wanted = counts.select(checked).scalar()
     draw = digest(seed, identity)
     cutoff = digest_cutoff(df.filter(~positive).select(draw.alias("_d")), wanted)
     return df.filter(positive | (draw <= cutoff))

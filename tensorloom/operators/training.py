@@ -12,7 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tensorloom.functions import tensor_expr as te
@@ -160,8 +160,8 @@ def long_log_losses(
 ) -> DataFrame:
     """Log-probabilities (example_id, target, c, log_<head>) of heads too large for an array.
 
-    Products and the log-sum-exp are grouped sums, so a wide head never gathers
-    into one row.
+    Products are grouped sums and the log-sum-exp a window over the classes of one
+    example, so a wide head never gathers into one row.
     """
     weights = params.filter(F.col("param_id") < classes * width).select(
         (F.col("param_id") % width).alias("k"), F.floor(F.col("param_id") / width).alias("c"), *heads
@@ -177,13 +177,14 @@ def long_log_losses(
         .join(bias, "c")
         .select("example_id", "target", "c", *[(F.col(f"_z_{h}") + F.col(f"_b_{h}")).alias(f"_z_{h}") for h in heads])
     )
-    peaks = logits.groupBy("example_id").agg(*[F.max(f"_z_{h}").alias(f"_p_{h}") for h in heads])
-    shifted = logits.join(peaks, "example_id").select(
-        "example_id", "target", "c", *[(F.col(f"_z_{h}") - F.col(f"_p_{h}")).alias(f"_z_{h}") for h in heads]
-    )
-    norms = shifted.groupBy("example_id").agg(*[F.log(F.sum(F.exp(f"_z_{h}"))).alias(f"_n_{h}") for h in heads])
-    return shifted.join(norms, "example_id").select(
-        "example_id", "target", "c", *[(F.col(f"_z_{h}") - F.col(f"_n_{h}")).alias(f"log_{h}") for h in heads]
+    # One row per class: the windows share the shuffle on the example.
+    row = Window.partitionBy("example_id")
+    shifted = logits.withColumns({f"_z_{h}": F.col(f"_z_{h}") - F.max(f"_z_{h}").over(row) for h in heads})
+    return shifted.select(
+        "example_id",
+        "target",
+        "c",
+        *[(F.col(f"_z_{h}") - F.log(F.sum(F.exp(f"_z_{h}")).over(row))).alias(f"log_{h}") for h in heads],
     )
 
 

@@ -104,16 +104,23 @@ def chunk_data(df: DataFrame, data: str, size: int = CHUNK_BYTES) -> DataFrame:
 
 
 def join_pieces(
-    pieces: DataFrame, keys: Sequence[str], order: str, data: str, inline_bytes: int = INLINE_BYTES
+    pieces: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    data: str,
+    inline_bytes: int = INLINE_BYTES,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Ordered concatenation per key, with piece count and size.
 
-    Sizes are summed first; only keys that fit ``inline_bytes`` are gathered.
-    Larger ones keep ``data`` NULL and live on in the ordered pieces.
+    Sizes (keys, size in bytes) are summed first unless given; only keys that fit
+    ``inline_bytes`` are gathered. Larger ones keep ``data`` NULL and live on in
+    the ordered pieces.
     """
-    sizes = pieces.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("pieces"), F.sum(F.octet_length(data)).cast("bigint").alias("size")
-    )
+    if sizes is None:
+        sizes = pieces.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("pieces"), F.sum(F.octet_length(data)).cast("bigint").alias("size")
+        )
     small = sizes.filter(F.col("size") <= inline_bytes).select(*keys)
     joined = (
         pieces.join(small, list(keys), "left_semi")
@@ -245,8 +252,8 @@ def assemble_parts(
             ((F.col("_n") != F.col("part_count")) | (F.col("_hi") != F.col("part_count")), "parts incomplete"),
         ),
     )
-    good = judged.filter("error IS NULL").select("id")
-    whole = join_pieces(kept.join(good, "id", "left_semi"), ["id"], "part", data, inline_bytes)
+    good = judged.filter("error IS NULL").select("id", F.col("_size").alias("size"))
+    whole = join_pieces(kept, ["id"], "part", data, inline_bytes, good)
     return judged.select(
         "id", "part_count", "error", F.when(F.col("error").isNull(), F.col("_size")).alias("size")
     ).join(whole.select("id", data), "id", "left")
