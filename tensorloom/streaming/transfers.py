@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+# Fixed value: lease of a transfer.
+LEASE_MS = 300_000
+
 OUTPUT = "transfer string, seq bigint, kind string, idx bigint, outcome string"
 STATE = "memory string"
 FIELDS = (
@@ -24,6 +27,8 @@ FIELDS = (
     "aggregate_hash", "deadline_ms",
 )
 
+NUMBERS = frozenset(("seq", "idx", "len", "expected_chunks", "expected_len", "deadline_ms"))
+
 
 def frames_from(df: DataFrame) -> DataFrame:
     """Typed frame columns in the order the state function reads them."""
@@ -38,7 +43,9 @@ def frames_from(df: DataFrame) -> DataFrame:
 
 
 def _start() -> dict:
-    return {"next": 0, "index": 0, "total": 0, "open": False, "over": False, "early": {}, "held": [], "seen": []}
+    return {
+        "next": 0, "index": 0, "total": 0, "open": False, "over": False, "early": {}, "held": [], "seen": [], "latest": 0,
+    }
 
 
 def _number(value):
@@ -103,7 +110,7 @@ def transfer_outcomes(frames: DataFrame, order: str = "sequential", finalise: st
     repeats. ``finalise`` 'whole artifact' holds accepted chunks back until the
     transfer closes. Frames that arrive early wait in the state; there are at most
     as many as declared chunks. A lease that runs out is one 'expired' row; its
-    timer comes from the declared deadline.
+    timer comes from the declared deadline. Every state has a timer, so none stays.
     """
     if order not in ("sequential", "unordered") or finalise not in ("end of axis", "whole artifact"):
         raise ValueError("unknown order or finalisation")
@@ -113,31 +120,44 @@ def transfer_outcomes(frames: DataFrame, order: str = "sequential", finalise: st
         memory = json.loads(state.get[0]) if state.exists else _start()
         rows: list[tuple] = []
         if state.hasTimedOut:
-            if not memory["over"]:
-                memory["over"], memory["held"], memory["early"] = True, [], {}
-                rows.append((memory["next"], "lease", None, "failed: expired"))
+            if memory["over"] or not memory["open"]:
+                state.remove()
+                return
+            memory["over"], memory["held"], memory["early"] = True, [], {}
+            rows.append((memory["next"], "lease", None, "failed: expired"))
         else:
             early = memory["early"]
             for batch in batches:
-                for raw in batch[list(FIELDS)].itertuples(index=False):
-                    frame = dict(zip(FIELDS, raw))
-                    for name, value in frame.items():
-                        if name in ("seq", "idx", "len", "expected_chunks", "expected_len", "deadline_ms"):
-                            frame[name] = _number(value)
-                    frame["sound"] = bool(frame["sound"])
+                for row in batch.itertuples(index=False):
+                    memory["latest"] = max(memory["latest"], row[1].value // 10**6)
+                    frame = {
+                        name: _number(value) if name in NUMBERS else value
+                        for name, value in zip(FIELDS, row[2:])
+                    }
+                    frame["sound"] = frame["sound"] is not None and bool(frame["sound"])
                     early[str(frame["seq"])] = frame
             while str(memory["next"]) in early:
                 rows.extend(_judge(memory, early.pop(str(memory["next"])), order, whole))
                 memory["next"] += 1
+        # An open transfer runs to its deadline. One that is over, or not begun, is
+        # remembered for one lease after its last frame and then forgotten.
+        running = memory["open"] and not memory["over"]
+        timer = memory["deadline_ms"] if running else memory["latest"] + LEASE_MS
+        now = state.getCurrentWatermarkMs()
+        if state.hasTimedOut:
+            timer = now + LEASE_MS
         state.update((json.dumps(memory),))
-        deadline = memory.get("deadline_ms")
-        if not memory["over"] and deadline is not None:
-            # A timer must lie ahead of the watermark; one that does not fires at the next.
-            state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(
-            [(key[0], seq, kind, idx, outcome) for seq, kind, idx, outcome in rows],
-            columns=["transfer", "seq", "kind", "idx", "outcome"],
-        ).astype({"seq": "Int64", "idx": "Int64"})
+        state.setTimeoutTimestamp(max(timer, now + 1))
+        if rows:
+            yield pd.DataFrame(
+                {
+                    "transfer": key[0],
+                    "seq": [r[0] for r in rows],
+                    "kind": [r[1] for r in rows],
+                    "idx": pd.array([r[2] for r in rows], dtype="Int64"),
+                    "outcome": [r[3] for r in rows],
+                }
+            )
 
     return (
         frames.groupBy("transfer")
