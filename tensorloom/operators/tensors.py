@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tensorloom.functions import tensor_expr as te
 
 
-def tensor_pipeline(df: DataFrame, values: str, out: str) -> DataFrame:
+def tensor_chain(df: DataFrame, values: str, out: str) -> DataFrame:
     """Matmul with the 3x4 weights, halve, ReLU: one projection."""
     return df.withColumn(
         out, te.relu(te.scale(te.matmul(values, te.PIPELINE_WEIGHTS), 0.5))

@@ -19,9 +19,5 @@ FAMILIES = (
 
 def load_queries() -> None:
     """Import every module that registers queries."""
-    from importlib.util import find_spec
-
     for family in FAMILIES:
-        name = f"{__name__}.{family}_queries"
-        if find_spec(name):
-            import_module(name)
+        import_module(f"{__name__}.{family}_queries")

@@ -48,14 +48,14 @@ def long(df, value="value"):
 
 
 @register(
-    "typed_tensor_pipeline",
+    "typed_tensor_chain",
     f"WITH {MATMUL} SELECT vec_id, idx, round(greatest(value * 0.5, 0), 6) AS value FROM mm",
 )
-def typed_tensor_pipeline(spark, sf_dir):
+def typed_tensor_chain(spark, sf_dir):
     """Bundles that pass their contract, then matmul, scale and ReLU."""
     rows = triples(spark, sf_dir)
     rows = oc.keep_conforming(rows, "vec_id", "v", dtype="f32", expected="f32", rank=1, size=66)
-    return long(ot.tensor_pipeline(rows, "v", "value"))
+    return long(ot.tensor_chain(rows, "v", "value"))
 
 
 @register("matmul", f"WITH {MATMUL} SELECT vec_id, idx, round(value, 6) AS value FROM mm")

@@ -1 +1 @@
-
+"""Reading and storing artifacts and labelled tables."""

@@ -96,7 +96,7 @@ def vector(spark, *values):
 
 
 def test_matrix_example_and_slice_chain(spark):
-    out = ot.tensor_pipeline(vector(spark, 1, 2, 3, 4, 5, 6), "v", "o").first().o
+    out = ot.tensor_chain(vector(spark, 1, 2, 3, 4, 5, 6), "v", "o").first().o
     assert out == [2.0, 2.5, 1.75, 2.0, 5.0, 5.5, 4.0, 4.25]
     chain = spark.createDataFrame([([1, 2, 3, 4],)], "v array<bigint>")
     step = chain.select(te.first_half("v").alias("v")).select(te.add_one_u32(te.add_one_u32("v")).alias("v"))
