@@ -16,7 +16,6 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.functions.cols import first_failure
 from tensorloom.functions.draws import digest, uniform
 from tensorloom.plans.scans import find_hot, last_known, neighbours, row_numbers, running_total
 
