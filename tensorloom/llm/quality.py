@@ -30,7 +30,7 @@ RULES: tuple[tuple[str, str], ...] = (
     ("few_words", "n_words < 50"),
     ("repeated_windows", "100 * n_repeat_words > 50 * n_words"),
     ("symbols", "10 * n_symbols > n_words"),
-    ("repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    ("repeated_lines", "n_dup_lines > 5 AND 2 * n_dup_lines > n_lines"),
     ("capitals", "2 * n_upper > n_letters"),
     ("short_words", "word_chars < 2 * n_words"),
     ("long_words", "word_chars > 20 * n_words"),

@@ -61,11 +61,11 @@ WITH t AS (
 ), w AS (
   SELECT doc_id, text,
     regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
-    list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM t
 ), g AS (
   SELECT doc_id, text, words, lines,
-    list_transform(generate_series(1, len(words) - 2), i -> words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) AS grams
+    list_transform(generate_series(1, len(words) - 2), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) AS grams
   FROM w
 ), times AS (
   SELECT doc_id, gram, list(i) AS places FROM (
@@ -81,7 +81,7 @@ WITH t AS (
   ) GROUP BY doc_id
 ), m AS (
   SELECT g.doc_id, len(words) AS n_words,
-    coalesce(list_sum(list_transform(words, x -> length(x))), 0)::BIGINT AS word_chars,
+    coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
     len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
     coalesce(r.n, 0) AS n_repeat_words,
@@ -93,7 +93,7 @@ WITH t AS (
 ), f AS (
   SELECT *, (
     (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT
-    + 4 * (10 * n_symbols > n_words)::BIGINT + 8 * (10 * n_dup_lines > 3 * n_lines)::BIGINT
+    + 4 * (10 * n_symbols > n_words)::BIGINT + 8 * (n_dup_lines > 5 AND 2 * n_dup_lines > n_lines)::BIGINT
     + 16 * (2 * n_upper > n_letters)::BIGINT + 32 * (word_chars < 2 * n_words)::BIGINT
     + 64 * (word_chars > 20 * n_words)::BIGINT + 128 * (2 * n_letters < word_chars)::BIGINT
     + 256 * (5 * n_top_word > 2 * n_words)::BIGINT)::BIGINT AS failed
