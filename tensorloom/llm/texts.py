@@ -7,6 +7,7 @@ a task does not depend on how long texts are.
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 from array import array
@@ -70,6 +71,7 @@ _ODD = (
     b"\xe1\x9a\x80", b"\xe1\xa0\x8e", b"\xe2\x81\x9f", b"\xe3\x80\x80", b"\xef\xbb\xbf",
 )
 _ODD_SPACES = re.compile(rb"\xe2\x80[\x80-\x8f\xa8-\xaf]")
+_MARKS = (b".", b",", b"!", b"?", b":", b";")
 _PIECE = re.compile(rb"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
 
 
@@ -101,6 +103,7 @@ class PieceEncoder:
     def __init__(self, path: str, width: int = 4, limit: int = CACHED_PIECES):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.code = {2: "H", 4: "I"}[width]
@@ -135,14 +138,19 @@ class PieceEncoder:
         new = set()
         for group in groups:
             new.update(group)
+        new.difference_update(self.known)
+        # A letter and the mark after it never share a token: most such words are known without the mark.
+        marked = [x for x in new if x[-1:] in _MARKS and x[-2:-1].isalpha()]
+        new.difference_update(marked)
+        new.update(x[:-1] for x in marked)
+        new.update(x[-1:] for x in marked)
         new = list(new.difference(self.known))
-        if not new:
-            return
-        self.long = [x for x in new if len(x) > LONG_PIECE]
+        self.long = [x for x in (*new, *marked) if len(x) > LONG_PIECE]
         for start in range(0, len(new), 4096):
             some = new[start : start + 4096]
             found = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in some], add_special_tokens=False)
             self.known.update((x, array(self.code, e.ids).tobytes()) for x, e in zip(some, found))
+        self.known.update((x, self.known[x[:-1]] + self.known[x[-1:]]) for x in marked)
 
 
 def text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
