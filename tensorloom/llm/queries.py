@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorloom.llm import bpe_tree, packing, quality, token_files, wordpiece
+from tensorloom.llm import bpe_tree, forest, packing, quality, token_files, wordpiece
 from tensorloom.llm.texts import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,8 @@ def op9_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.decode(encoded, ranks, pattern).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256")
     )
+
+
+@query
+def op4_near_duplicate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(documents(spark, sf_dir))
