@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorloom.llm import bpe_tree, forest, packing, quality, token_files, wordpiece
+from tensorloom.llm import bpe_tree, forest, packing, quality, substrings, token_files, wordpiece
 from tensorloom.llm.texts import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,13 @@ def op9_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_near_duplicate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.near_duplicates(documents(spark, sf_dir))
+
+
+@query
+def op6_earlier_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.remove_repeats(documents(spark, sf_dir))
+    lengths = F.transform("spans", lambda s: s["end"] - s["start"])
+    return cut.select(
+        "doc_id", "n_bytes", F.aggregate(lengths, F.lit(0).cast("bigint"), lambda a, b: a + b).alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
