@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorloom.llm import bpe_tree, forest, packing, quality, substrings, token_files, wordpiece
+from tensorloom.llm import bpe_tree, forest, licences, packing, quality, sketches, substrings, token_files, wordpiece
 from tensorloom.llm.texts import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,17 @@ def op6_earlier_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", F.aggregate(lengths, F.lit(0).cast("bigint"), lambda a, b: a + b).alias("n_removed"),
         F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op2_licence_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(documents(spark, sf_dir))
+
+
+@query
+def op5_paragraph_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sketches.fingerprints(documents(spark, sf_dir))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        "near_edited", "near_next",
+    )
