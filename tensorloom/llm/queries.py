@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorloom.llm import bpe_tree, forest, licences, packing, quality, sketches, substrings, token_files, wordpiece
+from tensorloom.llm import attention, bpe_tree, forest, licences, packing, quality, sketches, substrings, token_files, wordpiece
 from tensorloom.llm.texts import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,9 @@ def op5_paragraph_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         "near_edited", "near_next",
     )
+
+
+@query
+def op7_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return attention.score_texts(documents(spark, sf_dir), path, begin_id=49406, end_id=49407).drop("losses")

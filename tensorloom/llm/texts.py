@@ -138,7 +138,7 @@ class PieceEncoder:
         new = set()
         for group in groups:
             new.update(group)
-        new.difference_update(self.known)
+        new = new.difference(self.known)
         # A letter and the mark after it never share a token: most such words are known without the mark.
         marked = [x for x in new if x[-1:] in _MARKS and x[-2:-1].isalpha()]
         new.difference_update(marked)
