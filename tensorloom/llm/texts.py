@@ -94,8 +94,11 @@ class PieceEncoder:
     """Ids of texts by the tokenizers library, each distinct piece encoded once.
 
     Ids are kept per piece as little-endian bytes of ``width``. Pieces repeat so
-    often that most of a text is looked up. The table is emptied when it has
-    ``limit`` entries; pieces of more than ``LONG_PIECE`` bytes are not kept.
+    often that most of a text is looked up. When the table has ``limit`` entries
+    it becomes the old one and a new one begins, into which pieces move as they
+    come up again; so it is bounded and frequent pieces stay. Pieces of more
+    than ``LONG_PIECE`` bytes are not kept. A tokenizer that drops white space
+    and lowers letters gets lower-case words, of which there are fewer.
     """
 
     _loaded: dict[tuple, PieceEncoder] = {}
@@ -107,7 +110,10 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.code = {2: "H", 4: "I"}[width]
-        self.limit, self.known = limit, {b"": b""}
+        self.limit, self.known, self.old = limit, {b"": b""}, {}
+        plain = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        folds = not plain(" \t\r\n") and plain("A \n\tBc d") == plain("a") + plain("bc") + plain("d")
+        self.cut = (lambda data: data.lower().split()) if folds else pieces
 
     @classmethod
     def of(cls, path: str, width: int = 4) -> PieceEncoder:
@@ -117,40 +123,50 @@ class PieceEncoder:
         return cls._loaded[path, width]
 
     def encode_many(self, texts: list[bytes]) -> list[bytes]:
-        parts = [pieces(x) if len(x) <= WINDOW_BYTES else None for x in texts]
-        self._learn(p for p in parts if p is not None)
-        look = self.known.__getitem__
-        return [b"".join(map(look, p)) if p is not None else self._long(x) for p, x in zip(parts, texts)]
+        parts = [self.cut(x) if len(x) <= WINDOW_BYTES else None for x in texts]
+        found = self._look_up([p for p in parts if p is not None])
+        return [next(found) if p is not None else self._long(x) for p, x in zip(parts, texts)]
 
     def _long(self, data: bytes) -> bytes:
-        out = []
-        for part in windows(data):
-            cut = pieces(part)
-            self._learn([cut])
-            out.append(b"".join(map(self.known.__getitem__, cut)))
-        return b"".join(out)
-
-    def _learn(self, groups: Iterable[list[bytes]]) -> None:
+        return b"".join(ids for part in windows(data) for ids in self._look_up([self.cut(part)]))
+
+    def _look_up(self, groups: list[list[bytes]]) -> Iterator[bytes]:
+        """Ids of each group of pieces; those not known are encoded together first."""
         if len(self.known) > self.limit:
-            self.known = {b"": b""}
-        for key in self.__dict__.pop("long", ()):
-            self.known.pop(key, None)
-        new = set()
-        for group in groups:
-            new.update(group)
+            self.known, self.old = {b"": b""}, self.known
+        get = self.known.get
+        found = [list(map(get, group)) for group in groups]
+        gaps = [[i for i, ids in enumerate(ids_) if ids is None] if None in ids_ else () for ids_ in found]
+        long = self._learn({group[i] for group, at in zip(groups, gaps) for i in at})
+        for group, ids, at in zip(groups, found, gaps):
+            for i in at:
+                ids[i] = self.known[group[i]]
+        for piece in long:
+            del self.known[piece]
+        return iter([b"".join(ids) for ids in found])
+
+    def _learn(self, new: set[bytes]) -> list[bytes]:
+        """Encode pieces; returns those that are too long to stay."""
+        old = self.old
+        again = new.intersection(old) if old else ()
+        self.known.update((x, old[x]) for x in again)
         new = new.difference(self.known)
         # A letter and the mark after it never share a token: most such words are known without the mark.
         marked = [x for x in new if x[-1:] in _MARKS and x[-2:-1].isalpha()]
         new.difference_update(marked)
-        new.update(x[:-1] for x in marked)
-        new.update(x[-1:] for x in marked)
-        new = list(new.difference(self.known))
-        self.long = [x for x in (*new, *marked) if len(x) > LONG_PIECE]
+        for x in marked:
+            for part in (x[:-1], x[-1:]):
+                if part in old:
+                    self.known.setdefault(part, old[part])
+                elif part not in self.known:
+                    new.add(part)
+        new = list(new)
         for start in range(0, len(new), 4096):
             some = new[start : start + 4096]
-            found = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in some], add_special_tokens=False)
-            self.known.update((x, array(self.code, e.ids).tobytes()) for x, e in zip(some, found))
+            ids = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in some], add_special_tokens=False)
+            self.known.update((x, array(self.code, e.ids).tobytes()) for x, e in zip(some, ids))
         self.known.update((x, self.known[x[:-1]] + self.known[x[-1:]]) for x in marked)
+        return [x for x in (*new, *marked) if len(x) > LONG_PIECE]
 
 
 def text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
