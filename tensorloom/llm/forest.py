@@ -30,10 +30,10 @@ from tensorloom.llm.shingles import RUN, mixed, run_sets
 from tensorloom.llm.texts import as_bytes, shared_folder, slices
 from tensorloom.session import durable
 
-TREES, DEPTH = 32, 8
+TREES, DEPTH = 32, 7
 THRESHOLD = 0.8
 TARGET_RECALL = 0.9999
-#: Six standard deviations of the agreement of 256 minima below the threshold.
+#: Over five standard deviations of the agreement of 224 minima below the threshold.
 AGREEMENT = 0.65
 NODE_BLOCK = 2048
 SET_BLOCK = 256
