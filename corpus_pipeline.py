@@ -32,11 +32,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     classes = forest.near_duplicates(docs).filter(F.col("class_id") != F.col("doc_id")).select("doc_id").distinct()
     kept = docs.join(classes, "doc_id", "left_anti")
-    repeated = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").filter(F.col("doc_id").isNotNull()).select("doc_id")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    once = kept.join(repeated, "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")), *columns)).alias("_row"))
-    single = kept.join(repeated, "doc_id", "left_anti").select(*columns)
-    return single.unionByName(once.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns]))
+    # The join has dealt the rows by id, so this adds no shuffle.
+    alone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    whole = F.struct(F.coalesce("text", F.lit("")), *[F.col(f"`{c}`") for c in docs.columns])
+    once = kept.withColumn("_alone", alone).groupBy("doc_id", "_alone").agg(F.min(whole).alias("_row"))
+    return once.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
