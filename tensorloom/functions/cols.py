@@ -18,6 +18,11 @@ def first_failure(*rules: tuple[Column, str]) -> Column:
     return chain
 
 
+def whole_div(a: Column | str, b: Column | int) -> Column:
+    """Integer quotient, exact for every size; decimals give a BIGINT."""
+    return F.call_function("div", col(a), F.lit(b) if isinstance(b, int) else b)
+
+
 def epoch_ms(ts: Column | str) -> Column:
     """Milliseconds since the epoch of a zone-less timestamp."""
     return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01").cast("timestamp_ntz"), col(ts))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tensorloom.functions.cols import col, let
+from tensorloom.functions.cols import col, let, whole_div
 from tensorloom.functions.draws import coin, uniform
 
 # The example pipeline's 3x4 weights and the image channel statistics.
@@ -222,5 +222,5 @@ def reshape_index(flat: Column | str, shape) -> list[Column]:
     rest, out = col(flat), []
     for size in reversed(shape):
         out.append(F.pmod(rest, F.lit(size)).cast("int"))
-        rest = F.floor(rest / size)
+        rest = whole_div(rest, size)
     return out[::-1]

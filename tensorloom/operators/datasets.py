@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tensorloom.functions.cols import whole_div
 from tensorloom.functions.draws import digest
 from tensorloom.plans.scans import digest_cutoff, shuffled_rank
 
@@ -78,7 +79,7 @@ def cursor(df: DataFrame, identity: str, seed: int, epochs: int) -> DataFrame:
 
 def batches(df: DataFrame, position: str, size: int = BATCH_SIZE) -> DataFrame:
     """Batch number and slot from the cursor position."""
-    return df.withColumn("batch", F.floor(F.col(position) / size)).withColumn(
+    return df.withColumn("batch", whole_div(position, size)).withColumn(
         "slot", (F.col(position) % size).cast("int")
     )
 
@@ -94,15 +95,15 @@ def micro_batches(
     """
     replicas = max(replicas, 1)
     whole = max(per_step, 1) * replicas
-    steps = df.withColumn("step", F.floor(F.col(batch) / whole))
+    steps = df.withColumn("step", whole_div(batch, whole))
     size = F.col("_size")
     sizes = steps.groupBy("step").agg(F.countDistinct(batch).alias("_size"))
-    m = F.greatest(F.floor(size / replicas), F.lit(1))
+    m = F.greatest(whole_div(size, replicas), F.lit(1))
     within = F.col(batch) % whole
     even = size % replicas == 0
     return (
         steps.join(sizes, "step")
-        .withColumn("replica", F.when(even, F.floor(within / m)))
+        .withColumn("replica", F.when(even, whole_div(within, m)))
         .withColumn("micro", F.when(even, within % m))
         .withColumn("error", F.when(~even, "micro-batches cannot be split across replicas"))
         .drop("_size")

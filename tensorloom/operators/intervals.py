@@ -16,6 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tensorloom.functions.cols import whole_div
 from tensorloom.functions.draws import digest, uniform
 from tensorloom.plans.scans import find_hot, last_known, neighbours, row_numbers, running_total
 
@@ -238,13 +239,13 @@ def shift_seconds(pairs: DataFrame, headers: DataFrame, seconds: float) -> tuple
 def rescale_ticks(ticks: Column, old: Column, new: Column) -> Column:
     """ticks * new / old rounded half up, in integers wide enough for any product."""
     product = ticks.cast("decimal(19,0)") * new.cast("decimal(19,0)")
-    half = F.floor(old / 2).cast("decimal(19,0)")
-    return F.floor((product + half) / old.cast("decimal(19,0)")).cast("bigint")
+    half = whole_div(old.cast("bigint"), 2).cast("decimal(19,0)")
+    return whole_div(product + half, old.cast("decimal(19,0)"))
 
 
 def exact_div(a: Column, b: Column) -> Column:
     """Integer quotient of non-negative values."""
-    return ((a - a % b) / b).cast("bigint")
+    return whole_div(a.cast("bigint"), b.cast("bigint"))
 
 
 def rescale_to_duration(
@@ -440,7 +441,7 @@ def exact_time(ticks: Column, grid: Column) -> tuple[Column, Column]:
     """Whole seconds and nanoseconds of a tick count."""
     rest = (ticks % grid).cast("decimal(19,0)") * F.lit(10**9).cast("decimal(10,0)")
     wide = grid.cast("decimal(19,0)")
-    return exact_div(ticks, grid), ((rest - rest % wide) / wide).cast("bigint")
+    return exact_div(ticks, grid), whole_div(rest, wide)
 
 
 def total_nanos(ticks: Column, grid: Column) -> Column:

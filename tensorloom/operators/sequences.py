@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.functions import sequence_expr as se
+from tensorloom.functions.cols import whole_div
 from tensorloom.functions.draws import coin
 from tensorloom.plans.scans import running_total, shuffled_rank
 
@@ -199,10 +200,10 @@ def to_dense(df: DataFrame, batch: Sequence[str], seq: str, tokens: str) -> Data
 def to_ragged(dense: DataFrame, shapes: DataFrame, batch: Sequence[str]) -> DataFrame:
     """Coordinates of every dense entry: (sequence, position, rank)."""
     joined = dense.join(shapes.select(*batch, "n_sequence", "n_top_k"), list(batch))
-    position = F.floor(F.col("idx") / F.col("n_top_k"))
+    position = whole_div("idx", F.col("n_top_k"))
     return joined.select(
         *batch,
-        F.floor(position / F.col("n_sequence")).alias("seq"),
+        whole_div(position, F.col("n_sequence")).alias("seq"),
         (position % F.col("n_sequence")).alias("pos"),
         (F.col("idx") % F.col("n_top_k")).alias("rank"),
         "predicted",

@@ -108,7 +108,9 @@ def with_head(
     def ordered(value: Column | str) -> Column:
         value = F.col(value) if isinstance(value, str) else value
         pairs = F.sort_array(F.collect_list(F.struct(F.col("param_id"), value.alias("v"))))
-        return F.transform(pairs, lambda p: p["v"])
+        complete = (F.countDistinct("param_id") == size) & (F.count("param_id") == size)
+        gap = F.raise_error(F.lit(f"a head needs each parameter id from 0 to {size - 1} once"))
+        return F.when(complete, F.transform(pairs, lambda p: p["v"])).otherwise(gap.cast("array<double>"))
 
     one = params.filter(F.col("param_id").between(0, size - 1)).agg(
         *[ordered(value).alias(name) for name, value in heads.items()], F.lit(0).alias("_one")

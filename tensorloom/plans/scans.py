@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tensorloom.functions.draws import digest
 from tensorloom.session import durable
@@ -32,9 +33,24 @@ BLOCK = "_block"
 HOT = "_hot"
 
 
+QUANTILES = 1000
+
+
+def _place(df: DataFrame, order: str) -> Column:
+    """The order column as a double that never decreases along it."""
+    kind = df.schema[order].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(F.col(order).cast("timestamp")).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(order).cast("double")
+    if not isinstance(kind, T.NumericType):
+        raise TypeError(f"a hot key cannot be cut along a column of type {kind.simpleString()}")
+    return F.col(order).cast("double")
+
+
 @dataclass(frozen=True)
 class Split:
-    """Hot keys of a table with the range of their order column and slice count."""
+    """Hot keys of a table with the limits of their blocks along the order column."""
 
     keys: tuple[str, ...]
     order: str
@@ -43,18 +59,18 @@ class Split:
     def apply(self, df: DataFrame) -> DataFrame:
         """Add ``_block`` (0 for ordinary keys) and ``_hot`` where there are hot keys.
 
-        Blocks are equal slices of the key's own range of the order column, so
-        rows that compare equal share a block.
+        Limits are quantiles of the key's own rows, so blocks have about as many
+        rows each wherever the values lie, and rows that compare equal share one.
         """
         if self.hot is None or BLOCK in df.columns:
             return df
-        span = F.col("_hi") - F.col("_lo") + F.lit(1)
-        slice_no = F.floor((F.col(self.order) - F.col("_lo")) * F.col("_slices") / span)
+        place = _place(df, self.order)
+        below = F.size(F.filter("_limits", lambda x: x < F.col("_place")))
         return (
-            df.join(F.broadcast(self.hot), list(self.keys), "left")
-            .withColumn(HOT, F.col("_slices").isNotNull())
-            .withColumn(BLOCK, F.coalesce(slice_no, F.lit(0)).cast("bigint"))
-            .drop("_lo", "_hi", "_slices")
+            df.withColumn("_place", place).join(F.broadcast(self.hot), list(self.keys), "left")
+            .withColumn(HOT, F.col("_limits").isNotNull())
+            .withColumn(BLOCK, F.when(F.col(HOT), below).otherwise(0).cast("bigint"))
+            .drop("_limits", "_place")
         )
 
     def settle(self, df: DataFrame) -> DataFrame:
@@ -69,10 +85,11 @@ class Split:
 def find_hot(
     df: DataFrame, keys: Sequence[str], order: str, min_rows: int = MIN_ROWS
 ) -> Split:
-    """One counting pass; lists the hot keys, at most ``MAX_HOT``, on the driver."""
-    counts = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi")
-    )
+    """One counting pass; lists the hot keys, at most ``MAX_HOT``, on the driver.
+
+    A second pass over hot rows alone finds the quantiles that cut their blocks.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     large = counts.filter(F.col("_n") > min_rows)
     total = F.greatest(F.lit(float(min_rows)), F.col("_total") / F.lit(float(MAX_HOT)))
     hot = (
@@ -80,11 +97,22 @@ def find_hot(
         .withColumn("_share", total)
         .filter(F.col("_n") > F.col("_share"))
         .withColumn("_slices", F.ceil(F.col("_n") / F.col("_share")))
-        .select(*keys, "_lo", "_hi", "_slices")
+        .select(*keys, "_slices")
     )
     rows = hot.collect()
-    listed = df.sparkSession.createDataFrame(rows, hot.schema) if rows else None
-    return Split(tuple(keys), order, listed)
+    if not rows:
+        return Split(tuple(keys), order, None)
+    listed = df.sparkSession.createDataFrame(rows, hot.schema)
+    shares = F.array(*[F.lit(k / QUANTILES) for k in range(1, QUANTILES)])
+    values = df.select(*keys, _place(df, order).alias("_place")).join(F.broadcast(listed), list(keys))
+    found = values.groupBy(*keys).agg(
+        F.percentile_approx("_place", shares, 20 * QUANTILES).alias("_q"), F.first("_slices").alias("_slices")
+    )
+    # Of the quantiles every key keeps as many as it has blocks, fewer than 2 * MAX_HOT in all.
+    wide = F.least(F.col("_slices"), F.lit(QUANTILES)).cast("int")
+    chosen = F.transform(F.sequence(F.lit(1), wide), lambda i: F.element_at("_q", F.least(F.greatest((i * QUANTILES / wide).cast("int"), F.lit(1)), F.lit(QUANTILES - 1))))
+    limits = found.select(*keys, F.array_distinct(chosen).alias("_limits"))
+    return Split(tuple(keys), order, df.sparkSession.createDataFrame(limits.collect(), limits.schema))
 
 
 def _finish(local: DataFrame, carry: DataFrame, split: Split) -> DataFrame:

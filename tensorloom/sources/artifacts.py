@@ -78,7 +78,9 @@ def delete(objects: DataFrame, ids: DataFrame) -> DataFrame:
 def byte_range(data: Column | str, offset: Column, length: Column) -> Column:
     """Slice that is short or empty past the end."""
     data = F.col(data) if isinstance(data, str) else data
-    return F.substring(data, (offset + 1).cast("int"), length.cast("int"))
+    most = F.lit((1 << 31) - 2).cast("bigint")
+    start, n = F.least(offset.cast("bigint"), most), F.least(length.cast("bigint"), most)
+    return F.substring(data, (start + 1).cast("int"), n.cast("int"))
 
 
 def read_ranges(ranges: DataFrame, objects: DataFrame, data: str) -> DataFrame:
