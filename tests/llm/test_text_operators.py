@@ -358,10 +358,15 @@ def test_attention_gradient_causality_and_windows():
     text = rng.integers(0, 18, 61)
     chain = np.concatenate([[18], text, [19]])
     inputs = of[chain[:-1]][None]
-    h, _ = attention.attend(weights, inputs, np.ones(inputs.shape, bool), inputs.shape[1])
-    logits = h[0] @ weights["out"] + weights["bias"]
-    whole = sum(x[of[t]] - np.log(np.exp(x).sum()) for x, t in zip(logits, chain[1:]))
-    short = attention.log_likelihood(weights, classes, [text, np.zeros(0, np.int64)], settings)
+    h, _ = attention.attend(weights, inputs)
+    pick = lambda x, at: x[at] - np.log(np.exp(x).sum())
+    whole = 0.0
+    for row, token in zip(h[0], chain[1:]):
+        shelf, place = divmod(of[token], 3)  # nine classes on three shelves
+        whole += pick(row @ weights["top"] + weights["top_bias"], shelf)
+        whole += pick((row @ weights["out"] + weights["bias"])[3 * shelf : 3 * shelf + 3], place)
+    tables = attention.scoring_tables(weights, classes.n)
+    short = attention.log_likelihood(tables, classes, [text, np.zeros(0, np.int64)], settings)
     assert short[0] == pytest.approx(whole, rel=1e-6) and short[1] < 0
 
 
