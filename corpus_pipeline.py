@@ -45,12 +45,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A character of which some bytes would go stays: a span is narrowed to whole
     characters. Texts of which nothing is left go.
     """
-    cut = substrings.remove_repeats(docs, whole_characters=True)
-    kept = cut.filter(F.size("spans") > 0).select(F.col("doc_id"), F.col("kept").cast("string").alias("_text"))
-    changed = docs.join(kept, "doc_id", "left")
-    text = F.coalesce("_text", "text")
-    out = changed.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.filter(F.length("text") > 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    cut = substrings.remove_repeats(docs, whole_characters=True, carry=rest).withColumn("_text", F.col("kept").cast("string"))
+    own = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("_text"), "n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)}
+    columns = [own.get(c, F.col("carried").getField(c)).alias(c) for c in docs.columns]
+    return cut.filter(F.length("_text") > 0).select(*columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

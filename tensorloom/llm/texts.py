@@ -169,6 +169,6 @@ class PieceEncoder:
         return [x for x in (*new, *marked) if len(x) > LONG_PIECE]
 
 
-def text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only the id and the text as bytes (NULL: empty), under fixed names."""
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), as_bytes(F.col(f"`{text_col}`")).alias("data"))
+def text_rows(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """Only the id, the text as bytes (NULL: empty), under fixed names, and what is asked for besides."""
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), as_bytes(F.col(f"`{text_col}`")).alias("data"), *more)
