@@ -303,6 +303,15 @@ def test_remove_repeats(spark, docs, empty, many, monkeypatch):
         assert substrings.remove_repeats(docs).count() == docs.count()
 
 
+def test_remove_repeats_carries_columns(spark):
+    passage = "the same sixty or so bytes of words stand in both of these texts "
+    table = [(1, passage + "a", "x", 1, 7), (2, passage + "b", None, 2, 8), (None, passage, "z", 3, None), (4, None, "n", None, 9)]
+    df = spark.createDataFrame(table, "doc_id bigint, text string, data string, spans int, carried int")
+    got = substrings.remove_repeats(df, carry=["data", "spans", "carried"], buckets=3).collect()
+    assert {(r.doc_id, *r.carried) for r in got} == {(r[0], *r[2:]) for r in table} and len(got) == 4
+    assert {r.doc_id: bytes(r.kept).decode() for r in got} == {1: passage + "a", 2: "b", None: passage, 4: ""}
+
+
 def test_suffix_order_and_previous_factors():
     rnd = random.Random(0)
     for _ in range(200):
