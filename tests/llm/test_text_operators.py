@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import textwrap
 import zlib
 from collections import Counter
 
@@ -137,6 +138,25 @@ def test_licences(spark, docs, empty):
     assert licences.scan(empty).collect() == []
 
 
+def test_licences_wrapped_long_and_several(spark):
+    wrapped = lambda name: textwrap.fill(licences.TEMPLATES[name], 72, initial_indent=" * ", subsequent_indent=" * ")
+    texts = {
+        1: "/*\n * MIT License\n *\n" + wrapped("MIT-full") + "\n */\ncode", 2: wrapped("MIT-permission"), 3: wrapped("BSD-3-Clause"),
+        4: prose(7, 200) + " " + licences.TEMPLATES["Apache-2.0"] + " " + prose(8, 300),
+        5: wrapped("BSD-3-Clause-full") + "\n" + prose(9, 3) + " " + licences.TEMPLATES["CC-BY-4.0"],
+        6: "No licence here, and no warranty.\n" + prose(10, 40),
+    }
+    found: dict = {}
+    for r in licences.scan(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).orderBy("doc_id", "start").collect():
+        found.setdefault(r.doc_id, []).append((r.licence, r.n_different))
+        part = texts[r.doc_id].encode()[r.start : r.end].replace(b" * ", b" ")
+        assert licences.words(part) == licences.words(licences.TEMPLATES[r.licence].encode())
+    assert found == {
+        1: [("MIT-full", 0)], 2: [("MIT-permission", 0)], 3: [("BSD-3-Clause", 0)], 4: [("Apache-2.0", 0)],
+        5: [("BSD-3-Clause-full", 0), ("CC-BY-4.0", 0)],
+    }
+
+
 # 3
 def test_ledger_against_sql(docs):
     con = duckdb.connect()
