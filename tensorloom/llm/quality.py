@@ -9,6 +9,7 @@ stored ledger alone.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from functools import reduce
 
@@ -54,6 +55,9 @@ _TAILS = bytes(range(0x80, 0xC0))
 # Letters of the Latin-1 supplement in UTF-8: À to ÿ without the two signs.
 _LATIN = re.compile(rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]")
 _LATIN_UPPER = re.compile(rb"\xc3[\x80-\x96\x98-\x9e]")
+# Characters that those counts do not know: beyond Latin-1, and its letters outside the range above.
+_LATIN_BYTES = bytes(range(0xC4))
+_ODD_LETTERS = (b"\xc2\xaa", b"\xc2\xb5", b"\xc2\xba")
 
 
 def measure(data: bytes) -> tuple[int, ...]:
@@ -61,16 +65,29 @@ def measure(data: bytes) -> tuple[int, ...]:
     words = data.split()
     lines = [x for x in data.split(b"\n") if x.strip()]
     count = lambda drop: len(data) - len(data.translate(None, drop))
-    letters, upper = count(_LETTERS), count(_UPPER)
-    if b"\xc3" in data:
-        letters += len(_LATIN.findall(data))
-        upper += len(_LATIN_UPPER.findall(data))
+    if not data.isascii() and (data.translate(None, _LATIN_BYTES) or any(x in data for x in _ODD_LETTERS)):
+        letters, upper = letters_of(data)
+    else:
+        letters, upper = count(_LETTERS), count(_UPPER)
+        if b"\xc3" in data:
+            letters += len(_LATIN.findall(data))
+            upper += len(_LATIN_UPPER.findall(data))
     return (
         len(words), len(data.translate(None, _SPACE + _TAILS)), count(_SYMBOLS), len(lines) - len(set(lines)),
         repeat_words(words), len(lines), letters, upper, max(Counter(words).values(), default=0),
     )
 
 
+def letters_of(data: bytes) -> tuple[int, int]:
+    """Letters of all scripts with the marks that combine with them, and capitals among them."""
+    letters = upper = 0
+    for char, n in Counter(data.decode("utf-8", "replace")).items():
+        kind = unicodedata.category(char)
+        letters += n * (kind[0] in "LM")
+        upper += n * (kind == "Lu")
+    return letters, upper
+
+
 def repeat_words(words: list[bytes]) -> int:
     """Words inside three-word windows that occur twice or more in the list."""
     found = list(zip(words, words[1:], words[2:]))

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import textwrap
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -191,6 +192,29 @@ def test_ledger_keeps_rows_and_ablation(docs, empty):
     assert quality.repeat_words([b"a"] * 3 + [b"b"] + [b"a"] * 3) == 6 and quality.repeat_words([b"a"] * 4) == 4
 
 
+def test_letters_of_all_scripts():
+    clean = {
+        "cyrillic": "Съешь ещё этих мягких французских булок, да выпей чаю. Москва строит новый мост через реку.",
+        "greek": "Η γρήγορη καφέ αλεπού πηδάει πάνω από το τεμπέλικο σκυλί. Ο ήλιος ανατέλλει κάθε πρωί.",
+        "arabic": "الكتاب على الطاولة في الغرفة الكبيرة، والطفل يقرأ قصة جميلة عن البحر والسماء.",
+        "hebrew": "הספר מונח על השולחן בחדר הגדול, והילד קורא סיפור יפה על הים ועל השמיים.",
+        "devanagari": "यह एक साफ़ दस्तावेज़ है जिसमें हिन्दी के कई शब्द और पूरे वाक्य लिखे गए हैं।",
+        "burmese": "မြန်မာ နိုင်ငံ သည် အရှေ့တောင် အာရှ တွင် တည်ရှိ သည်။",
+        "polish": "Zażółć gęślą jaźń, ŁÓDŹ leży nad rzeką.",
+    }
+    rules = {name: rule.replace("AND", "and") for name, rule in quality.RULES}
+    for name, text in clean.items():
+        known = dict(zip(quality.MEASURES, quality.measure(text.encode())))
+        kinds = Counter(unicodedata.category(c) for c in text)
+        assert (known["n_letters"], known["n_upper"]) == (sum(n for k, n in kinds.items() if k[0] in "LM"), kinds["Lu"]), name
+        assert not eval(rules["few_letters"], {}, known) and not eval(rules["capitals"], {}, known), name
+    assert eval(rules["capitals"], {}, dict(zip(quality.MEASURES, quality.measure("МОСКВА СТРОИТ НОВЫЙ мост".encode()))))
+    for text in ("§ 12 – 34 … 56 78", "12 € 34 ☃☃"):
+        assert eval(rules["few_letters"], {}, dict(zip(quality.MEASURES, quality.measure(text.encode()))))
+    for text in ("Élan naïf × 3 ÷ 4, Größe", "plain words"):
+        assert quality.measure(text.encode())[6:8] == quality.letters_of(text.encode())
+
+
 # 4
 def links_of(table: list[tuple]) -> dict:
     sets = []
