@@ -5,7 +5,10 @@ where the sum of the squared counts grows least, so no gap that later items
 could fill dies out. Items are dealt to groups at random and each group is
 packed by one task; its sequences that stay open are broken up again and their
 items meet those of other groups in the next round, until one group is left.
-A round sends on only what open sequences hold, a small share of a group.
+A round has as many groups as the items still waiting need, so no group outgrows
+its size. With mixed lengths open sequences hold a small share of a group; where
+lengths seldom fill a sequence most items stay open, meeting others gains
+nothing, and all groups of the round are settled as they are.
 """
 
 from __future__ import annotations
@@ -87,19 +90,22 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return sequence, offset, np.array(gaps, np.int64)
 
 
-def _pack_group(capacity: int, last: bool):
+def _pack_group(capacity: int):
     def run(table: pa.Table) -> pa.Table:
         """Longest items first; ties in the order of their row digests, so runs repeat."""
         order = np.lexsort((table["_tie"].to_numpy(), -table["_len"].to_numpy()))
         table = table.take(pa.array(order))
         sequence, offset, gaps = sum_of_squares(table["_len"].to_numpy(), capacity)
-        done = np.ones(len(sequence), bool) if last else gaps[sequence] == 0
         table = table.append_column("_seq", pa.array(sequence)).append_column("_at", pa.array(offset))
-        return table.append_column("_done", pa.array(done))
+        return table.append_column("_done", pa.array(gaps[sequence] == 0))
 
     return run
 
 
+def groups_for(waiting: int, group_items: int) -> int:
+    return max(1, -(-waiting // group_items))
+
+
 def pack(
     items: DataFrame, length: str, capacity: int, *, group_items: int = GROUP_ITEMS, fan_in: int = FAN_IN
 ) -> DataFrame:
@@ -119,7 +125,7 @@ def pack(
     # Written once: what is dealt out must not change when a task is repeated.
     numbered = durable(items.withColumns({"_len": sound, "_row": F.monotonically_increasing_id()}))
     total = numbered.filter(F.col("_len") < capacity).count()
-    groups = max(1, -(-total // group_items))
+    groups = groups_for(total, group_items)
     seed = F.xxhash64("_row")
     waiting = numbered.filter(F.col("_len") < capacity).select("_row", "_len", seed.alias("_tie"))
     settled = [numbered.filter(F.col("_len") == capacity).select("_row", F.lit(-1).alias("_round"), F.col("_row").alias("_group"), F.lit(0).cast("bigint").alias("_seq"), F.lit(0).cast("bigint").alias("_at"))]
@@ -127,12 +133,15 @@ def pack(
     step = 0
     while True:
         dealt = waiting.withColumn("_group", F.pmod(F.xxhash64("_tie", F.lit(step)), F.lit(groups)))
-        packed = durable(dealt.groupBy("_group").applyInArrow(_pack_group(capacity, groups == 1), schema))
-        settled.append(packed.filter("_done").select("_row", F.lit(step).alias("_round"), "_group", "_seq", "_at"))
-        if groups == 1:
+        packed = durable(dealt.groupBy("_group").applyInArrow(_pack_group(capacity), schema))
+        left = 0 if groups == 1 else packed.filter(~F.col("_done")).count()
+        last = left == 0 or (left > group_items and 2 * left > total)
+        settled.append((packed if last else packed.filter("_done")).select("_row", F.lit(step).alias("_round"), "_group", "_seq", "_at"))
+        if last:
             break
         waiting = packed.filter(~F.col("_done")).select("_row", "_len", "_tie")
-        groups, step = max(1, groups // fan_in), step + 1
+        # What is left of at most ``fan_in`` groups meets in one.
+        total, groups, step = left, max(groups_for(left, group_items), groups // fan_in), step + 1
     placed = settled[0]
     for part in settled[1:]:
         placed = placed.unionByName(part)

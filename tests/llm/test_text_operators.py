@@ -7,6 +7,7 @@ import math
 import random
 import textwrap
 import unicodedata
+import uuid
 import zlib
 from collections import Counter
 
@@ -528,6 +529,35 @@ def test_packing(docs, empty, group):
     assert packing.pack(packing.cut_documents(empty, BYTE_BPE, 0, 64), "length", 64).collect() == []
 
 
+@pytest.mark.parametrize("lengths", [[40], [33, 41, 52, 63], [40, 24]])
+def test_packing_groups_stay_bounded(spark, monkeypatch, tmp_path, lengths):
+    made = packing._pack_group
+
+    def noted(*args):
+        run = made(*args)
+
+        def noting(table):
+            (tmp_path / uuid.uuid4().hex).write_text(str(table.num_rows))
+            return run(table)
+
+        return noting
+
+    monkeypatch.setattr(packing, "_pack_group", noted)
+    items = spark.range(3000).select("id", F.element_at(F.array(*map(F.lit, lengths)), (F.col("id") % len(lengths) + 1).cast("int")).alias("length"))
+    got = packing.pack(items, "length", 64, group_items=100, fan_in=16).collect()
+    sizes = [int(x.read_text()) for x in tmp_path.iterdir()]
+    assert max(sizes) <= 200
+    assert sorted(r.id for r in got) == list(range(3000))
+    by: dict = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in by.values():
+        ends = [a + n for a, n in sorted(parts)]
+        assert [a for a, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 64
+    least = 1500 if lengths == [40, 24] else 3000
+    assert least <= len(by) <= least * 1.02
+
+
 def test_packing_refuses_bad_lengths(spark, docs):
     for bad in (0, 65, None):
         with pytest.raises(Exception, match="not between"):
