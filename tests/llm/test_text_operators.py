@@ -390,6 +390,28 @@ def test_scores(spark, docs, empty):
     assert attention.score_texts(empty, WORD_BPE, 49406, 49407).collect() == []
 
 
+def test_all_training_ids_are_predicted_and_counted(spark):
+    settings, _ = attention.read_settings(WORD_BPE, 49406, 49407)
+    texts = [(k, prose(40 + k, n) + " pneumonoultramicroscopicsilicovolcanoconiosis " * 30) for k, n in enumerate((0, 3, 700, 2000))] + [(50, ""), (51, "a")]
+    rows_ = spark.createDataFrame(texts, "doc_id bigint, data string").select("doc_id", F.col("data").cast("binary").alias("data"))
+    gathered = rows_.mapInArrow(attention._gather(settings), "word binary, n bigint, windows binary").filter("windows IS NOT NULL").select("windows").cache()
+    got = [x for r in gathered.collect() for x in attention._window_rows(r.windows)]
+    plain = Tokenizer.from_file(WORD_BPE)
+    chains = [[49406, *plain.encode(t, add_special_tokens=False).ids, 49407] for d, t in texts if attention.fold(d) != attention.HELD_OUT]
+    pairs = Counter(p for c in chains for p in zip(c, c[1:]))
+    assert Counter((int(a), int(b)) for x in got for a, b in zip(x, x[1:]) if b != settings.size) == pairs
+    of = np.arange(attention.IDS) % 7
+    before = attention.followers(gathered, of, 7, settings)
+    want = np.zeros((7, 7))
+    for (a, b), n in pairs.items():
+        want[b % 7, a % 7] += n
+    assert before.tolist() == want.tolist()
+    ids = np.unique([x for c in chains for x in c[1:-1]])
+    frequent, grouped = ids[:5], ids[5:40]
+    near = attention.contexts(gathered, frequent, grouped, settings)
+    assert near.tolist() == [[sum((x[1:] == g).sum() * (x == f).sum() for x in got) for f in frequent] for g in grouped]
+
+
 def test_attention_gradient_causality_and_windows():
     rng = np.random.default_rng(0)
     of = np.zeros(attention.IDS, np.int64)
