@@ -14,6 +14,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow.compute as pc
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -348,6 +349,35 @@ def test_remove_repeats(spark, docs, empty, many, monkeypatch):
         assert substrings.remove_repeats(docs).count() == docs.count()
 
 
+def test_hot_passages_stay_out_of_single_tasks(spark, docs, monkeypatch, tmp_path):
+    """A passage of 60 bytes in other surroundings each time, and whole copies of a text."""
+    passage = "the passage that many of the documents share word for word now"
+    table = [(k, f"{prose(1000 + k, 12)} {passage} {prose(3000 + k, 12)}") for k in range(80)] + [(200 + k, prose(77, 30)) for k in range(40)]
+    made, judge = substrings.whole_runs, substrings._judge
+
+    def note(n: int, kind: str):
+        (tmp_path / f"{kind}-{uuid.uuid4().hex}").write_text(str(n))
+
+    def noted(batches, keys):
+        for part, begins in made(batches, keys):
+            note(int(np.unique(part["key"].to_numpy(), return_counts=True)[1].max()), "rows")
+            yield part, begins
+
+    def judged(part, many):
+        by_anchor = part.filter(pc.less(part["bucket"], 8))
+        note(sum(len(substrings._docs(x)) for x in by_anchor["copied_docs"].to_pylist()), "copies")
+        return judge(part, many)
+
+    monkeypatch.setattr(substrings, "whole_runs", noted)
+    monkeypatch.setattr(substrings, "_judge", judged)
+    source = spark.createDataFrame(table, "doc_id bigint, text string").repartition(4)
+    got = Counter((r.doc_id, r.n_bytes, tuple((s.start, s.end) for s in r.spans), r.kept) for r in substrings.remove_repeats(source, buckets=8, many=8).collect())
+    assert got == removed(table)
+    sizes = {kind: [int(x.read_text()) for x in tmp_path.glob(f"{kind}-*")] for kind in ("rows", "copies")}
+    assert max(sizes["rows"], default=0) <= 8
+    assert sizes["copies"] and not any(sizes["copies"])
+
+
 def test_remove_repeats_carries_columns(spark):
     passage = "the same sixty or so bytes of words stand in both of these texts "
     table = [(1, passage + "a", "x", 1, 7), (2, passage + "b", None, 2, 8), (None, passage, "z", 3, None), (4, None, "n", None, 9)]
