@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorloom.llm import attention, bpe_tree, forest, licences, packing, quality, sketches, substrings, token_files, wordpiece
+from tensorloom.llm import (
+    attention, bpe_tree, forest, licences, mixing, packing, quality, repair, sketches, substrings, token_files, whitening,
+    wordpiece,
+)
 from tensorloom.llm.texts import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +155,18 @@ def op5_paragraph_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return attention.score_texts(documents(spark, sf_dir), path, begin_id=49406, end_id=49407).drop("losses")
+
+
+@query
+def op11_refined_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query
+def op12_shared_ending_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@query
+def op13_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
