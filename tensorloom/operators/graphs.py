@@ -275,7 +275,6 @@ def merge_nested(
     ports: DataFrame,
     links: DataFrame,
     top: DataFrame,
-    min_rows: int = 1_000_000,
 ) -> tuple[DataFrame, DataFrame]:
     """Expand nested graphs into their parents.
 
@@ -324,8 +323,8 @@ def merge_nested(
         sizes = inner.groupBy("top", "place").agg(F.count(F.lit(1)).alias("_n")).withColumn(
             "_first", F.element_at("place", 1)
         )
-        offsets = running_total(sizes, ["top"], ["_first", "place"], {"_through": F.col("_n")}, min_rows)
-        within = row_numbers(inner, ["top", "place"], [item], "_r", min_rows)
+        offsets = running_total(sizes, ["top"], ["_first", "place"], {"_through": F.col("_n")})
+        within = row_numbers(inner, ["top", "place"], [item], "_r")
         fresh = (
             within.join(offsets.select("top", "place", (F.col("_through") - F.col("_n")).alias("_off")), ["top", "place"])
             .join(outer, "top", "left")
@@ -414,10 +413,10 @@ def expand_lanes(vertices: DataFrame, links: DataFrame) -> tuple[DataFrame, Data
     )
 
 
-def linear_chains(vertices: DataFrame, links: DataFrame, min_rows: int = 1_000_000) -> DataFrame:
+def linear_chains(vertices: DataFrame, links: DataFrame) -> DataFrame:
     """Whether every graph is one chain through its vertices in id order."""
     following = neighbours(
-        vertices.select(G, "vertex").distinct(), [G], ["vertex"], {"_next": "vertex"}, 1, min_rows
+        vertices.select(G, "vertex").distinct(), [G], ["vertex"], {"_next": "vertex"}, 1
     )
     outgoing = links.groupBy(G, F.col("source").alias("vertex")).agg(
         F.count(F.lit(1)).alias("_n"), F.min("target").alias("_to")

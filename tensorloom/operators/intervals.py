@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.functions.cols import whole_div
 from tensorloom.functions.draws import digest, uniform
-from tensorloom.plans.scans import find_hot, last_known, neighbours, row_numbers, running_total
+from tensorloom.plans.scans import first_rows, last_known, lay_out, neighbours, row_numbers, running_total
 
 # Key range, velocity range, tempo default and fallback grid.
 FIRST_KEY, LAST_KEY = 21, 108
@@ -48,7 +48,7 @@ def note_events(df: DataFrame, channel: int | None = None) -> DataFrame:
     return kept.withColumn("on", F.col("on") & (F.col("velocity") != 0))
 
 
-def pair_events(events: DataFrame, ends: DataFrame, min_rows: int = 1_000_000) -> DataFrame:
+def pair_events(events: DataFrame, ends: DataFrame) -> DataFrame:
     """On/off pairs per (log, channel, key).
 
     Each "on" lasts until the next event of its key: an "off" gives the release
@@ -62,7 +62,6 @@ def pair_events(events: DataFrame, ends: DataFrame, min_rows: int = 1_000_000) -
         ["tick", "ordinal"],
         {"_tick": "tick", "_on": "on", "_velocity": "velocity"},
         1,
-        min_rows,
     ).filter("on")
     return following.join(ends, "log_id").select(
         "log_id",
@@ -76,7 +75,7 @@ def pair_events(events: DataFrame, ends: DataFrame, min_rows: int = 1_000_000) -
     )
 
 
-def rate_map(changes: DataFrame, division: int, min_rows: int = 1_000_000) -> DataFrame:
+def rate_map(changes: DataFrame, division: int) -> DataFrame:
     """Segments (log_id, start, seconds, micros) from rate changes.
 
     ``changes``: log_id, tick, ordinal, micros. Of several changes at one tick
@@ -94,18 +93,16 @@ def rate_map(changes: DataFrame, division: int, min_rows: int = 1_000_000) -> Da
         .groupBy("log_id", "tick")
         .agg(F.max_by("micros", "ordinal").alias("micros"))
     )
-    split = find_hot(points, LOG, "tick", min_rows)
-    before = split.settle(
-        neighbours(points, LOG, ["tick"], {"_tick": "tick", "_micros": "micros"}, -1, split=split)
-    )
+    laid = lay_out(points, LOG, ["tick"])
+    before = laid.settle(neighbours(laid.df, LOG, ["tick"], {"_tick": "tick", "_micros": "micros"}, -1, laid))
     span = (F.col("tick") - F.col("_tick")) * F.col("_micros") / F.lit(1e6) / F.lit(float(division))
     return running_total(
-        before, LOG, ["tick"], {"seconds": F.coalesce(span, F.lit(0.0))}, split=split
+        before, LOG, ["tick"], {"seconds": F.coalesce(span, F.lit(0.0))}, laid
     ).select("log_id", F.col("tick").alias("start"), "seconds", "micros")
 
 
 def seconds_at(
-    rows: DataFrame, tick: str, segments: DataFrame, division: int, out: str, min_rows: int = 1_000_000
+    rows: DataFrame, tick: str, segments: DataFrame, division: int, out: str
 ) -> DataFrame:
     """Seconds of a tick by the segment in force; logs without segments run at the default."""
     marks = segments.select(
@@ -116,7 +113,7 @@ def seconds_at(
     )
     queries = rows.withColumns({"_t": F.col(tick), "_kind": F.lit(1)})
     both = queries.unionByName(marks, allowMissingColumns=True)
-    found = last_known(both, LOG, ["_t", "_kind"], {"_at": "_seg"}, min_rows).filter("_kind = 1")
+    found = last_known(both, LOG, ["_t", "_kind"], {"_at": "_seg"}).filter("_kind = 1")
     seconds = F.coalesce("_at.seconds", F.lit(0.0)) + (
         F.col(tick) - F.coalesce("_at.start", F.lit(0))
     ) * F.coalesce("_at.micros", F.lit(DEFAULT_MICROS)) / F.lit(1e6) / F.lit(float(division))
@@ -318,21 +315,20 @@ def merge_logs(
     return pairs.unionByName(moved), loops.select(*headers.columns)
 
 
-def truncate(pairs: DataFrame, headers: DataFrame, length: int, min_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+def truncate(pairs: DataFrame, headers: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """First ``length`` pairs of every log in file order; the loop becomes implicit."""
-    ranked = row_numbers(pairs, LOG, ["pos"], "_rn", min_rows).filter(F.col("_rn") <= length).drop("_rn")
-    return ranked, headers.withColumn("loop_ticks", F.lit(None).cast("bigint"))
+    return first_rows(pairs, LOG, ["pos"], length), headers.withColumn("loop_ticks", F.lit(None).cast("bigint"))
 
 
 # -- performing --------------------------------------------------------------
 
 
-def canonical_rank(pairs: DataFrame, name: str, min_rows: int = 1_000_000) -> DataFrame:
+def canonical_rank(pairs: DataFrame, name: str) -> DataFrame:
     """Position in (start, key, velocity) order, ties in file order."""
-    return row_numbers(pairs, LOG, CANONICAL, name, min_rows)
+    return row_numbers(pairs, LOG, CANONICAL, name)
 
 
-def to_events(pairs: DataFrame, headers: DataFrame, min_rows: int = 1_000_000) -> DataFrame:
+def to_events(pairs: DataFrame, headers: DataFrame) -> DataFrame:
     """Attack and release events in playing order with voice ids and sequence numbers.
 
     Voices follow the canonical order; at one tick attacks come first. A log whose
@@ -341,7 +337,7 @@ def to_events(pairs: DataFrame, headers: DataFrame, min_rows: int = 1_000_000) -
     loops = effective_loop(headers, pairs)
     short = F.col("loop_ticks") < F.col("last_release")
     good = loops.filter(~F.coalesce(short, F.lit(False))).select("log_id", "ticks_per_second")
-    voiced = canonical_rank(pairs, "voice", min_rows).join(good, "log_id")
+    voiced = canonical_rank(pairs, "voice").join(good, "log_id")
     release = F.coalesce("release", "velocity")
 
     def event(rank: int, action: str, tick: Column, velocity: Column) -> Column:
@@ -360,7 +356,7 @@ def to_events(pairs: DataFrame, headers: DataFrame, min_rows: int = 1_000_000) -
     ).select("log_id", "voice", "key", "duration", "ticks_per_second", "_e.*")
     # Timestamps are whole nanoseconds, so different ticks may share one.
     timed = spread.withColumn("nanos", total_nanos(F.col("tick"), F.col("ticks_per_second")))
-    numbered = row_numbers(timed, LOG, ["nanos", "rank", "key", "voice"], "sequence", min_rows)
+    numbered = row_numbers(timed, LOG, ["nanos", "rank", "key", "voice"], "sequence")
     events = numbered.select(
         "log_id", "sequence", "voice", "key", "action", "tick", "nanos",
         (F.col("velocity") / F.lit(float(MAX_VELOCITY))).alias("velocity"),
@@ -371,22 +367,20 @@ def to_events(pairs: DataFrame, headers: DataFrame, min_rows: int = 1_000_000) -
     return events.unionByName(bad, allowMissingColumns=True)
 
 
-def diagnostics(
-    pairs: DataFrame, headers: DataFrame, file_anchors: DataFrame, min_rows: int = 1_000_000
-) -> DataFrame:
+def diagnostics(pairs: DataFrame, headers: DataFrame, file_anchors: DataFrame) -> DataFrame:
     """Findings (log_id, level, finding, amount) of every log."""
     def finding(df: DataFrame, level: str, text: str) -> DataFrame:
         return df.select("log_id", F.lit(level).alias("level"), F.lit(text).alias("finding"), F.col("amount").cast("bigint"))
 
     value = ["start", "duration", "key", "velocity", "release"]
-    before = neighbours(pairs, LOG, CANONICAL, {f"_{c}": c for c in value}, -1, min_rows)
+    before = neighbours(pairs, LOG, CANONICAL, {f"_{c}": c for c in value}, -1)
     same = F.col("_start").isNotNull()
     for c in value:
         same = same & F.col(f"_{c}").eqNullSafe(F.col(c))
     copies = before.groupBy("log_id").agg(F.count(F.when(same, 1)).alias("amount")).filter("amount > 0")
     # The file is sorted exactly when no pair sorts before the one it follows.
     order = ["start", "key", "velocity"]
-    filed = neighbours(pairs, LOG, ["pos"], {f"_{c}": c for c in order}, -1, min_rows)
+    filed = neighbours(pairs, LOG, ["pos"], {f"_{c}": c for c in order}, -1)
     back = F.struct(*[F.col(f"_{c}") for c in order]) > F.struct(*order)
     unsorted = filed.groupBy("log_id").agg(
         F.count(F.when(F.col("_start").isNotNull() & back, 1)).alias("amount")
@@ -449,13 +443,13 @@ def total_nanos(ticks: Column, grid: Column) -> Column:
     return seconds * F.lit(10**9).cast("bigint") + nanos
 
 
-def log_lines(events: DataFrame, skip_nanos: int = 0, min_rows: int = 1_000_000) -> DataFrame:
+def log_lines(events: DataFrame, skip_nanos: int = 0) -> DataFrame:
     """One text line per release that follows an attack of its voice.
 
     ``events``: log_id, voice, seq, action, nanos, velocity (0..1), key.
     """
     before = neighbours(
-        events, ["log_id", "voice"], ["seq"], {"_action": "action", "_nanos": "nanos", "_velocity": "velocity"}, -1, min_rows
+        events, ["log_id", "voice"], ["seq"], {"_action": "action", "_nanos": "nanos", "_velocity": "velocity"}, -1
     )
     closed = before.filter("action = 'release' AND _action = 'attack'")
 
@@ -499,9 +493,7 @@ def random_duration(u: Column, grid: Column) -> Column:
     return F.greatest(F.round(seconds * grid), F.lit(1)).cast("bigint")
 
 
-def mutate(
-    pairs: DataFrame, headers: DataFrame, noise: float, seed: int, min_rows: int = 1_000_000
-) -> DataFrame:
+def mutate(pairs: DataFrame, headers: DataFrame, noise: float, seed: int) -> DataFrame:
     """Delete, substitute or insert after exactly ``floor(n * noise)`` pairs of each log.
 
     Pairs are chosen by a digest of (log, pos), so the draws do not depend on each
@@ -511,8 +503,8 @@ def mutate(
     loops = effective_loop(headers, pairs).select("log_id", "ticks_per_second", "effective_loop")
     sizes = pairs.groupBy("log_id").agg(F.floor(F.count(F.lit(1)) * F.lit(noise)).alias("_m"))
     order = F.conv(F.substring(digest(f"{seed}:pick", "log_id", "pos"), 1, 12), 16, 10).cast("bigint")
-    ranked = row_numbers(pairs.withColumn("_o", order), LOG, ["_o", "pos"], "_rn", min_rows)
-    following = neighbours(ranked, LOG, ["pos"], {"_next": "start"}, 1, min_rows)
+    ranked = row_numbers(pairs.withColumn("_o", order), LOG, ["_o", "pos"], "_rn")
+    following = neighbours(ranked, LOG, ["pos"], {"_next": "start"}, 1)
     drawn = following.join(sizes, "log_id").join(loops, "log_id")
 
     def draw(part: str) -> Column:

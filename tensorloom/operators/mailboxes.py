@@ -12,10 +12,10 @@ from tensorloom.session import durable
 
 
 def name_next_inbox(
-    messages: DataFrame, keys: Sequence[str], order: Sequence[str], inbox: Column, min_rows: int = 1_000_000
+    messages: DataFrame, keys: Sequence[str], order: Sequence[str], inbox: Column
 ) -> DataFrame:
     """Add inbox and next_inbox from a sequence column; the last message names none."""
-    return neighbours(messages.withColumn("inbox", inbox), keys, order, {"next_inbox": "inbox"}, 1, min_rows)
+    return neighbours(messages.withColumn("inbox", inbox), keys, order, {"next_inbox": "inbox"}, 1)
 
 
 def follow_inboxes(messages: DataFrame) -> DataFrame:
@@ -33,10 +33,10 @@ def follow_inboxes(messages: DataFrame) -> DataFrame:
         if links.filter("_to IS NOT NULL").isEmpty():
             break
         ahead = links.select(F.col("inbox").alias("_to"), F.col("_to").alias("_to2"), F.col("_d").alias("_d2"))
-        links = durable(
-            links.join(ahead, "_to", "left").select(
-                "inbox", F.col("_to2").alias("_to"), (F.col("_d") + F.coalesce("_d2", F.lit(0))).alias("_d")
-            )
+        # Chains that have reached their end take no part in the join.
+        further = links.filter("_to IS NOT NULL").join(ahead, "_to", "left").select(
+            "inbox", F.col("_to2").alias("_to"), (F.col("_d") + F.coalesce("_d2", F.lit(0))).alias("_d")
         )
+        links = durable(further.unionByName(links.filter("_to IS NULL")))
     place = links.select("inbox", F.when(F.col("_to").isNull(), F.col("_d")).alias("to_end"))
     return messages.join(place, "inbox")

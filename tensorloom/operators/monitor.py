@@ -4,18 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tensorloom.functions.cols import first_failure
-from tensorloom.plans.scans import (
-    find_hot,
-    last_known,
-    neighbours,
-    row_numbers,
-    running_min,
-    running_total,
-)
+from tensorloom.plans.scans import MARKS, Laid, last_known, lay_out, neighbours, running_min, running_total
 
 # Phases in order; after the third the first active one returns.
 PHASES = ("idle", "propagation 1", "propagation 2", "potentiation")
@@ -28,14 +21,14 @@ def phase_distance(before: Column, after: Column) -> Column:
     return F.when(before == after, 0).when(before == 0, after).otherwise(F.pmod(after - before, F.lit(3)))
 
 
-def phase_sequence(log: DataFrame, order: Sequence[str], min_rows: int = 1_000_000) -> DataFrame:
+def phase_sequence(log: DataFrame, order: Sequence[str]) -> DataFrame:
     """Monotonic state number per node from its phase messages (node, phase)."""
-    split = find_hot(log, ["node"], order[0], min_rows)
-    before = split.settle(neighbours(log, ["node"], order, {"_before": "phase"}, -1, split=split))
+    laid = lay_out(log, ["node"], order)
+    before = laid.settle(neighbours(laid.df, ["node"], order, {"_before": "phase"}, -1, laid))
     step = phase_distance(F.coalesce("_before", F.lit(0)), F.col("phase"))
     return running_total(
-        before.withColumn("distance", step), ["node"], order, {"sequence": F.col("distance")}, split=split
-    ).drop("_before")
+        before.withColumn("distance", step), ["node"], order, {"sequence": F.col("distance")}, laid
+    ).drop("_before", *MARKS)
 
 
 def phase_after(before: Column, steps: Column) -> Column:
@@ -61,35 +54,32 @@ def recent_path(before: Column, count: Column) -> Column:
     return _steps(before, F.greatest(count - PENDING, F.lit(0)) + 1, count)
 
 
-def pending_phases(observations: DataFrame, order: Sequence[str], min_rows: int = 1_000_000) -> DataFrame:
+def pending_phases(observations: DataFrame, order: Sequence[str]) -> DataFrame:
     """Transitions to show per node: skipped phases filled in, the last four kept.
 
     ``observations``: node, phase, sequence. Rows whose sequence went back are
     ignored. The most recent transition has rank 1.
     """
-    split = find_hot(observations, ["node"], order[0], min_rows)
-    kept = split.settle(forward_only(observations, order, split=split))
-    before = split.settle(
-        neighbours(kept, ["node"], order, {"_phase": "phase", "_sequence": "sequence"}, -1, split=split)
-    )
+    laid = lay_out(observations, ["node"], order)
+    kept = laid.settle(forward_only(laid.df, order, laid))
+    before = neighbours(kept, ["node"], order, {"_phase": "phase", "_sequence": "sequence"}, -1, laid)
     start, seen = F.coalesce("_phase", F.lit(0)), F.coalesce("_sequence", F.lit(0))
     count = F.col("sequence") - seen
     recent = recent_path(start, count)
     fits = (count > 0) & (F.element_at(recent, -1) == F.col("phase"))
     path = F.when(fits, recent).otherwise(phase_path(start, F.col("phase")))
     spread = before.select("node", *order, F.posexplode(path).alias("step", "shown"))
-    back = spread.withColumns({f"_r{i}": -F.col(c) for i, c in enumerate([*order, "step"])})
-    ranked = row_numbers(back, ["node"], [f"_r{i}" for i in range(len(order) + 1)], "rank", min_rows)
+    # Partial ranking: a task passes on its last four transitions of a node alone.
+    latest = Window.partitionBy("node").orderBy(*[F.desc(c) for c in (*order, "step")])
+    ranked = spread.withColumn("rank", F.row_number().over(latest).cast("bigint"))
     return ranked.filter(F.col("rank") <= PENDING).select("node", *order, "step", "shown", "rank")
 
 
 def forward_only(
-    observations: DataFrame, order: Sequence[str], min_rows: int = 1_000_000, split=None
+    observations: DataFrame, order: Sequence[str], laid: Laid | None = None
 ) -> DataFrame:
     """Observations whose sequence is not below an earlier one."""
-    low = running_min(
-        observations.withColumn("_neg", -F.col("sequence")), ["node"], order, "_neg", "_low", min_rows, split
-    )
+    low = running_min(observations.withColumn("_neg", -F.col("sequence")), ["node"], order, "_neg", "_low", laid)
     return low.filter(F.col("_low").isNull() | (F.col("_neg") <= F.col("_low"))).drop("_neg", "_low")
 
 
@@ -128,17 +118,17 @@ def progress_ratio(step: Column, steps: Column) -> Column:
     return F.least(F.greatest(step, F.lit(1)), whole) / whole
 
 
-def shown_frozen(log: DataFrame, order: Sequence[str], min_rows: int = 1_000_000) -> DataFrame:
+def shown_frozen(log: DataFrame, order: Sequence[str]) -> DataFrame:
     """Flag to show per row: while optimising, the one seen when phase 2 began.
 
     ``log``: node, phase, frozen. Other phases, and optimisation without such a
     moment, show the latest flag.
     """
-    split = find_hot(log, ["node"], order[0], min_rows)
-    before = split.settle(neighbours(log, ["node"], order, {"_before": "phase"}, -1, split=split))
+    laid = lay_out(log, ["node"], order)
+    before = laid.settle(neighbours(laid.df, ["node"], order, {"_before": "phase"}, -1, laid))
     moment = F.when((F.col("_before") == 1) & (F.col("phase") == 2), F.col("frozen"))
     held = last_known(
-        before.withColumn("_moment", moment), ["node"], order, {"_held": "_moment", "_latest": "frozen"}, split=split
+        before.withColumn("_moment", moment), ["node"], order, {"_held": "_moment", "_latest": "frozen"}, laid
     )
     shown = F.when(F.col("phase") == 3, F.coalesce("_held", "_latest")).otherwise(F.col("_latest"))
     return held.withColumn("shown", shown).select(*log.columns, "shown")

@@ -102,7 +102,7 @@ def merge_batches(parts: Sequence[DataFrame], batch: Sequence[str], seq: str) ->
 
 
 def merge_pairs(
-    df: DataFrame, keys: Sequence[str], pair: str, side: str, seq: str, metadata: str, min_rows: int = 1_000_000
+    df: DataFrame, keys: Sequence[str], pair: str, side: str, seq: str, metadata: str
 ) -> DataFrame:
     """Concatenate all up passes and all down passes of a step, pairs in order.
 
@@ -111,7 +111,7 @@ def merge_pairs(
     sizes = df.groupBy(*keys, side, pair).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(metadata).alias("_m")
     )
-    offsets = running_total(sizes, [*keys, side], [pair], {"_through": F.col("_n")}, min_rows)
+    offsets = running_total(sizes, [*keys, side], [pair], {"_through": F.col("_n")})
     merged = sizes.groupBy(*keys, side).agg(F.sum("_m").alias(f"merged_{metadata}"))
     return (
         df.join(offsets.select(*keys, side, pair, "_n", "_through"), [*keys, side, pair])

@@ -18,15 +18,7 @@ from pyspark.sql import functions as F
 from tensorloom.functions import tensor_expr as te
 from tensorloom.functions.cols import first_failure, let
 from tensorloom.functions.draws import sign
-from tensorloom.plans.scans import (
-    BLOCK,
-    HOT,
-    find_hot,
-    last_known,
-    neighbours,
-    running_min,
-    running_total,
-)
+from tensorloom.plans.scans import AT, MARKS, last_known, lay_out, neighbours, running_min, running_total
 
 # Perturbation size, learning rate and derivative bound of a step.
 EPSILON = 1e-3
@@ -374,7 +366,7 @@ def sgd_step(params: DataFrame, gradients: DataFrame, pending: DataFrame, lr: fl
     )
 
 
-def match_passes(log: DataFrame, min_rows: int = 1_000_000) -> DataFrame:
+def match_passes(log: DataFrame) -> DataFrame:
     """First-in first-out match of backward to forward passes per instance.
 
     ``log`` has instance, seq and kind ('forward'/'backward'). A backward pass
@@ -382,15 +374,13 @@ def match_passes(log: DataFrame, min_rows: int = 1_000_000) -> DataFrame:
     the one that brings the running balance to a new low below zero.
     """
     signed = log.withColumn("_s", F.when(F.col("kind") == "forward", 1).otherwise(-1))
-    split = find_hot(log, ["instance"], "seq", min_rows)
-    balance = split.settle(
-        running_total(signed, ["instance"], ["seq"], {"_bal": F.col("_s")}, split=split)
-    )
-    low = running_min(balance, ["instance"], ["seq"], "_bal", "_low", split=split)
+    laid = lay_out(signed, ["instance"], ["seq"])
+    balance = laid.settle(running_total(laid.df, ["instance"], ["seq"], {"_bal": F.col("_s")}, laid))
+    low = running_min(balance, ["instance"], ["seq"], "_bal", "_low", laid)
     orphan = (F.col("kind") == "backward") & (
         F.col("_bal") < F.least(F.coalesce("_low", F.lit(0)), F.lit(0))
     )
-    marked = split.settle(low.withColumn("_orphan", orphan))
+    marked = laid.settle(low.withColumn("_orphan", orphan))
     ranked = running_total(
         marked,
         ["instance"],
@@ -399,7 +389,7 @@ def match_passes(log: DataFrame, min_rows: int = 1_000_000) -> DataFrame:
             "_fwd": F.when(F.col("kind") == "forward", 1).otherwise(0),
             "_bwd": F.when((F.col("kind") == "backward") & ~F.col("_orphan"), 1).otherwise(0),
         },
-        split=split,
+        laid,
     )
     forward = ranked.filter("kind = 'forward'").select(
         "instance", F.col("_fwd").alias("ordinal"), F.col("seq").alias("forward_seq")
@@ -591,7 +581,7 @@ def lane_agreement(log: DataFrame) -> DataFrame:
 # -- session order -----------------------------------------------------------
 
 
-def session_audit(log: DataFrame, min_rows: int = 1_000_000) -> DataFrame:
+def session_audit(log: DataFrame) -> DataFrame:
     """State before every command of a two-sided session and whether it is legal.
 
     ``log`` has instance, seq and command ('up', 'infer', 'down', 'optimise').
@@ -605,16 +595,16 @@ def session_audit(log: DataFrame, min_rows: int = 1_000_000) -> DataFrame:
     the number of swaps since.
     """
     key = ["instance"]
-    split = find_hot(log, key, "seq", min_rows)
+    laid = lay_out(log, key, ["seq"])
     infer = F.when(F.col("command") == "infer", 1).otherwise(0)
-    counted = split.settle(
-        running_total(split.apply(log), key, ["seq"], {"_through": infer}, split=split)
+    counted = laid.settle(
+        running_total(laid.df, key, ["seq"], {"_through": infer}, laid)
         .withColumn("_piece", F.col("_through") - infer)
         .drop("_through")
     )
     piece = [*key, "_piece"]
-    # A piece belongs to the block of its first row; blocks stay in piece order.
-    place = [] if split.hot is None else [F.min(BLOCK).alias(BLOCK), F.max(HOT).alias(HOT)]
+    # A piece has the marks of its first row, so pieces stay in order over the ranges.
+    place = [F.min(AT).alias(AT), *[F.min_by(m, AT).alias(m) for m in MARKS if m != AT]]
 
     def first(command: str) -> Column:
         return F.min(F.when(F.col("command") == command, F.col("seq")))
@@ -629,7 +619,7 @@ def session_audit(log: DataFrame, min_rows: int = 1_000_000) -> DataFrame:
         .groupBy(*piece)
         .agg(F.min("seq").alias("_reup"))
     )
-    pieces = split.settle(firsts.join(restarts, piece, "left"))
+    pieces = laid.settle(firsts.join(restarts, piece, "left"))
     leaves_down, leaves_update = F.col("_reup").isNotNull(), F.col("_down").isNotNull()
     # Exit state as 0 (waits for down) or 1 (waits for update).
     constant = (
@@ -638,18 +628,18 @@ def session_audit(log: DataFrame, min_rows: int = 1_000_000) -> DataFrame:
         .when(leaves_down & ~leaves_update, 0)
     )
     swap = F.when((F.col("_piece") > 0) & leaves_down & leaves_update, 1).otherwise(0)
-    walked = split.settle(
+    walked = laid.settle(
         running_total(
-            pieces.withColumn("_const", constant), key, ["_piece"], {"_swaps": swap}, split=split
+            pieces.withColumn("_const", constant), key, ["_piece"], {"_swaps": swap}, laid
         ).withColumn("_anchor", F.when(F.col("_const").isNotNull(), F.struct("_const", "_swaps")))
     )
-    known = last_known(walked, key, ["_piece"], {"_last": "_anchor"}, split=split)
-    exits = split.settle(
+    known = last_known(walked, key, ["_piece"], {"_last": "_anchor"}, laid)
+    exits = laid.settle(
         known.withColumn(
             "_exit", F.pmod(F.col("_last._const") + F.col("_swaps") - F.col("_last._swaps"), F.lit(2))
         )
     )
-    entries = neighbours(exits, key, ["_piece"], {"_entry": "_exit"}, -1, split=split)
+    entries = neighbours(exits, key, ["_piece"], {"_entry": "_exit"}, -1, laid)
     state = (
         F.when(F.col("_piece") == 0, F.when(F.col("_up") < F.col("seq"), "after up").otherwise("idle"))
         .when(F.col("_entry") == 0, F.when(F.col("_down") < F.col("seq"), "after down").otherwise("awaits down"))

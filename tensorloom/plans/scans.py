@@ -1,17 +1,16 @@
-"""Ordered scans over keyed rows that stay parallel when one key is hot.
-
-A window partitioned by a key puts all rows of that key into one task. Here a
-key with more than its share of rows is cut into blocks along the order column;
-the window runs per (key, block) and the effect of earlier or later blocks
-arrives as a carry from a table with one row per block.
-
-A key counts as hot when it has more than ``max(min_rows, total / MAX_HOT)``
-rows, so there are fewer than ``MAX_HOT`` hot keys, and a block stands for that
-many rows, so there are fewer than ``2 * MAX_HOT`` blocks in all. Hot keys may
-therefore be listed on the driver and carries may be broadcast at any scale.
-Without hot keys a scan is one ordinary window.
-
-Keys and order columns must not be NULL.
+"""Ordered scans over keyed rows, by one plan for all sizes and orderable types.
+
+A window partitioned by a key puts all rows of that key into one task. Here rows
+are laid out in ranges of (keys, order columns, input place), so a key fills as
+many ranges as it needs, whatever the types and however many rows tie. A window
+runs per (range, key), and what earlier or later ranges contribute arrives as a
+carry with one row per range. Only the last key of a range can go on in the next
+one, so carries have as many rows as there are ranges: they are broadcast, and
+where no key crosses a border there is none.
+
+NULL keys form a key of their own; NULLs come first in the order. An order column
+written with a leading ``-`` falls. Rows that compare equal stand in the order
+of the input.
 """
 
 from __future__ import annotations
@@ -21,255 +20,187 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import WindowSpec
 
 from tensorloom.functions.draws import digest
 from tensorloom.session import durable
 
-MAX_HOT = 10_000
-MIN_ROWS = 1_000_000
-
-BLOCK = "_block"
-HOT = "_hot"
-
-
-QUANTILES = 1000
-
-
-def _place(df: DataFrame, order: str) -> Column:
-    """The order column as a double that never decreases along it."""
-    kind = df.schema[order].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(order).cast("timestamp")).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(order).cast("double")
-    if not isinstance(kind, T.NumericType):
-        raise TypeError(f"a hot key cannot be cut along a column of type {kind.simpleString()}")
-    return F.col(order).cast("double")
+# Range, place in the whole order, and whether a row's key comes from or goes on in another range.
+BLOCK, AT, HEAD, TAIL = "_lay_block", "_lay_at", "_lay_head", "_lay_tail"
+MARKS = [BLOCK, AT, HEAD, TAIL]
 
 
 @dataclass(frozen=True)
-class Split:
-    """Hot keys of a table with the limits of their blocks along the order column."""
+class Laid:
+    """Rows in ranges, with the marks that scans need.
 
-    keys: tuple[str, ...]
-    order: str
-    hot: DataFrame | None
-
-    def apply(self, df: DataFrame) -> DataFrame:
-        """Add ``_block`` (0 for ordinary keys) and ``_hot`` where there are hot keys.
+    ``borders`` has a row per range whose first key comes from an earlier range:
+    ``block``, the range before it ``prev``, and ``run``, which the borders that
+    one key crosses share. None where no key crosses one.
+    """
 
-        Limits are quantiles of the key's own rows, so blocks have about as many
-        rows each wherever the values lie, and rows that compare equal share one.
-        """
-        if self.hot is None or BLOCK in df.columns:
-            return df
-        place = _place(df, self.order)
-        below = F.size(F.filter("_limits", lambda x: x < F.col("_place")))
-        return (
-            df.withColumn("_place", place).join(F.broadcast(self.hot), list(self.keys), "left")
-            .withColumn(HOT, F.col("_limits").isNotNull())
-            .withColumn(BLOCK, F.when(F.col(HOT), below).otherwise(0).cast("bigint"))
-            .drop("_limits", "_place")
-        )
+    df: DataFrame
+    keys: tuple[str, ...]
+    borders: DataFrame | None
 
     def settle(self, df: DataFrame) -> DataFrame:
-        """Between two scans of a chain: with hot keys a scan reads its input twice."""
-        return df if self.hot is None else durable(df)
+        """Between two scans of a chain: with carries a scan reads its input twice."""
+        return df if self.borders is None else durable(df)
 
-    @property
-    def parts(self) -> list[str]:
-        return [*self.keys] if self.hot is None else [*self.keys, BLOCK]
+    def window(self) -> WindowSpec:
+        return Window.partitionBy(BLOCK, *self.keys).orderBy(AT)
 
+    def carry(self, df: DataFrame, values: dict[str, Column], running: dict[str, Column], back: bool = False) -> DataFrame:
+        """What the ranges on the other side of a border hold of the key that crosses it.
 
-def find_hot(
-    df: DataFrame, keys: Sequence[str], order: str, min_rows: int = MIN_ROWS
-) -> Split:
-    """One counting pass; lists the hot keys, at most ``MAX_HOT``, on the driver.
+        ``values`` aggregate the key's rows within a range, ``running`` combine
+        them over its ranges up to the border, or from it on with ``back``.
+        """
+        here, there, side = ("prev", "block", HEAD) if back else ("block", "prev", TAIL)
+        found = df.filter(side).groupBy(BLOCK).agg(*[v.alias(n) for n, v in values.items()])
+        borders = self.borders.select("run", F.col(here).alias("_here"), F.col(there).alias(BLOCK))
+        return borders.join(found, BLOCK, "left").select(F.col("_here").alias(BLOCK), *[c.alias(n) for n, c in running.items()])
 
-    A second pass over hot rows alone finds the quantiles that cut their blocks.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    large = counts.filter(F.col("_n") > min_rows)
-    total = F.greatest(F.lit(float(min_rows)), F.col("_total") / F.lit(float(MAX_HOT)))
-    hot = (
-        large.withColumn("_total", counts.agg(F.sum("_n")).scalar())
-        .withColumn("_share", total)
-        .filter(F.col("_n") > F.col("_share"))
-        .withColumn("_slices", F.ceil(F.col("_n") / F.col("_share")))
-        .select(*keys, "_slices")
-    )
-    rows = hot.collect()
-    if not rows:
-        return Split(tuple(keys), order, None)
-    listed = df.sparkSession.createDataFrame(rows, hot.schema)
-    shares = F.array(*[F.lit(k / QUANTILES) for k in range(1, QUANTILES)])
-    values = df.select(*keys, _place(df, order).alias("_place")).join(F.broadcast(listed), list(keys))
-    found = values.groupBy(*keys).agg(
-        F.percentile_approx("_place", shares, 20 * QUANTILES).alias("_q"), F.first("_slices").alias("_slices")
-    )
-    # Of the quantiles every key keeps as many as it has blocks, fewer than 2 * MAX_HOT in all.
-    wide = F.least(F.col("_slices"), F.lit(QUANTILES)).cast("int")
-    chosen = F.transform(F.sequence(F.lit(1), wide), lambda i: F.element_at("_q", F.least(F.greatest((i * QUANTILES / wide).cast("int"), F.lit(1)), F.lit(QUANTILES - 1))))
-    limits = found.select(*keys, F.array_distinct(chosen).alias("_limits"))
-    return Split(tuple(keys), order, df.sparkSession.createDataFrame(limits.collect(), limits.schema))
+    def with_carry(self, local: DataFrame, carry: DataFrame) -> DataFrame:
+        return local.join(F.broadcast(carry), BLOCK, "left")
 
 
-def _finish(local: DataFrame, carry: DataFrame, split: Split) -> DataFrame:
-    return local.join(F.broadcast(carry), split.parts, "left")
+def _so_far(back: bool = False) -> WindowSpec:
+    """The borders one key crosses up to this one: fewer than there are ranges."""
+    return Window.partitionBy("run").orderBy(F.desc("_here") if back else F.asc("_here")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def _before(split: Split):
-    return (
-        Window.partitionBy(*split.keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    )
+def lay_out(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Laid:
+    """Rows sorted into ranges of (keys, order), kept by a checkpoint.
+
+    Limits of ranges come from Spark's own sampling of the sort columns, to
+    which the place in the input belongs: rows that compare equal are spread as
+    well. The driver sees numbers of ranges alone.
+    """
+    keys = tuple(keys)
+    sort = [*map(F.asc, keys), *[F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in order], F.asc("_lay_tie")]
+    ranged = df.withColumn("_lay_tie", F.monotonically_increasing_id()).repartitionByRange(*sort).sortWithinPartitions(*sort)
+    # Ranges are not the same when they are computed again, so they are kept.
+    kept = durable(ranged.drop("_lay_tie").withColumns({BLOCK: F.spark_partition_id(), AT: F.monotonically_increasing_id()}))
+    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.lit(0).alias("k"))
+    # One row per range from here on.
+    ends = durable(kept.groupBy(BLOCK).agg(F.min_by(key, AT).alias("_first"), F.max_by(key, AT).alias("_last")))
+    inorder = Window.orderBy(BLOCK)
+    crossed = F.coalesce(F.lag("_last").over(inorder).eqNullSafe(F.col("_first")) & F.lag(BLOCK).over(inorder).isNotNull(), F.lit(False))
+    linked = ends.withColumn("_in", crossed).withColumns({"prev": F.lag(BLOCK).over(inorder), "_out": F.coalesce(F.lead("_in").over(inorder), F.lit(False))})
+    fresh = ~(F.lag("_in").over(inorder) & F.lag("_first").over(inorder).eqNullSafe(F.lag("_last").over(inorder)))
+    counted = linked.withColumn("run", F.sum(F.coalesce(fresh, F.lit(True)).cast("int")).over(inorder))
+    numbers = counted.select(F.col(BLOCK).alias("block"), "prev", "run", "_in").collect()
+    blocks = max((r["block"] for r in numbers), default=0) + 1
+    borders = [(r["block"], r["prev"], r["run"]) for r in numbers if r["_in"]]
+    edges = counted.select(F.col(BLOCK).alias("_b"), F.when(F.col("_in"), F.col("_first")).alias("_first"), F.when(F.col("_out"), F.col("_last")).alias("_last"))
+    if borders:
+        marks = {m: F.col(c).isNotNull() & F.col(c).eqNullSafe(key) for m, c in ((HEAD, "_first"), (TAIL, "_last"))}
+        marked = kept.join(F.broadcast(edges), F.col(BLOCK) == F.col("_b")).withColumns(marks).drop("_b", "_first", "_last")
+    else:
+        marked = kept.withColumns({HEAD: F.lit(False), TAIL: F.lit(False)})
+    listed = df.sparkSession.createDataFrame(borders, "block int, prev int, run bigint") if borders else None
+    # The number of the range is the number of the task, so windows need no shuffle of their own.
+    return Laid(marked.repartitionById(blocks, F.col(BLOCK)), keys, listed)
+
+
+def _input(df: DataFrame, keys: Sequence[str], order: Sequence[str], laid: Laid | None) -> tuple[DataFrame, Laid, list[str]]:
+    """Rows with marks, their layout, and marks that the caller does not want back."""
+    if laid is not None:
+        return df, laid, []
+    laid = lay_out(df, keys, order)
+    return laid.df, laid, MARKS
 
 
 def running_total(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    totals: dict[str, Column],
-    min_rows: int = MIN_ROWS,
-    split: Split | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], totals: dict[str, Column], laid: Laid | None = None
 ) -> DataFrame:
     """Inclusive running sums of the given expressions, by name."""
-    split = split or find_hot(df, keys, order[0], min_rows)
-    kept = [c for c in df.columns if c not in totals]
+    df, laid, extra = _input(df, keys, order, laid)
+    kept = [c for c in df.columns if c not in totals and c not in extra]
     names = list(totals)
-    cut = split.apply(df).withColumns({f"_v_{n}": value for n, value in totals.items()})
-    window = (
-        Window.partitionBy(*split.parts)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    local = cut.withColumns({f"_s_{n}": F.sum(f"_v_{n}").over(window) for n in names})
-    if split.hot is None:
+    valued = df.withColumns({f"_v_{n}": value for n, value in totals.items()})
+    window = laid.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = valued.withColumns({f"_s_{n}": F.sum(f"_v_{n}").over(window) for n in names})
+    if laid.borders is None:
         return local.select(*kept, *[F.col(f"_s_{n}").alias(n) for n in names])
-    carry = (
-        cut.filter(HOT)
-        .groupBy(*split.parts)
-        .agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
-        .select(*split.parts, *[F.sum(f"_t_{n}").over(_before(split)).alias(f"_c_{n}") for n in names])
+    carry = laid.carry(
+        valued, {f"_t_{n}": F.sum(f"_v_{n}") for n in names}, {f"_c_{n}": F.sum(f"_t_{n}").over(_so_far()) for n in names}
     )
-    out = [
-        F.coalesce(F.col(f"_s_{n}") + F.col(f"_c_{n}"), f"_s_{n}", f"_c_{n}").alias(n) for n in names
-    ]
-    return _finish(local, carry, split).select(*kept, *out)
+    own, far = (lambda n: F.col(f"_s_{n}")), (lambda n: F.when(F.col(HEAD), F.col(f"_c_{n}")))
+    return laid.with_carry(local, carry).select(*kept, *[F.coalesce(own(n) + far(n), own(n), far(n)).alias(n) for n in names])
 
 
 def row_numbers(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    name: str,
-    min_rows: int = MIN_ROWS,
-    split: Split | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, laid: Laid | None = None
 ) -> DataFrame:
     """1-based position of each row within its key."""
-    return running_total(df, keys, order, {name: F.lit(1).cast("bigint")}, min_rows, split)
+    return running_total(df, keys, order, {name: F.lit(1).cast("bigint")}, laid)
 
 
 def neighbours(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    values: dict[str, str],
-    step: int,
-    min_rows: int = MIN_ROWS,
-    split: Split | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, str], step: int, laid: Laid | None = None
 ) -> DataFrame:
     """Next (``step=1``) or previous (``step=-1``) row's columns, as name -> column."""
     if step not in (1, -1):
         raise ValueError("step is 1 or -1")
-    split = split or find_hot(df, keys, order[0], min_rows)
-    kept = [c for c in df.columns if c not in values]
-    cut = split.apply(df)
-    shift, edge = (F.lead, F.min_by) if step == 1 else (F.lag, F.max_by)
+    df, laid, extra = _input(df, keys, order, laid)
+    kept = [c for c in df.columns if c not in values and c not in extra]
     packed = F.struct(*[F.col(c).alias(n) for n, c in values.items()])
-    window = Window.partitionBy(*split.parts).orderBy(*order)
-    local = cut.withColumn("_near", shift(packed).over(window))
-    if split.hot is not None:
-        carry = (
-            cut.filter(HOT)
-            .groupBy(*split.parts)
-            .agg(edge(packed, F.struct(*order)).alias("_edge"))
-            .select(
-                *split.parts,
-                shift("_edge").over(Window.partitionBy(*split.keys).orderBy(BLOCK)).alias("_far"),
-            )
-        )
-        local = _finish(local, carry, split).withColumn("_near", F.coalesce("_near", "_far"))
+    shift = F.lead if step == 1 else F.lag
+    local = df.withColumn("_near", shift(packed).over(laid.window()))
+    if laid.borders is not None:
+        back = step == 1
+        edge, crosses = (F.min_by, TAIL) if back else (F.max_by, HEAD)
+        carry = laid.carry(df, {"_edge": edge(packed, AT)}, {"_far": F.last("_edge", ignorenulls=True).over(_so_far(back))}, back)
+        local = laid.with_carry(local, carry).withColumn("_near", F.coalesce("_near", F.when(F.col(crosses), F.col("_far"))))
     return local.select(*kept, *[F.col("_near").getField(n).alias(n) for n in values])
 
 
 def last_known(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    values: dict[str, str],
-    min_rows: int = MIN_ROWS,
-    split: Split | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, str], laid: Laid | None = None
 ) -> DataFrame:
     """Latest non-NULL value at or before each row, as name -> column."""
-    split = split or find_hot(df, keys, order[0], min_rows)
-    kept = [c for c in df.columns if c not in values]
-    cut = split.apply(df)
-    window = (
-        Window.partitionBy(*split.parts)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    local = cut.withColumns(
-        {f"_l_{n}": F.last(c, ignorenulls=True).over(window) for n, c in values.items()}
-    )
-    if split.hot is None:
+    df, laid, extra = _input(df, keys, order, laid)
+    kept = [c for c in df.columns if c not in values and c not in extra]
+    window = laid.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = df.withColumns({f"_l_{n}": F.last(c, ignorenulls=True).over(window) for n, c in values.items()})
+    if laid.borders is None:
         return local.select(*kept, *[F.col(f"_l_{n}").alias(n) for n in values])
-    at = F.struct(*order)
-    carry = (
-        cut.filter(HOT)
-        .groupBy(*split.parts)
-        .agg(
-            *[
-                F.max_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(f"_b_{n}")
-                for n, c in values.items()
-            ]
-        )
-        .select(
-            *split.parts,
-            *[F.last(f"_b_{n}", ignorenulls=True).over(_before(split)).alias(f"_c_{n}") for n in values],
-        )
-    )
-    return _finish(local, carry, split).select(
-        *kept, *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in values]
+    carry = laid.carry(
+        df,
+        {f"_b_{n}": F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(AT))) for n, c in values.items()},
+        {f"_c_{n}": F.last(f"_b_{n}", ignorenulls=True).over(_so_far()) for n in values},
     )
+    found = [F.coalesce(F.col(f"_l_{n}"), F.when(F.col(HEAD), F.col(f"_c_{n}"))).alias(n) for n in values]
+    return laid.with_carry(local, carry).select(*kept, *found)
 
 
 def running_min(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    value: str,
-    name: str,
-    min_rows: int = MIN_ROWS,
-    split: Split | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, laid: Laid | None = None
 ) -> DataFrame:
     """Minimum of the column over all earlier rows of the key (NULL at the first)."""
-    split = split or find_hot(df, keys, order[0], min_rows)
-    cut = split.apply(df)
-    window = (
-        Window.partitionBy(*split.parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    local = cut.withColumn("_s", F.min(value).over(window))
-    if split.hot is None:
-        return local.select(*df.columns, F.col("_s").alias(name))
-    carry = (
-        cut.filter(HOT)
-        .groupBy(*split.parts)
-        .agg(F.min(value).alias("_m"))
-        .select(*split.parts, F.min("_m").over(_before(split)).alias("_c"))
-    )
-    return _finish(local, carry, split).select(*df.columns, F.least("_s", "_c").alias(name))
+    df, laid, extra = _input(df, keys, order, laid)
+    kept = [c for c in df.columns if c not in extra]
+    local = df.withColumn("_s", F.min(value).over(laid.window().rowsBetween(Window.unboundedPreceding, -1)))
+    if laid.borders is None:
+        return local.select(*kept, F.col("_s").alias(name))
+    carry = laid.carry(df, {"_m": F.min(value)}, {"_c": F.min("_m").over(_so_far())})
+    return laid.with_carry(local, carry).select(*kept, F.least(F.col("_s"), F.when(F.col(HEAD), F.col("_c"))).alias(name))
+
+
+def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], count: int) -> DataFrame:
+    """The first ``count`` rows of every key.
+
+    For counts up to the session's limit for partial ranking a task passes on its
+    own first ``count`` rows of a key alone; larger counts number the rows by a scan.
+    """
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if count > limit:
+        return row_numbers(df, keys, order, "_nth").filter(F.col("_nth") <= count).drop("_nth")
+    sort = [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in order]
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*sort))
+    return df.withColumn("_nth", nth).filter(F.col("_nth") <= count).drop("_nth")
 
 
 def shuffled_rank(

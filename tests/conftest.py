@@ -17,3 +17,16 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(params=["many", "few"])
+def ranges(request, spark):
+    """Ordered scans over many small ranges, so that keys cross their borders, or as few as the rows need."""
+    names = ["spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions"]
+    before = [spark.conf.get(n) for n in names]
+    if request.param == "many":
+        spark.conf.set(names[0], "false")
+        spark.conf.set(names[1], "7")
+    yield request.param
+    for name, value in zip(names, before):
+        spark.conf.set(name, value)

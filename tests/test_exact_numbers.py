@@ -1,15 +1,11 @@
-"""Integer results for values that doubles and short decimals cannot hold; blocks of hot keys by row counts."""
+"""Integer results for values that doubles and short decimals cannot hold."""
 
 from __future__ import annotations
 
-import datetime as dt
-
-import pytest
 from pyspark.sql import functions as F
 
 from tensorloom.functions.cols import whole_div
 from tensorloom.operators import intervals
-from tensorloom.plans import scans
 from tensorloom.sources import artifacts
 
 TOP = 9223372036854775807
@@ -40,25 +36,3 @@ def test_range_past_the_end(spark):
     df = spark.createDataFrame([("abcdef", 2, 3), ("abcdef", 1 << 40, 3), ("abcdef", 4, 1 << 40)], "d string, o bigint, n bigint")
     got = df.select(artifacts.byte_range("d", F.col("o"), F.col("n")).alias("x")).collect()
     assert [r.x for r in got] == ["cde", "", "ef"]
-
-
-def placed(i: int, kind: str):
-    far = 10**6 if i == 0 else i
-    if kind == "bigint":
-        return 1_700_000_000_000_000_000 + far
-    return dt.datetime(2024, 1, 1) + dt.timedelta(microseconds=far)
-
-
-@pytest.mark.parametrize("kind", ["bigint", "timestamp", "timestamp_ntz"])
-def test_blocks_have_equal_rows(spark, kind):
-    """One key with nearly all rows, one value far from the rest, large or temporal orders."""
-    rows = [("hot", placed(i * 1000, kind), i) for i in range(3000)] + [("cold", placed(5, kind), 1)]
-    df = spark.createDataFrame(rows, f"k string, t {kind}, v bigint")
-    split = scans.find_hot(df, ["k"], "t", 300)
-    sizes = [r["count"] for r in split.apply(df).filter(scans.HOT).groupBy(scans.BLOCK).count().collect()]
-    assert sum(sizes) == 3000 and len(sizes) >= 9 and max(sizes) <= 2 * 3000 / len(sizes)
-    got = scans.running_total(df, ["k"], ["t", "v"], {"s": F.col("v")}, 300).filter("k = 'hot'").orderBy("t", "v").collect()
-    total = 0
-    for r, (_, _, v) in zip(got, sorted(rows[:3000], key=lambda x: (x[1], x[2]))):
-        total += v
-        assert r.s == total

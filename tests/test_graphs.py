@@ -41,8 +41,8 @@ def test_hot_graph_chain(spark):
     links = spark.range(49).select(
         F.lit(0).cast("bigint").alias("graph_id"), F.col("id").alias("source"), (F.col("id") + 1).alias("target"), (F.col("id") + 1).alias("port")
     )
-    assert og.linear_chains(vertices, links, min_rows=5).first().linear
-    assert not og.linear_chains(vertices, links.filter("source <> 20"), min_rows=5).first().linear
+    assert og.linear_chains(vertices, links).first().linear
+    assert not og.linear_chains(vertices, links.filter("source <> 20")).first().linear
 
 
 def random_graphs(seed):
@@ -99,7 +99,7 @@ def test_nested_merge_against_recursion(spark):
         vertices = spark.createDataFrame([(g, v, n) for g, d in graphs.items() for v, n in d[1].items()], "graph_id long, vertex long, nested long")
         ports = spark.createDataFrame([(g, p, v) for g, d in graphs.items() for p, v in d[2].items()], "graph_id long, port long, vertex long")
         links = spark.createDataFrame([(g, *e) for g, d in graphs.items() for e in d[3]], "graph_id long, source long, target long, port long")
-        nodes, edges = og.merge_nested(table, vertices, ports, links, table.select("graph_id"), min_rows=3 if seed == 2 else 10**6)
+        nodes, edges = og.merge_nested(table, vertices, ports, links, table.select("graph_id"))
         got_nodes = sorted((r.top, tuple(r.path), r.graph_id, r.local, r.vertex) for r in nodes.collect())
         got_edges = sorted((r.top, r.source, r.target, r.port) for r in edges.collect())
         want_nodes, want_edges = [], []

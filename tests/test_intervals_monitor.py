@@ -9,11 +9,9 @@ from tensorloom.operators import monitor as om
 EVENT = "log_id long, channel long, key long, velocity long, tick long, ordinal long, on boolean"
 PAIR = "log_id long, pos long, start long, duration long, key long, velocity long, release long"
 HEADER = "log_id long, ticks_per_second long, loop_ticks long, measure_ticks long"
-HOT = pytest.mark.parametrize("min_rows", [20, 10**6])
 
 
-@HOT
-def test_pairing(spark, min_rows):
+def test_pairing(spark, ranges):
     rng = random.Random(1)
     events = [
         (0 if rng.random() < 0.7 else rng.randrange(1, 4), rng.randrange(2), rng.randrange(60, 62), rng.randrange(0, 4), rng.randrange(40), i, rng.random() < 0.6)
@@ -21,7 +19,7 @@ def test_pairing(spark, min_rows):
     ]
     df = oi.note_events(spark.createDataFrame(events, EVENT))
     ends = df.groupBy("log_id").agg(F.lit(100).cast("bigint").alias("end_tick"))
-    got = sorted((r.log_id, r.channel, r.key, r.on_tick, r.off_tick, r.on_velocity, r.off_velocity) for r in oi.pair_events(df, ends, min_rows).collect())
+    got = sorted((r.log_id, r.channel, r.key, r.on_tick, r.off_tick, r.on_velocity, r.off_velocity) for r in oi.pair_events(df, ends).collect())
     held, want = {}, []
     for log, channel, key, velocity, tick, _, on in sorted(events, key=lambda e: (e[4], e[5])):
         on, at = on and velocity != 0, (log, channel, key)
@@ -34,13 +32,12 @@ def test_pairing(spark, min_rows):
     assert got == sorted(want)
 
 
-@HOT
-def test_rate_map(spark, min_rows):
+def test_rate_map(spark, ranges):
     changes = [(0, 0, 1, 250_000), (0, 480, 2, 1_000_000), (0, 480, 3, 500_000), (0, 960, 4, 250_000), (1, 960, 5, 1_000_000)]
     df = spark.createDataFrame(changes, "log_id long, tick long, ordinal long, micros long")
-    segments = oi.rate_map(df, 480, min_rows if min_rows > 100 else 2)
+    segments = oi.rate_map(df, 480)
     asked = spark.createDataFrame([(0, 240), (0, 480), (0, 1440), (1, 480), (1, 1440), (2, 480)], "log_id long, tick long")
-    out = oi.seconds_at(asked, "tick", segments, 480, "s", min_rows if min_rows > 100 else 2)
+    out = oi.seconds_at(asked, "tick", segments, 480, "s")
     got = {(r.log_id, r.tick): r.s for r in out.collect()}
     assert got == pytest.approx({(0, 240): 0.125, (0, 480): 0.25, (0, 1440): 1.0, (1, 480): 0.5, (1, 1440): 2.0, (2, 480): 0.5})
 
@@ -74,7 +71,7 @@ def test_shift_skip_truncate_merge(spark):
     later, heads = oi.shift_seconds(pairs, headers, 1.5)
     assert sorted(r.start for r in later.collect()) == [4, 6, 11]
     assert {r.log_id: r.loop_ticks for r in heads.collect()} == {0: 23, 1: None}
-    first, heads = oi.truncate(pairs, headers, 1, min_rows=1)
+    first, heads = oi.truncate(pairs, headers, 1)
     assert sorted((r.log_id, r.pos) for r in first.collect()) == [(0, 0), (1, 0)]
     assert {r.loop_ticks for r in heads.collect()} == {None}
     merged, heads = oi.merge_logs(pairs, headers, pairs, headers.withColumn("ticks_per_second", F.lit(1).cast("bigint")))
@@ -82,12 +79,11 @@ def test_shift_skip_truncate_merge(spark):
     assert {r.log_id: r.loop_ticks for r in heads.collect()} == {0: 40, 1: 4}
 
 
-@HOT
-def test_events_and_diagnostics_do_not_depend_on_splitting(spark, min_rows):
+def test_events_and_diagnostics_do_not_depend_on_splitting(spark, ranges):
     rng = random.Random(3)
     rows = [(0 if rng.random() < 0.7 else 1, i, rng.randrange(30), rng.randrange(1, 4), rng.randrange(60, 63), rng.randrange(2), rng.choice([None, 1])) for i in range(150)]
     pairs, headers = score(spark, rows, [(0, 7, 100, 10), (1, 7, 5, 10)])
-    events = oi.to_events(pairs, headers, min_rows).collect()
+    events = oi.to_events(pairs, headers).collect()
     assert [r.error for r in events if r.log_id == 1] == ["loop precedes the last release"]
     got = [(r.nanos, r.action, r.key, r.voice) for r in sorted((r for r in events if r.log_id == 0), key=lambda r: r.sequence)]
     mine = sorted((r for r in rows if r[0] == 0), key=lambda r: (r[2], r[4], r[5], r[1]))
@@ -98,17 +94,16 @@ def test_events_and_diagnostics_do_not_depend_on_splitting(spark, min_rows):
         want.append((nanos(r[2]), 0, r[4], voice))
         want.append((nanos(r[2] + r[3]), 1, r[4], voice))
     assert got == [(n, "release" if k else "attack", key, v) for n, k, key, v in sorted(want)]
-    found = {(r.log_id, r.finding): r.amount for r in oi.diagnostics(pairs, headers, oi.anchors(pairs, headers), min_rows).collect()}
+    found = {(r.log_id, r.finding): r.amount for r in oi.diagnostics(pairs, headers, oi.anchors(pairs, headers)).collect()}
     copies = sum(a[2:] == b[2:] for a, b in zip(mine, mine[1:]))
     assert found[0, "duplicate pair"] == copies and (0, "stale anchors") not in found
     assert (1, "loop precedes the last release") in found and (0, "out of canonical order") in found
 
 
-@HOT
-def test_mutation_edits_an_exact_share(spark, min_rows):
+def test_mutation_edits_an_exact_share(spark, ranges):
     rows = [(0, i, i * 3, 2, 60, 64, 5) for i in range(100)] + [(1, i, i, 1, 60, 64, None) for i in range(7)]
     pairs, headers = score(spark, rows, [(0, 960, None, None), (1, 960, None, None)])
-    out = oi.mutate(pairs, headers, 0.3, 9, min_rows).collect()
+    out = oi.mutate(pairs, headers, 0.3, 9).collect()
     again = oi.mutate(pairs.repartition(7), headers, 0.3, 9).collect()
     assert sorted(map(str, out)) == sorted(map(str, again))
     for log, n, m in ((0, 100, 30), (1, 7, 2)):
@@ -139,8 +134,7 @@ def walk(phase):
     return phase % 3 + 1
 
 
-@HOT
-def test_pending_phases(spark, min_rows):
+def test_pending_phases(spark, ranges):
     rng = random.Random(8)
     rows, state, seq = [], {}, {}
     for i in range(120):
@@ -152,7 +146,7 @@ def test_pending_phases(spark, min_rows):
         rows.append((node, i, state.get(node, 0), max(seq.get(node, 0) - back, 0)))
     df = spark.createDataFrame(rows, "node long, i long, phase int, sequence long")
     got = {}
-    for r in om.pending_phases(df, ["i"], min_rows).collect():
+    for r in om.pending_phases(df, ["i"]).collect():
         got.setdefault(r.node, {})[r["rank"]] = r.shown
     for node in (0, 1):
         latest, seen, shown = 0, 0, []

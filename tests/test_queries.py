@@ -26,6 +26,19 @@ def test_entry_gives_rows(spark):
     assert entry.entry(spark).limit(1).count() == 1
 
 
+ORDERED = [
+    "pair_on_off_events", "rate_map_segments", "rate_map_as_of", "pairs_to_events", "canonical_pair_order", "score_diagnostics",
+    "release_log_lines", "truncate_pairs", "phase_sequence", "pending_phase_transitions", "forward_snapshots_only",
+    "frozen_at_transition", "merge_pass_pairs", "match_forward_backward", "session_order_audit", "linear_chain_test",
+]
+
+
+@pytest.mark.parametrize("ranges", ["many"], indirect=True)
+@pytest.mark.parametrize("name", ORDERED)
+def test_ordered_query_with_keys_across_ranges(spark, db, ranges, name):
+    test_query(spark, db, name)
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, db, name):
     df = QUERIES[name](spark, str(BASE))

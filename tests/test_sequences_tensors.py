@@ -57,13 +57,13 @@ def test_merge_with_empty_part_changes_nothing(spark):
     assert sorted((r.s, r.ids) for r in merged.collect()) == [(0, [1]), (1, [2]), (2, [1]), (3, [2])]
 
 
-def test_merge_pairs_is_the_same_with_hot_steps(spark):
+def test_merge_pairs_over_any_ranges(spark, ranges):
     rows = [(0, p, side, s, p + 1) for p in range(40) for side in ("up", "down") for s in range(p % 3 + 1)]
     df = spark.createDataFrame(rows, "step long, pair long, side string, seq long, meta long")
-    cold = os_.merge_pairs(df, ["step"], "pair", "side", "seq", "meta")
-    hot = os_.merge_pairs(df, ["step"], "pair", "side", "seq", "meta", min_rows=8)
-    assert sorted(map(tuple, cold.collect())) == sorted(map(tuple, hot.collect()))
-    assert sorted(r.seq for r in cold.filter("side = 'up'").collect()) == list(range(len(rows) // 2))
+    merged = os_.merge_pairs(df, ["step"], "pair", "side", "seq", "meta")
+    for side in ("up", "down"):
+        got = [(r.pair, r.seq) for r in merged.filter(F.col("side") == side).orderBy("pair", "seq").collect()]
+        assert got == [(p, n) for n, p in enumerate(p for _, p, s, _, _ in rows if s == side)]
 
 
 def test_unequal_stack_is_an_error_row(spark):
