@@ -8,6 +8,7 @@ from tensorloom.functions.cols import epoch_ms
 from tensorloom.plans.catalog import register, table
 from tensorloom.session import durable
 from tensorloom.sources import artifacts as sa
+from tensorloom.sources.pieces import hashes, read_ranges, reassemble
 
 CHUNK = 256
 NOW = 1000
@@ -78,6 +79,33 @@ def read_byte_ranges(spark, sf_dir):
     return sa.read_ranges(ranges, stored, "data")
 
 
+def piece_table(spark, sf_dir):
+    """Object table and pieces of 256 characters; empty objects have a row and no piece."""
+    stored = objects(spark, sf_dir).select("id", "data")
+    pieces = sa.chunk_data(stored, "data", CHUNK).select("id", (F.col("idx") * CHUNK).cast("bigint").alias("start"), F.col("piece").alias("data"))
+    return stored.select("id", F.length("data").cast("bigint").alias("extent")), pieces
+
+
+@register(
+    "read_ranges_across_pieces",
+    """WITH r AS (SELECT doc_id + CASE WHEN doc_id % 10 = 0 THEN 1000000000 ELSE 0 END AS id, text, doc_id % 10 = 0 AS lost, length(text) AS n,
+      (doc_id * 37) % 900 AS off, doc_id % 7 * 150 AS len FROM documents),
+    e AS (SELECT *, least(off + len, n) AS stop FROM r),
+    t AS (SELECT *, unnest(range(off // 256, (stop - 1) // 256 + 1)) AS p FROM e WHERE stop > off AND NOT lost)
+    SELECT id, off AS "offset", len AS length, greatest(p * 256 - off, 0) AS at,
+      substring(text, greatest(off, p * 256) + 1, least(stop, (p + 1) * 256) - greatest(off, p * 256)) AS data, NULL::VARCHAR AS error FROM t
+    UNION ALL SELECT id, off, len, 0, CASE WHEN len = 0 OR NOT lost THEN '' END, CASE WHEN len > 0 AND lost THEN 'object not found' END
+    FROM e WHERE lost OR stop <= off""",
+)
+def read_ranges_across_pieces(spark, sf_dir):
+    stored, pieces = piece_table(spark, sf_dir)
+    lost = F.when(F.col("id") % 10 == 0, 1000000000).otherwise(0)
+    ranges = stored.select(
+        (F.col("id") + lost).alias("id"), (F.col("id") * 37 % 900).alias("offset"), (F.col("id") % 7 * 150).alias("length")
+    )
+    return read_ranges(ranges, stored, pieces, "data", width=1024)
+
+
 def upload_parts(spark, sf_dir):
     """Documents in parts; part 1 is sent twice where id % 5 = 2, the last is lost where id % 5 = 1."""
     n = F.ceil(F.length("data") / F.lit(CHUNK))
@@ -99,8 +127,24 @@ def upload_parts(spark, sf_dir):
       CASE WHEN error IS NULL THEN sha256(whole) END AS digest FROM k""",
 )
 def assemble_multipart(spark, sf_dir):
-    whole = sa.assemble_parts(*upload_parts(spark, sf_dir), "data")
-    return whole.withColumn("digest", F.sha2("data", 256)).drop("data")
+    judged, pieces, _ = sa.assemble_parts(*upload_parts(spark, sf_dir), "data")
+    return judged.join(hashes(pieces, ["id"], "part", "data"), "id", "left").drop("refused")
+
+
+@register(
+    "multipart_refused_parts",
+    f"""WITH n AS (SELECT doc_id AS id, {N} AS part_count FROM documents),
+    p AS (SELECT id, part_count, unnest(range(1, part_count + 1)) AS part FROM n),
+    s AS (SELECT id, CASE WHEN id % 4 = 1 AND part = part_count THEN 0 WHEN id % 4 = 2 AND part = 1 THEN 20000 ELSE part END AS part, part AS seq FROM p)
+    SELECT id, part, seq, 'part number out of range' AS error FROM s WHERE part NOT BETWEEN 1 AND 10000""",
+)
+def multipart_refused_parts(spark, sf_dir):
+    """The last part is sent as number 0 where id % 4 = 1, the first as number 20000 where id % 4 = 2."""
+    uploads = objects(spark, sf_dir).select("id", "data", F.ceil(F.length("data") / F.lit(CHUNK)).alias("part_count"))
+    k, number = F.col("id") % 4, (F.col("idx") + 1).cast("bigint")
+    sent = F.when((k == 1) & (number == F.col("part_count")), 0).when((k == 2) & (number == 1), 20000).otherwise(number)
+    parts = sa.chunk_data(uploads, "data", CHUNK).select("id", sent.alias("part"), number.alias("seq"), F.col("piece").alias("data"))
+    return sa.assemble_parts(uploads.select("id", "part_count"), parts, "data")[2]
 
 
 @register(
@@ -116,7 +160,7 @@ def multipart_gap_audit(spark, sf_dir):
         F.col("l_returnflag").alias("data"),
     )
     uploads = lines.groupBy("id").agg(F.max("part").cast("bigint").alias("part_count"))
-    return sa.assemble_parts(uploads, lines, "data").select("id", "part_count", "error")
+    return sa.assemble_parts(uploads, lines, "data")[0].select("id", "part_count", "error")
 
 
 BEGIN = f"""b AS (SELECT doc_id AS transfer, text, CASE WHEN doc_id % 11 = 1 THEN 2 ELSE 1 END AS protocol_version,
@@ -191,7 +235,7 @@ ARRIVED = f"""n AS (SELECT doc_id AS transfer, text, {N} AS n FROM documents),
 
 @register("ingest_chunks", f"WITH {ARRIVED} SELECT transfer, seq, idx, len, error FROM o")
 def ingest_chunks(spark, sf_dir):
-    return sa.ingest_chunks(transfers(spark, sf_dir), arrivals(spark, sf_dir)).select(
+    return sa.judge_chunks(transfers(spark, sf_dir), arrivals(spark, sf_dir)).select(
         "transfer", "seq", "idx", "len", "error"
     )
 
@@ -388,16 +432,26 @@ def constant_generator(spark, sf_dir):
     return made.select("c_custkey", F.posexplode("v").alias("idx", "value"))
 
 
+# Ranged reads of 600 characters over pieces of 256.
+READ = 600
+CUTS = "CASE WHEN n = 0 THEN 0 ELSE (n - 1) // 256 + (n - 1) // 600 - (n - 1) // 19200 + 1 END"
+
+
 @register(
     "reassemble_ranges",
-    f"""SELECT doc_id AS id, {N} AS pieces, strlen(text) AS size, CASE WHEN doc_id % 6 = 1 AND {N} > 1 THEN 'ranges do not cover the object' END AS error,
-    CASE WHEN NOT (doc_id % 6 = 1 AND {N} > 1) THEN sha256(text) END AS digest FROM documents WHERE length(text) > 0""",
+    f"""WITH d AS (SELECT doc_id AS id, text, length(text) AS n, doc_id % 6 = 1 AND length(text) >= 600 AS moved FROM documents)
+    SELECT id, CASE WHEN NOT moved THEN {CUTS} END AS pieces, CASE WHEN NOT moved THEN strlen(text) END AS size,
+    CASE WHEN moved THEN 'ranges do not cover the object' END AS error, CASE WHEN NOT moved AND n > 0 THEN sha256(text) END AS digest FROM d""",
 )
 def reassemble_ranges(spark, sf_dir):
-    stored = objects(spark, sf_dir).select("id", "data")
-    cut = sa.chunk_data(stored, "data", CHUNK)
-    # Where id % 6 = 1 the second range comes from the wrong place.
-    moved = (F.col("id") % 6 == 1) & (F.col("idx") == 1)
-    ranges = cut.select("id", (F.col("idx") * CHUNK + F.when(moved, 1).otherwise(0)).alias("offset"), F.col("piece").alias("data"))
-    whole = sa.reassemble(ranges, "data", CHUNK)
-    return whole.select("id", "pieces", "size", "error", F.sha2("data", 256).alias("digest"))
+    """Every object is read until a read is short or empty; where id % 6 = 1 the second read is one too far."""
+    stored, pieces = piece_table(spark, sf_dir)
+    reads = stored.select("id", F.posexplode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("extent") / READ))).alias("k", "_r"))
+    moved = F.when((F.col("id") % 6 == 1) & (F.col("k") == 1), 1).otherwise(0)
+    ranges = reads.select("id", (F.col("_r") * READ + moved).alias("offset"), F.lit(READ).cast("bigint").alias("length"))
+    read = read_ranges(ranges, stored, pieces, "data", width=1024)
+    whole, parts = reassemble(read.select("id", (F.col("offset") + F.col("at")).alias("offset"), "data"), "data")
+    sound = F.col("error").isNull()
+    return whole.join(hashes(parts, ["id"], "start", "data"), "id", "left").select(
+        "id", F.when(sound, F.col("pieces")).alias("pieces"), F.when(sound, F.col("size")).alias("size"), "error", "digest"
+    )

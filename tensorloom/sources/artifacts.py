@@ -1,8 +1,8 @@
 """Artifact store as tables: objects, multipart uploads and chunked transfers.
 
-``data`` columns are binary or text. An object that fits ``INLINE_BYTES`` is
-assembled into one value; a larger one stays in its ordered pieces, which is the
-only form in which a row engine can hold it, and is hashed piece by piece.
+``data`` columns are binary or text. What is assembled from parts, chunks or
+ranged reads stays in ordered pieces (``sources.pieces``) at every size, and is
+hashed piece by piece.
 
 Transfers: transfer, status ('in progress'/'committed'/'aborted'),
 expected_chunks, expected_len, expected_hash, deadline_ms. Arrivals: transfer,
@@ -11,14 +11,14 @@ seq (arrival order), at_ms, idx, data, hash.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.functions.cols import first_failure
+from tensorloom.sources.pieces import hashes, with_starts
 
 # Upload limit, part limit, transfer protocol, chunk size.
 MAX_OBJECT_BYTES = 1024 * 1024 * 1024
@@ -27,9 +27,6 @@ PROTOCOL_VERSION = 1
 CHUNK_BYTES = 16 * 1024 * 1024
 NIL_ID = "00000000-0000-0000-0000-000000000000"
 
-# Largest value assembled inside one row.
-INLINE_BYTES = 64 * 1024 * 1024
-
 
 # -- objects -----------------------------------------------------------------
 
@@ -105,116 +102,6 @@ def chunk_data(df: DataFrame, data: str, size: int = CHUNK_BYTES) -> DataFrame:
     )
 
 
-def join_pieces(
-    pieces: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    data: str,
-    inline_bytes: int = INLINE_BYTES,
-    sizes: DataFrame | None = None,
-) -> DataFrame:
-    """Ordered concatenation per key, with piece count and size.
-
-    Sizes (keys, size in bytes) are summed first unless given; only keys that fit
-    ``inline_bytes`` are gathered. Larger ones keep ``data`` NULL and live on in
-    the ordered pieces.
-    """
-    if sizes is None:
-        sizes = pieces.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("pieces"), F.sum(F.octet_length(data)).cast("bigint").alias("size")
-        )
-    small = sizes.filter(F.col("size") <= inline_bytes).select(*keys)
-    joined = (
-        pieces.join(small, list(keys), "left_semi")
-        .groupBy(*keys)
-        .agg(F.expr(f"listagg(`{data}`) WITHIN GROUP (ORDER BY `{order}`)").alias(data))
-    )
-    return sizes.join(joined, list(keys), "left")
-
-
-def reassemble(
-    ranges: DataFrame, data: str, size: int = CHUNK_BYTES, inline_bytes: int = INLINE_BYTES
-) -> DataFrame:
-    """Object from ranged reads (id, offset, piece) at offsets 0, size, 2 size, ...
-
-    A gap, an overlap or a short read before the last is an error.
-    """
-    shape = ranges.groupBy("id").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.countDistinct("offset").alias("_d"),
-        F.min("offset").alias("_lo"),
-        F.max("offset").alias("_hi"),
-        F.count(F.when(F.col("offset") % size != 0, 1)).alias("_odd"),
-        F.count(F.when(F.length(data) < size, 1)).alias("_short"),
-        F.min_by(F.length(data), -F.col("offset")).alias("_last"),
-    )
-    whole = (
-        (F.col("_n") == F.col("_d")) & (F.col("_lo") == 0) & (F.col("_odd") == 0)
-        & (F.col("_hi") == (F.col("_n") - 1) * size)
-        & (F.col("_short") == F.when(F.col("_last") < size, 1).otherwise(0))
-    )
-    joined = join_pieces(ranges, ["id"], "offset", data, inline_bytes)
-    checked = shape.select("id", F.when(~whole, "ranges do not cover the object").alias("error"))
-    return joined.join(checked, "id").withColumn(data, F.when(F.col("error").isNull(), F.col(data)))
-
-
-def aggregate_hash(
-    pieces: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    data: str,
-    inline_bytes: int = INLINE_BYTES,
-    sizes: DataFrame | None = None,
-) -> DataFrame:
-    """SHA-256 of the ordered concatenation per key, whatever its size.
-
-    Small values are gathered and hashed in the JVM. Large ones are sorted within
-    their partition and streamed through one hash state, a batch at a time.
-    ``sizes`` (keys, _size in bytes) saves the pass that adds them up, and limits
-    the work to its keys.
-    """
-    keys = list(keys)
-    if sizes is None:
-        sizes = pieces.groupBy(*keys).agg(F.sum(F.octet_length(data)).alias("_size"))
-    fits = F.col("_size") <= inline_bytes
-    small = (
-        pieces.join(sizes.filter(fits).select(*keys), keys, "left_semi")
-        .groupBy(*keys)
-        .agg(
-            F.sha2(F.expr(f"listagg(`{data}`) WITHIN GROUP (ORDER BY `{order}`)").cast("binary"), 256).alias(
-                "digest"
-            )
-        )
-    )
-    kinds = dict(pieces.dtypes)
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "digest string"])
-
-    def stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, state, done = None, None, []
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                key = tuple(row[: len(keys)])
-                if key != held:
-                    if state is not None:
-                        done.append((*held, state.hexdigest()))
-                    held, state = key, hashlib.sha256()
-                state.update(bytes(row[-1]))
-            if done:
-                yield pd.DataFrame(done, columns=[*keys, "digest"])
-                done = []
-        if state is not None:
-            yield pd.DataFrame([(*held, state.hexdigest())], columns=[*keys, "digest"])
-
-    large = (
-        pieces.join(sizes.filter(~fits).select(*keys), keys, "left_semi")
-        .repartition(*keys)
-        .sortWithinPartitions(*keys, order)
-        .select(*keys, F.col(data).cast("binary").alias(data))
-        .mapInPandas(stream, schema)
-    )
-    return small.unionByName(large)
-
-
 def catalogue(objects: DataFrame, namespace: str, size: str, stamp: str) -> DataFrame:
     return objects.groupBy(namespace).agg(
         F.count(F.lit(1)).alias("objects"),
@@ -227,38 +114,40 @@ def catalogue(objects: DataFrame, namespace: str, size: str, stamp: str) -> Data
 # -- multipart uploads -------------------------------------------------------
 
 
-def assemble_parts(
-    uploads: DataFrame, parts: DataFrame, data: str, inline_bytes: int = INLINE_BYTES
-) -> DataFrame:
+def assemble_parts(uploads: DataFrame, parts: DataFrame, data: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Finish uploads (id, part_count): parts must be exactly 1..part_count.
 
-    ``parts`` has id, part, seq and data. A part number outside the limit never
-    enters; a part sent again replaces the earlier one, and the size is that of
-    the kept parts.
+    ``parts`` has id, part, seq and data. A part sent again replaces the earlier
+    one; of two with one ``seq`` the one of larger digest counts. Returns
+
+    * the uploads: id, part_count, error, size (of the kept parts), refused (parts
+      whose number is out of range, which never enter);
+    * the piece table of the sound ones: id, part, start, data;
+    * the refused parts: id, part, seq, error.
     """
-    kept = (
-        parts.filter(F.col("part").between(1, MAX_PARTS))
-        .groupBy("id", "part")
-        .agg(F.max_by(data, "seq").alias(data))
-    )
-    shape = kept.groupBy("id").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.max("part").alias("_hi"),
-        F.sum(F.octet_length(data)).cast("bigint").alias("_size"),
-    )
-    judged = uploads.join(shape, "id", "left").withColumn(
-        "error",
-        first_failure(
-            (~F.col("part_count").between(1, MAX_PARTS), "part count out of range"),
-            (F.col("_n").isNull(), "no multipart upload in flight"),
-            ((F.col("_n") != F.col("part_count")) | (F.col("_hi") != F.col("part_count")), "parts incomplete"),
-        ),
+    number = F.col("part").between(1, MAX_PARTS)
+    refused = parts.filter(~F.coalesce(number, F.lit(False))).select("id", "part", "seq", F.lit("part number out of range").alias("error"))
+    entered = parts.filter(number).withColumn("_rank", F.struct("seq", F.xxhash64(data)))
+    # Parts are counted and placed without payload; payload moves once, by (id, part).
+    extent = F.struct(F.length(data).alias("length"), F.octet_length(data).alias("bytes"))
+    slim = entered.groupBy("id", "part").agg(F.max_by(extent, "_rank").alias("_e")).select("id", "part", "_e.*")
+    shape = slim.groupBy("id").agg(
+        F.count(F.lit(1)).alias("_n"), F.max("part").alias("_hi"), F.sum("bytes").cast("bigint").alias("_size")
+    )
+    lost = refused.groupBy("id").agg(F.count(F.lit(1)).alias("_refused"))
+    error = first_failure(
+        (~F.col("part_count").between(1, MAX_PARTS), "part count out of range"),
+        (F.col("_n").isNull(), "no multipart upload in flight"),
+        ((F.col("_n") != F.col("part_count")) | (F.col("_hi") != F.col("part_count")), "parts incomplete"),
     )
-    good = judged.filter("error IS NULL").select("id", F.col("_size").alias("size"))
-    whole = join_pieces(kept, ["id"], "part", data, inline_bytes, good)
-    return judged.select(
-        "id", "part_count", "error", F.when(F.col("error").isNull(), F.col("_size")).alias("size")
-    ).join(whole.select("id", data), "id", "left")
+    judged = uploads.join(shape, "id", "left").join(lost, "id", "left").withColumn("error", error).select(
+        "id", "part_count", "error", F.when(F.col("error").isNull(), F.col("_size")).alias("size"),
+        F.coalesce("_refused", F.lit(0).cast("bigint")).alias("refused"),
+    )
+    sound = judged.filter("error IS NULL").select("id")
+    placed = with_starts(slim.join(sound, "id", "left_semi"), "part", "length").select("id", "part", "start")
+    kept = entered.groupBy("id", "part").agg(F.max_by(data, "_rank").alias(data))
+    return judged, kept.join(placed, ["id", "part"]).select("id", "part", "start", data), refused
 
 
 # -- transfers ---------------------------------------------------------------
@@ -281,46 +170,31 @@ def begin_transfers(requests: DataFrame, objects: DataFrame, now_ms: Column) ->
     ).drop("_used")
 
 
-def ingest_chunks(transfers: DataFrame, arrivals: DataFrame) -> DataFrame:
-    """Outcome of every arrival, as if they were handled in ``seq`` order.
+def judge_chunks(transfers: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """Outcome of every arrival without its payload, as if they were handled in ``seq`` order.
 
     Rules: transfer in progress, index in range, index not stored yet, hash
     matches, stored length stays within the declaration. A chunk rejected for
     its hash or length does not occupy its index.
 
-    The first sound arrival of every index is stored unless the declared length
-    runs out. Only transfers where it can run out are replayed in order, over
-    (index, length) pairs without payload; a transfer has at most MAX_PARTS indices.
+    Payload is hashed at the scan. Of the sound arrivals one per (index, length)
+    can be stored, since room only shrinks: those run in order through a fold
+    whose state is the room left and one bit per index.
     """
     declared = transfers.select("transfer", "status", "expected_chunks", "expected_len", "deadline_ms")
-    judged = arrivals.join(declared, "transfer", "left").withColumns(
+    slim = arrivals.withColumns({"_len": F.length("data").cast("bigint"), "_sound": F.sha2("data", 256) == F.col("hash")}).drop("data")
+    judged = slim.join(declared, "transfer", "left").withColumns(
         {
-            "_len": F.length("data").cast("bigint"),
             "_live": F.coalesce((F.col("status") == "in progress") & (F.col("at_ms") < F.col("deadline_ms")), F.lit(False)),
             "_range": F.col("idx").between(0, F.col("expected_chunks") - 1),
-            "_sound": F.sha2("data", 256) == F.col("hash"),
         }
     )
-    # One slim row per distinct (index, length): a later arrival of the same length
-    # can never be stored once the first one was not, because room only shrinks.
     candidates = (
         judged.filter("_live AND _range AND _sound AND _len <= expected_len")
         .groupBy("transfer", "idx", "_len", "expected_len")
         .agg(F.min("seq").alias("seq"))
     )
-    nth = Window.partitionBy("transfer", "idx").orderBy("seq")
-    numbered = candidates.withColumn("_nth", F.row_number().over(nth)).withColumn(
-        "_need", F.sum(F.when(F.col("_nth") == 1, F.col("_len"))).over(Window.partitionBy("transfer"))
-    )
-    easy = numbered.filter("_need <= expected_len AND _nth = 1").select("transfer", "idx", "seq")
-    replayed = (
-        numbered.filter("_need > expected_len")
-        .groupBy("transfer", "expected_len")
-        .agg(F.sort_array(F.collect_list(F.struct("seq", "idx", "_len"))).alias("_c"))
-        .select("transfer", F.explode(_replay("_c", "expected_len")).alias("_t"))
-        .select("transfer", "_t.idx", "_t.seq")
-    )
-    stored = easy.unionByName(replayed).select("transfer", "idx", F.col("seq").alias("_stored"))
+    stored = _stored(candidates)
     outcome = first_failure(
         (~F.col("_live"), "not in progress"),
         (~F.col("_range"), "index out of range"),
@@ -328,27 +202,40 @@ def ingest_chunks(transfers: DataFrame, arrivals: DataFrame) -> DataFrame:
         (~F.col("_sound"), "hash mismatch"),
         (F.col("_stored").isNull() | (F.col("_stored") > F.col("seq")), "exceeds declared length"),
     )
-    return (
-        judged.join(stored, ["transfer", "idx"], "left")
-        .withColumn("error", outcome)
-        .select(*arrivals.columns, F.col("_len").alias("len"), "error")
-    )
+    others = [c for c in arrivals.columns if c != "data"]
+    return judged.join(stored, ["transfer", "idx"], "left").withColumn("error", outcome).select(*others, F.col("_len").alias("len"), "error")
 
 
-def _replay(candidates: str, room: str) -> Column:
-    """Stored (idx, seq) of one transfer: in order, what is new and still fits."""
-    taken = "array<struct<idx:bigint,seq:bigint>>"
-    start = F.struct(F.col(room).cast("bigint").alias("room"), F.array().cast(taken).alias("taken"))
+def ingest_chunks(transfers: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """``judge_chunks`` with the payload beside it; ``seq`` is unique within a transfer."""
+    outcomes = judge_chunks(transfers, arrivals).select("transfer", "seq", "len", "error")
+    return arrivals.join(outcomes, ["transfer", "seq"]).select(*arrivals.columns, "len", "error")
 
-    def step(acc: Column, c: Column) -> Column:
-        fits = (c["_len"] <= acc["room"]) & ~F.exists(acc["taken"], lambda t: t["idx"] == c["idx"])
-        entry = F.array(F.struct(c["idx"].cast("bigint").alias("idx"), c["seq"].cast("bigint").alias("seq")))
-        return F.struct(
-            F.when(fits, acc["room"] - c["_len"]).otherwise(acc["room"]).alias("room"),
-            F.when(fits, F.concat(acc["taken"], entry)).otherwise(acc["taken"]).alias("taken"),
-        )
 
-    return F.aggregate(F.col(candidates), start, step, lambda acc: acc["taken"])
+def _stored(candidates: DataFrame) -> DataFrame:
+    """First stored arrival of every (transfer, idx), by a fold over rows in order."""
+    kind = candidates.schema["transfer"].dataType.simpleString()
+
+    def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, room, taken = None, 0, 0
+        for batch in batches:
+            keys, idx, length, room_, seq = (c.to_pylist() for c in batch.columns)
+            kept = []
+            for i, key in enumerate(keys):
+                if key != held:
+                    held, room, taken = key, room_[i], 0
+                if length[i] <= room and not taken >> idx[i] & 1:
+                    room -= length[i]
+                    taken |= 1 << idx[i]
+                    kept.append(i)
+            at = pa.array(kept, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), pa.array([idx[i] for i in kept], pa.int64()), pa.array([seq[i] for i in kept], pa.int64())],
+                ["transfer", "idx", "_stored"],
+            )
+
+    ordered = candidates.repartition("transfer").sortWithinPartitions("transfer", "seq")
+    return ordered.select("transfer", "idx", "_len", "expected_len", "seq").mapInArrow(fold, f"transfer {kind}, idx bigint, _stored bigint")
 
 
 def stage_chunks(transfers: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -358,9 +245,7 @@ def stage_chunks(transfers: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
-def commit_transfers(
-    transfers: DataFrame, chunks: DataFrame, commits: DataFrame, inline_bytes: int = INLINE_BYTES
-) -> DataFrame:
+def commit_transfers(transfers: DataFrame, chunks: DataFrame, commits: DataFrame) -> DataFrame:
     """Outcome of commit requests (transfer, at_ms, aggregate_hash).
 
     ``chunks`` are the stored ones: transfer, idx, len, data, hash. The payload is
@@ -374,7 +259,6 @@ def commit_transfers(
         F.max("idx").alias("_hi"),
         F.sum("len").alias("_len"),
         F.bool_and(sound).alias("_sound"),
-        F.sum(F.octet_length("data")).alias("_size"),
     )
     joined = commits.join(transfers, "transfer", "left").join(shape, "transfer", "left")
     n = F.coalesce("_n", F.lit(0))
@@ -394,8 +278,8 @@ def commit_transfers(
             (~F.coalesce("_sound", F.lit(True)), "chunk failed validation"),
         ),
     )
-    passing = cheap.filter("_fault IS NULL AND _size IS NOT NULL").select("transfer", "_size")
-    hashed = aggregate_hash(chunks, ["transfer"], "idx", "data", inline_bytes, passing)
+    passing = cheap.filter("_fault IS NULL").select("transfer")
+    hashed = hashes(chunks.join(passing, "transfer", "left_semi"), ["transfer"], "idx", "data")
     empty = F.sha2(F.lit(""), 256)
     error = F.when(
         F.col("_fault").isNull() & (F.coalesce("digest", empty) != F.col("aggregate_hash")),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tensorloom.operators import contracts as oc
 from tensorloom.plans import contracts_queries as cq
 from tensorloom.sources import artifacts as sa
+from tensorloom.sources import pieces as sp
 
 
 def sha(text):
@@ -57,17 +58,16 @@ def test_ingest_equals_one_by_one_handling(spark, seed):
     assert len(got) == len(arrivals)
 
 
-def test_streamed_hash_equals_gathered_hash(spark):
+def test_streamed_hash_of_pieces(spark):
     rng = random.Random(4)
     texts = {k: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 400))) for k in range(12)}
     rows = [(k, i, text[i * 7 : i * 7 + 7]) for k, text in texts.items() for i in range(-(-len(text) // 7))]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "k long, i long, d string").repartition(6)
-    for limit in (0, 100, 10**6):
-        got = {r.k: r.digest for r in sa.aggregate_hash(df, ["k"], "i", "d", limit).collect()}
-        assert got == {k: sha(text) for k, text in texts.items()}
-    joined = {r.k: r.d for r in sa.join_pieces(df, ["k"], "i", "d", 100).collect()}
-    assert joined == {k: text if len(text) <= 100 else None for k, text in texts.items()}
+    got = {r.k: r.digest for r in sp.hashes(df, ["k"], "i", "d").collect()}
+    assert got == {k: sha(text) for k, text in texts.items()}
+    binary = df.select("k", "i", F.col("d").cast("binary").alias("d"))
+    assert {r.k: r.digest for r in sp.hashes(binary, ["k"], "i", "d").collect()} == got
 
 
 def test_commit_rules(spark):
@@ -97,10 +97,45 @@ def test_ranges_and_reassembly(spark):
     assert sorted(got, key=str) == sorted(
         [(1, 8, b"89", None), (1, 20, b"", None), (1, 3, b"34", None), (2, 0, b"", None), (2, 0, None, "object not found")], key=str
     )
-    cut = sa.chunk_data(objects, "data", 4).select("id", (F.col("idx") * 4).alias("offset"), F.col("piece").alias("data"))
-    whole = sa.reassemble(cut, "data", 4).first()
-    assert bytes(whole.data) == b"0123456789" and whole.pieces == 3
-    assert sa.reassemble(cut.filter("offset <> 4"), "data", 4).first().error == "ranges do not cover the object"
+
+
+def test_ranges_over_pieces_of_any_length(spark):
+    rng = random.Random(3)
+    whole = {k: bytes(rng.randrange(256) for _ in range(rng.choice([0, 1, 7, 300, 2000]))) for k in range(8)}
+    rows = []
+    for k, data in whole.items():
+        at = 0
+        while at < len(data):
+            n = rng.choice([1, 2, 50, 700])
+            rows.append((k, at, bytearray(data[at : at + n])))
+            at += n
+    pieces = spark.createDataFrame(rows, "id long, start long, data binary")
+    objects = spark.createDataFrame([(k, len(d)) for k, d in whole.items()], "id long, extent long")
+    asked = [(rng.randrange(9), rng.choice([0, 3, 299, 300, 1 << 62]), rng.choice([0, 1, 10, 1500, 1 << 62]), i) for i in range(150)]
+    ranges = spark.createDataFrame(asked, "id long, offset long, length long, n long")
+    for width in (1, 64, 1 << 20):
+        got = {}
+        for r in sp.read_ranges(ranges, objects, pieces, "data", width).collect():
+            got.setdefault(r.n, []).append((r.at, None if r.data is None else bytes(r.data), r.error))
+        for k, offset, length, i in asked:
+            parts = sorted(got[i], key=lambda x: x[0])
+            if k == 8 and length:
+                assert parts == [(0, None, "object not found")]
+                continue
+            want = whole.get(k, b"")[offset : offset + length]
+            assert b"".join(p[1] for p in parts) == want and all(p[2] is None for p in parts)
+            assert [p[0] for p in parts] == [sum(len(q[1]) for q in parts[:j]) for j in range(len(parts))]
+
+
+def test_reassembly_of_reads(spark, ranges):
+    reads = [(1, 0, "ab"), (1, 2, "cd"), (1, 4, ""), (2, 0, ""), (3, 0, "ab"), (3, 3, "d"), (4, 0, "abc"), (4, 2, "cd"), (5, 2, "x"), (6, 0, "y")]
+    df = spark.createDataFrame(reads, "id long, offset long, data string")
+    objects, pieces = sp.reassemble(df, "data")
+    gap = "ranges do not cover the object"
+    assert {r.id: (r.pieces, r.size, r.error) for r in objects.collect()} == {
+        1: (2, 4, None), 2: (0, 0, None), 3: (2, 3, gap), 4: (2, 5, gap), 5: (1, 1, gap), 6: (1, 1, None),
+    }
+    assert sorted(map(tuple, pieces.collect())) == [(1, 0, "ab"), (1, 2, "cd"), (6, 0, "y")]
 
 
 def test_checkpoint_sink(spark, tmp_path):
@@ -116,11 +151,13 @@ def test_resent_part_replaces(spark):
         [(1, 1, 0, "aa"), (1, 2, 1, "b"), (1, 1, 2, "c"), (2, 1, 0, "x"), (2, 3, 1, "y"), (3, 1, 0, "z"), (1, 0, 5, "q")],
         "id long, part long, seq long, data string",
     )
-    got = {r.id: (r.error, r.size, r.data) for r in sa.assemble_parts(uploads, parts, "data").collect()}
-    assert got == {
-        1: (None, 2, "cb"), 2: ("parts incomplete", None, None), 3: ("part count out of range", None, None),
-        4: ("no multipart upload in flight", None, None),
+    judged, pieces, refused = sa.assemble_parts(uploads, parts, "data")
+    assert {r.id: (r.error, r.size, r.refused) for r in judged.collect()} == {
+        1: (None, 2, 1), 2: ("parts incomplete", None, 0), 3: ("part count out of range", None, 0),
+        4: ("no multipart upload in flight", None, 0),
     }
+    assert sorted(map(tuple, pieces.collect())) == [(1, 1, 0, "c"), (1, 2, 1, "b")]
+    assert [tuple(r) for r in refused.collect()] == [(1, 0, 5, "part number out of range")]
 
 
 def test_audit_order_of_rules(spark):
