@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from tensorloom.operators import contracts as oc
 from tensorloom.session import ensure_checkpoint_dir
+from tensorloom.streaming.timers import valid_wait
 
-# Longest wait for an object and longest lease of a transfer.
-MAX_WAIT_MS = 30_000
-MAX_LEASE_SECONDS = 300
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 Policy = Callable[[DataFrame], DataFrame]
 
@@ -42,31 +42,64 @@ def serve(
     order: Sequence[str] = (),
     checkpoint: str | None = None,
     mode: str = "append",
+    typed_state: bool = False,
 ):
     """Start a query that applies the policy to every micro-batch, in ``order``.
 
     Each batch writes its own folder, so a replayed batch replaces its rows.
+    Typed state needs the RocksDB store; a query keeps the store it starts with.
     """
     def sink(batch: DataFrame, number: int) -> None:
         ordered = batch.orderBy(*order) if order else batch
         policy(ordered).write.mode("overwrite").parquet(f"{folder}/window={number}")
 
-    return (
-        outputs.writeStream.outputMode(mode)
-        .option("checkpointLocation", checkpoint or f"{folder}-checkpoint")
-        .trigger(availableNow=True)
-        .foreachBatch(sink)
-        .start()
-    )
+    conf = outputs.sparkSession.conf
+    before = conf.get(STORE, None)
+    if typed_state:
+        conf.set(STORE, ROCKSDB)
+    try:
+        return (
+            outputs.writeStream.outputMode(mode)
+            .option("checkpointLocation", checkpoint or f"{folder}-checkpoint")
+            .trigger(availableNow=True)
+            .foreachBatch(sink)
+            .start()
+        )
+    finally:
+        if typed_state:
+            conf.unset(STORE) if before is None else conf.set(STORE, before)
 
 
-def drain(outputs: DataFrame, policy: Policy = lambda df: df, order: Sequence[str] = (), mode: str = "append") -> DataFrame:
-    """Run a stream over all data there is and read its results back."""
+def drain(
+    outputs: DataFrame,
+    policy: Policy = lambda df: df,
+    order: Sequence[str] = (),
+    mode: str = "append",
+    keys: Sequence[str] = (),
+    typed_state: bool = False,
+) -> DataFrame:
+    """Run a stream over all data there is and read its results back.
+
+    In update mode windows repeat what changed: of each of the ``keys`` the row
+    of the last window counts. A replayed window has the number it had before,
+    so it replaces itself. A stream that runs no window gives no rows.
+    """
     spark = outputs.sparkSession
     folder = new_folder(spark)
-    query = serve(outputs, policy, folder, order, mode=mode)
+    query = serve(outputs, policy, folder, order, mode=mode, typed_state=typed_state)
     query.awaitTermination()
-    return spark.read.parquet(folder)
+    if query.lastProgress is None or not _exists(spark, folder):
+        return spark.createDataFrame([], policy(spark.createDataFrame([], outputs.schema)).schema).withColumn("window", F.lit(0))
+    rows = spark.read.parquet(folder)
+    if not keys:
+        return rows
+    whole = F.struct(*[F.col(c) for c in rows.columns])
+    return rows.groupBy(*keys).agg(F.max_by(whole, "window").alias("_row")).select("_row.*")
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
 
 def header_audit(ports: DataFrame) -> Policy:
@@ -81,46 +114,8 @@ def header_audit(ports: DataFrame) -> Policy:
     return audit
 
 
-def valid_wait(timeout_ms: Column) -> Column:
-    return timeout_ms.between(1, MAX_WAIT_MS)
-
-
-def lease_outcomes(begins: DataFrame, closes: DataFrame, max_lease: int = MAX_LEASE_SECONDS) -> DataFrame:
-    """How each transfer ended: closed before its deadline, or expired.
-
-    ``begins``: transfer, at (event time), deadline_ms within ``max_lease`` seconds.
-    ``closes``: transfer, closed_at (event time), how ('committed', 'aborted'). A
-    stream-stream outer join: the watermark is the lease timer, and the state of a
-    transfer goes once its lease has passed.
-    """
-    b, c = begins.alias("b"), closes.alias("c")
-    span = F.col("c.closed_at").between(F.col("b.at"), F.col("b.at") + F.expr(f"INTERVAL {max_lease} SECONDS"))
-    held = F.unix_millis("c.closed_at") < F.col("b.deadline_ms")
-    joined = b.join(c, (F.col("b.transfer") == F.col("c.transfer")) & span & held, "left_outer")
-    return joined.select(
-        "b.transfer", F.coalesce(F.col("c.how"), F.lit("transfer lease expired")).alias("outcome")
-    )
-
-
-def wait_for_objects(requests: DataFrame, stored: DataFrame) -> DataFrame:
-    """Stream-stream wait: each request with its object, or timed out.
-
-    ``requests``: request, id, at (event time), timeout_ms. ``stored``: id,
-    stored_at, the first time an object was there; one row per id.
-    """
-    r, s = requests.alias("r"), stored.alias("s")
-    within = F.unix_millis("s.stored_at") <= F.unix_millis("r.at") + F.col("r.timeout_ms")
-    bound = F.col("s.stored_at") <= F.col("r.at") + F.expr(f"INTERVAL {MAX_WAIT_MS // 1000} SECONDS")
-    joined = r.filter(valid_wait(F.col("timeout_ms"))).join(
-        s, (F.col("r.id") == F.col("s.id")) & bound & within, "left_outer"
-    )
-    return joined.select(
-        "r.request", "r.id", F.when(F.col("s.id").isNull(), "timed out").otherwise("found").alias("outcome")
-    )
-
-
 def wait_for_objects_batch(requests: DataFrame, stored: DataFrame) -> DataFrame:
-    """Batch twin, with the refused requests as well."""
+    """Batch twin of the wait for objects."""
     first = stored.groupBy("id").agg(F.min("stored_at").alias("_first"))
     found = F.unix_millis("_first") <= F.unix_millis("at") + F.col("timeout_ms")
     return requests.join(first, "id", "left").select(

@@ -1,165 +1,277 @@
-"""Ordered chunk streams with lease expiry, as a keyed stateful stream.
+"""Ordered chunk streams with hashes and leases, on typed keyed state.
 
 Frames: transfer, seq (0, 1, 2, ... per transfer), kind ('begin', 'chunk',
-'commit', 'abort'), idx, len, sound (hash matches), expected_chunks,
-expected_len, expected_hash, aggregate_hash, deadline_ms and the event time
-``at``. Payloads stay outside: the stream judges slim rows, and the bytes are
-hashed in bulk when a transfer closes (``sources.artifacts.aggregate_hash``).
+'commit', 'abort'), idx, data, hash (of the chunk), expected_chunks, expected_len
+(bytes), expected_hash, aggregate_hash, deadline_ms and the event time ``at``.
+
+State per transfer: one row of numbers with a bitmap of indices, the frames that
+came early by number, the accepted chunks by index, and a timer. Chunks are kept
+until the transfer closes, since its hash runs over all of them in index order;
+they lie in the state store, and memory holds one at a time.
 """
 
 from __future__ import annotations
 
-import json
+import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 # Fixed value: lease of a transfer.
 LEASE_MS = 300_000
 
 OUTPUT = "transfer string, seq bigint, kind string, idx bigint, outcome string"
-STATE = "memory string"
-FIELDS = (
-    "seq", "kind", "idx", "len", "sound", "expected_chunks", "expected_len", "expected_hash",
-    "aggregate_hash", "deadline_ms",
-)
+FRAME = {
+    "seq": "bigint", "kind": "string", "idx": "bigint", "data": "binary", "hash": "string", "expected_chunks": "bigint",
+    "expected_len": "bigint", "expected_hash": "string", "aggregate_hash": "string", "deadline_ms": "bigint",
+}
+EARLY = [c for c in FRAME if c != "seq"]
+HEAD = {
+    "next": "bigint", "index": "bigint", "total": "bigint", "open": "boolean", "over": "boolean", "expected_chunks": "bigint",
+    "expected_len": "bigint", "expected_hash": "string", "deadline_ms": "bigint", "latest": "bigint", "timer": "bigint", "seen": "binary",
+}
+START = {"next": 0, "index": 0, "total": 0, "open": False, "over": False, "latest": 0, "timer": 0, "seen": b""}
+
+OVER = "ignored: stream is over"
+REPEATED = "ignored: number already used"
+DROPPED = "dropped: stream failed"
+UNBEGUN = "ignored: stream never began"
+
 
-NUMBERS = frozenset(("seq", "idx", "len", "expected_chunks", "expected_len", "deadline_ms"))
+def ddl(fields: dict[str, str], names: list[str] | None = None) -> str:
+    return ", ".join(f"{n} {fields[n]}" for n in names or fields)
 
 
 def frames_from(df: DataFrame) -> DataFrame:
-    """Typed frame columns in the order the state function reads them."""
-    return df.select(
-        F.col("transfer").cast("string").alias("transfer"),
-        "at",
-        *[
-            F.col(c).cast("string" if c in ("kind", "expected_hash", "aggregate_hash") else "boolean" if c == "sound" else "bigint").alias(c)
-            for c in FIELDS
-        ],
-    )
-
-
-def _start() -> dict:
-    return {
-        "next": 0, "index": 0, "total": 0, "open": False, "over": False, "early": {}, "held": [], "seen": [], "latest": 0,
-    }
-
-
-def _number(value):
-    return None if value is None or value != value else int(value)
-
-
-def _judge(memory: dict, frame: dict, order: str, whole: bool) -> list[tuple]:
-    """Outcome rows of one frame in turn; mutates the transfer's memory."""
-    kind, idx = frame["kind"], frame["idx"]
-
-    def fail(reason: str) -> list[tuple]:
-        memory["over"] = True
-        memory["held"] = []
-        return [(frame["seq"], kind, idx, reason)]
-
-    if memory["over"]:
-        return [(frame["seq"], kind, idx, "ignored: stream is over")]
-    if kind == "begin":
-        if memory["open"]:
-            return fail("failed: duplicate begin")
-        memory["open"] = True
-        for field in ("expected_chunks", "expected_len", "expected_hash", "deadline_ms"):
-            memory[field] = frame[field]
-        return [(frame["seq"], kind, idx, "begun")]
-    if kind == "abort":
-        return fail("failed: aborted")
-    if not memory["open"]:
-        return fail("failed: frame before begin")
-    if kind == "chunk":
-        if order == "sequential":
-            if idx != memory["index"]:
-                return fail("failed: out of order")
-        elif idx in memory["seen"] or not 0 <= idx < memory["expected_chunks"]:
-            return fail("failed: index repeated or out of range")
-        if not frame["sound"]:
-            return fail("failed: hash mismatch")
-        memory["index"] += 1
-        memory["total"] += frame["len"]
-        if order != "sequential":
-            memory["seen"].append(idx)
-        row = (frame["seq"], kind, idx, "accepted")
-        if whole:
-            memory["held"].append(row)
-            return []
-        return [row]
-    complete = (
-        memory["index"] == memory["expected_chunks"]
-        and memory["total"] == memory["expected_len"]
-        and frame["aggregate_hash"] == memory["expected_hash"]
-    )
-    if not complete:
-        return fail("failed: commit check")
-    memory["over"] = True
-    rows, memory["held"] = memory["held"], []
-    return [*rows, (frame["seq"], kind, idx, "closed")]
+    """Typed frame columns."""
+    return df.select(F.col("transfer").cast("string").alias("transfer"), "at", *[F.col(c).cast(t).alias(c) for c, t in FRAME.items()])
+
+
+class TransferJudge(StatefulProcessor):
+    """Outcome of every frame of a transfer; see ``transfer_outcomes``."""
+
+    def __init__(self, order: str, whole: bool):
+        self.order, self.whole = order, whole
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.head = handle.getValueState("head", ddl(HEAD))
+        self.early = handle.getMapState("early", "seq bigint", ddl(FRAME, EARLY))
+        self.chunks = handle.getMapState("chunks", "idx bigint", "seq bigint, data binary")
+
+    def close(self) -> None:
+        pass
+
+    def _load(self) -> None:
+        if self.head.exists():
+            self.now = dict(zip(HEAD, self.head.get()))
+            self.stored = True
+            # Numbers of the frames that wait, at most as many as a transfer has; their bytes stay in the store.
+            self.known = {k[0] for k in self.early.keys()} if not self.now["over"] else set()
+        else:
+            self.now = {c: None for c in HEAD} | START
+            self.stored, self.known = False, set()
+        self.waiting: dict[int, Row] = {}
+        self.fresh: dict[int, tuple[int, bytes]] = {}
+
+    # Early frames and chunks of this call stay in memory; what is left of them at its end is stored.
+
+    def _wait(self, frame: Row) -> bool:
+        if frame.seq in self.waiting or frame.seq in self.known:
+            return False
+        self.waiting[frame.seq] = frame
+        return True
+
+    def _due(self) -> Row | None:
+        seq = self.now["next"]
+        if seq in self.waiting:
+            return self.waiting.pop(seq)
+        if seq in self.known:
+            found = self.early.getValue((seq,))
+            self.early.removeKey((seq,))
+            self.known.remove(seq)
+            return Row("seq", *EARLY)(seq, *found)
+        return None
+
+    def _flush_waiting(self, outcome: str) -> Iterator[tuple]:
+        """Outcomes of the frames that still wait."""
+        rest = {f.seq: (f.kind, f.idx) for f in self.waiting.values()}
+        if self.known:
+            for key, value in self.early.iterator():
+                found = dict(zip(EARLY, value))
+                rest[key[0]] = (found["kind"], found["idx"])
+            self.early.clear()
+        self.known.clear()
+        self.waiting.clear()
+        for seq, (kind, idx) in sorted(rest.items()):
+            yield seq, kind, idx, outcome
+
+    def _chunk(self, idx: int) -> tuple[int, bytes]:
+        return self.fresh[idx] if idx in self.fresh else tuple(self.chunks.getValue((idx,)))
+
+    def _held(self) -> list[tuple[int, int]]:
+        """(seq, idx) of the accepted chunks that are not out yet."""
+        found = [(seq, idx) for idx, (seq, _) in self.fresh.items()]
+        if self.stored:
+            found += [(value[0], key[0]) for key, value in self.chunks.iterator() if key[0] not in self.fresh]
+        return sorted(found)
+
+    def _end(self) -> Iterator[tuple]:
+        """The stream is over: chunks are given up, and waiting frames have their outcome."""
+        self.now["over"] = True
+        if self.stored:
+            self.chunks.clear()
+        self.fresh.clear()
+        yield from self._flush_waiting(OVER)
+
+    def _fail(self, frame: Row, reason: str) -> Iterator[tuple]:
+        yield frame.seq, frame.kind, frame.idx, reason
+        yield from self._give_up()
+
+    def _give_up(self) -> Iterator[tuple]:
+        if self.whole:
+            for seq, idx in self._held():
+                yield seq, "chunk", idx, DROPPED
+        yield from self._end()
+
+    def _seen(self, idx: int) -> bool:
+        byte = idx >> 3
+        return byte < len(self.now["seen"]) and bool(self.now["seen"][byte] >> (idx & 7) & 1)
+
+    def _see(self, idx: int) -> None:
+        byte, bits = idx >> 3, bytearray(self.now["seen"])
+        bits.extend(bytes(max(0, byte + 1 - len(bits))))
+        bits[byte] |= 1 << (idx & 7)
+        self.now["seen"] = bytes(bits)
+
+    def _judge(self, frame: Row) -> Iterator[tuple]:
+        now, kind, idx = self.now, frame.kind, frame.idx
+        now["next"] += 1
+        if kind == "begin":
+            if now["open"]:
+                yield from self._fail(frame, "failed: begun twice")
+                return
+            now |= {c: frame[c] for c in ("expected_chunks", "expected_len", "expected_hash", "deadline_ms")} | {"open": True}
+            yield frame.seq, kind, idx, "begun"
+        elif kind == "abort":
+            yield from self._fail(frame, "failed: aborted")
+        elif not now["open"]:
+            yield from self._fail(frame, "failed: frame before begin")
+        elif kind == "chunk":
+            reason = self._chunk_fault(frame)
+            if reason:
+                yield from self._fail(frame, reason)
+                return
+            now["index"] += 1
+            now["total"] += len(frame.data)
+            if self.order != "sequential":
+                self._see(idx)
+            self.fresh[idx] = (frame.seq, bytes(frame.data))
+            if not self.whole:
+                yield frame.seq, kind, idx, "accepted"
+        elif kind == "commit" and self._complete(frame):
+            if self.whole:
+                for seq, held in self._held():
+                    yield seq, "chunk", held, "accepted"
+            yield frame.seq, kind, idx, "closed"
+            yield from self._end()
+        else:
+            yield from self._fail(frame, "failed: commit check" if kind == "commit" else "failed: unknown kind")
+
+    def _chunk_fault(self, frame: Row) -> str | None:
+        idx, now = frame.idx, self.now
+        if self.order == "sequential":
+            if idx != now["index"]:
+                return "failed: out of order"
+        elif idx is None or not 0 <= idx < (now["expected_chunks"] or 0) or self._seen(idx):
+            return "failed: index repeated or out of range"
+        if frame.data is None or hashlib.sha256(frame.data).hexdigest() != frame.hash:
+            return "failed: hash mismatch"
+        return None
+
+    def _complete(self, frame: Row) -> bool:
+        now = self.now
+        if now["index"] != now["expected_chunks"] or now["total"] != now["expected_len"] or frame.aggregate_hash != now["expected_hash"]:
+            return False
+        digest = hashlib.sha256()
+        for idx in range(now["index"]):
+            digest.update(self._chunk(idx)[1])
+        return digest.hexdigest() == frame.aggregate_hash
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        self._load()
+        now = self.now
+        found: list[tuple] = []
+        for frame in rows:
+            now["latest"] = max(now["latest"], int(frame["_ms"]))
+            if frame.seq is None or frame.seq < now["next"]:
+                found.append((frame.seq, frame.kind, frame.idx, REPEATED))
+            elif now["over"]:
+                found.append((frame.seq, frame.kind, frame.idx, OVER))
+            elif not self._wait(frame):
+                found.append((frame.seq, frame.kind, frame.idx, REPEATED))
+        while not now["over"]:
+            frame = self._due()
+            if frame is None:
+                break
+            found += self._judge(frame)
+        self._save(timerValues.getCurrentWatermarkInMs())
+        for row in found:
+            yield Row(transfer=key[0], seq=row[0], kind=row[1], idx=row[2], outcome=row[3])
+
+    def _save(self, watermark: int) -> None:
+        for seq, frame in self.waiting.items():
+            self.early.updateValue((seq,), tuple(frame[c] for c in EARLY))
+        for idx, value in self.fresh.items():
+            self.chunks.updateValue((idx,), value)
+        now = self.now
+        # An open transfer runs to its deadline. One that is over, or not begun, is
+        # remembered for one lease after its last frame and then forgotten.
+        running = now["open"] and not now["over"] and now["deadline_ms"] is not None
+        due = max(now["deadline_ms"] if running else now["latest"] + LEASE_MS, watermark + 1)
+        if due != now["timer"]:
+            now["timer"] = due
+            self.handle.registerTimer(due)
+        self.head.update(tuple(now[c] for c in HEAD))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if not self.head.exists():
+            return
+        self._load()
+        now = self.now
+        if expiredTimerInfo.getExpiryTimeInMs() != now["timer"]:
+            return  # replaced by a later one
+        found: list[tuple] = []
+        if now["open"] and not now["over"]:
+            found = [(now["next"], "lease", None, "failed: expired"), *self._give_up()]
+            now["latest"] = max(now["latest"], timerValues.getCurrentWatermarkInMs())
+            self._save(timerValues.getCurrentWatermarkInMs())
+        else:
+            found = [] if now["over"] else list(self._flush_waiting(UNBEGUN))
+            self.chunks.clear()
+            self.head.clear()
+        for row in found:
+            yield Row(transfer=key[0], seq=row[0], kind=row[1], idx=row[2], outcome=row[3])
 
 
 def transfer_outcomes(frames: DataFrame, order: str = "sequential", finalise: str = "end of axis") -> DataFrame:
-    """Outcome of every frame, in frame order per transfer.
+    """Outcome of every frame that reaches the stream, repeats included.
 
     ``order`` 'sequential' wants consecutive indices, 'unordered' any order without
     repeats. ``finalise`` 'whole artifact' holds accepted chunks back until the
-    transfer closes. Frames that arrive early wait in the state; there are at most
-    as many as declared chunks. A lease that runs out is one 'expired' row; its
-    timer comes from the declared deadline. Every state has a timer, so none stays.
+    transfer closes; if it fails they are dropped. Every chunk is hashed as its
+    turn comes, and a commit is checked against the hash of all bytes in index
+    order. Frames may arrive in any order, as late as the watermark's delay. A
+    lease that runs out is one 'expired' row; its timer comes from the declared
+    deadline. Every state has a timer, so none stays.
+
+    The state lies in the RocksDB store: start the query by ``streams.serve`` or
+    ``streams.drain`` with ``typed_state``.
     """
     if order not in ("sequential", "unordered") or finalise not in ("end of axis", "whole artifact"):
         raise ValueError("unknown order or finalisation")
-    whole = finalise == "whole artifact"
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        memory = json.loads(state.get[0]) if state.exists else _start()
-        rows: list[tuple] = []
-        if state.hasTimedOut:
-            if memory["over"] or not memory["open"]:
-                state.remove()
-                return
-            memory["over"], memory["held"], memory["early"] = True, [], {}
-            rows.append((memory["next"], "lease", None, "failed: expired"))
-        else:
-            early = memory["early"]
-            for batch in batches:
-                for row in batch.itertuples(index=False):
-                    memory["latest"] = max(memory["latest"], row[1].value // 10**6)
-                    frame = {
-                        name: _number(value) if name in NUMBERS else value
-                        for name, value in zip(FIELDS, row[2:])
-                    }
-                    frame["sound"] = frame["sound"] is not None and bool(frame["sound"])
-                    early[str(frame["seq"])] = frame
-            while str(memory["next"]) in early:
-                rows.extend(_judge(memory, early.pop(str(memory["next"])), order, whole))
-                memory["next"] += 1
-        # An open transfer runs to its deadline. One that is over, or not begun, is
-        # remembered for one lease after its last frame and then forgotten.
-        running = memory["open"] and not memory["over"]
-        timer = memory["deadline_ms"] if running else memory["latest"] + LEASE_MS
-        now = state.getCurrentWatermarkMs()
-        if state.hasTimedOut:
-            timer = now + LEASE_MS
-        state.update((json.dumps(memory),))
-        state.setTimeoutTimestamp(max(timer, now + 1))
-        if rows:
-            yield pd.DataFrame(
-                {
-                    "transfer": key[0],
-                    "seq": [r[0] for r in rows],
-                    "kind": [r[1] for r in rows],
-                    "idx": pd.array([r[2] for r in rows], dtype="Int64"),
-                    "outcome": [r[3] for r in rows],
-                }
-            )
-
-    return (
-        frames.groupBy("transfer")
-        .applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    )
+    judge = TransferJudge(order, finalise == "whole artifact")
+    timed = frames.withColumn("_ms", F.unix_millis("at"))
+    return timed.groupBy("transfer").transformWithState(judge, OUTPUT, "append", "eventTime")

@@ -8,10 +8,11 @@ from tensorloom.operators import mailboxes as om
 from tensorloom.operators import user_functions as uf
 from tensorloom.sources import artifacts as sa
 from tensorloom.streaming import streams as st
+from tensorloom.streaming import timers as tm
 from tensorloom.streaming import transfers as tr
 
 SCHEMA = (
-    "transfer string, ms long, seq long, kind string, idx long, len long, sound boolean, expected_chunks long, "
+    "transfer string, ms long, seq long, kind string, idx long, data string, hash string, expected_chunks long, "
     "expected_len long, expected_hash string, aggregate_hash string, deadline_ms long"
 )
 
@@ -21,28 +22,32 @@ def sha(text):
 
 
 def frame(t, ms, seq, kind, idx=None, text=None, n=None, total=None, digest=None, deadline=9_000):
-    size = None if text is None else len(text)
-    return (t, ms, seq, kind, idx, size, True, n, total, digest, digest, deadline)
+    return (t, ms, seq, kind, idx, text, None if text is None else sha(text), n, total, digest, digest, deadline)
 
 
-def stream_of(spark, tmp_path, batches):
+def stream_of(spark, tmp_path, batches, delay="0 seconds"):
     folder = str(tmp_path / "in")
     for i, rows in enumerate(batches):
         df = tr.frames_from(spark.createDataFrame(rows, SCHEMA).withColumn("at", F.timestamp_millis("ms")))
         df.coalesce(1).write.mode("append").parquet(folder)
-    return st.read_windowed(spark, df.schema, folder, 1, latestFirst="false").withWatermark("at", "0 seconds")
+    return st.read_windowed(spark, df.schema, folder, 1, latestFirst="false").withWatermark("at", delay)
 
 
 def outcomes(stream, **how):
-    rows = st.drain(tr.transfer_outcomes(stream, **how)).collect()
+    rows = st.drain(tr.transfer_outcomes(stream, **how), typed_state=True).collect()
     return {(r.transfer, r.seq, r.kind): r.outcome for r in rows}
 
 
+def all_outcomes(stream, **how):
+    rows = st.drain(tr.transfer_outcomes(stream, **how), typed_state=True).collect()
+    return sorted((r.transfer, -1 if r.seq is None else r.seq, r.kind, r.outcome) for r in rows)
+
+
 def test_frames_may_arrive_out_of_order_across_windows(spark, tmp_path):
     d = sha("abcd")
     first = [frame("t", 1, 2, "chunk", 1, "cd"), frame("t", 1, 3, "commit", digest=d)]
     second = [frame("t", 2, 1, "chunk", 0, "ab"), frame("t", 2, 0, "begin", n=2, total=4, digest=d)]
-    got = outcomes(stream_of(spark, tmp_path, [first, second]))
+    got = outcomes(stream_of(spark, tmp_path, [first, second], "1 second"))
     assert got == {("t", 0, "begin"): "begun", ("t", 1, "chunk"): "accepted", ("t", 2, "chunk"): "accepted", ("t", 3, "commit"): "closed"}
 
 
@@ -62,11 +67,45 @@ def test_unordered_chunks_and_whole_artifact(spark, tmp_path):
             frame("u", 1, 0, "begin", n=2, total=4, digest=d), frame("u", 1, 1, "chunk", 1, "cd"), frame("u", 1, 2, "chunk", 1, "cd")]
     got = outcomes(stream_of(spark, tmp_path, [rows]), order="unordered", finalise="whole artifact")
     assert got["t", 1, "chunk"] == "accepted" and got["t", 3, "commit"] == "closed"
-    assert ("u", 1, "chunk") not in got and got["u", 2, "chunk"].startswith("failed: index repeated")
+    assert got["u", 1, "chunk"] == tr.DROPPED and got["u", 2, "chunk"].startswith("failed: index repeated")
     with pytest.raises(ValueError):
         tr.transfer_outcomes(spark.range(1), order="reversed")
 
 
+def test_every_frame_has_an_outcome(spark, tmp_path):
+    """Repeats at every stage, waiting frames of a failed stream, frames of a stream that never begins."""
+    d = sha("abcd")
+    windows = [
+        [frame("t", 1_000, 0, "begin", n=2, total=4, digest=d), frame("t", 1_000, 2, "chunk", 1, "cd"), frame("t", 1_000, 2, "chunk", 1, "cd"),
+         frame("f", 1_000, 0, "begin", n=3, total=4, digest=d), frame("f", 1_000, 3, "chunk", 2, "x"), frame("n", 1_000, 4, "chunk", 0, "x")],
+        [frame("t", 2_000, 1, "chunk", 0, "ab"), frame("t", 2_000, 0, "begin", n=2, total=4, digest=d), frame("f", 2_000, 1, "abort")],
+        [frame("t", 3_000, 3, "commit", digest=d), frame("t", 3_000, 2, "chunk", 1, "cd"), frame("f", 3_000, 2, "chunk", 0, "y")],
+        [frame("z", 2_000_000, 0, "abort")],
+    ]
+    got = [r for r in all_outcomes(stream_of(spark, tmp_path, windows, "10 seconds")) if r[0] != "z"]
+    assert got == sorted([
+        ("t", 0, "begin", "begun"), ("t", 0, "begin", tr.REPEATED), ("t", 1, "chunk", "accepted"), ("t", 2, "chunk", "accepted"),
+        ("t", 2, "chunk", tr.REPEATED), ("t", 2, "chunk", tr.REPEATED), ("t", 3, "commit", "closed"),
+        ("f", 0, "begin", "begun"), ("f", 1, "abort", "failed: aborted"), ("f", 2, "chunk", tr.OVER), ("f", 3, "chunk", tr.OVER),
+        ("n", 4, "chunk", tr.UNBEGUN),
+    ])
+
+
+def test_hashes_are_computed_in_the_stream(spark, tmp_path):
+    """A wrong chunk hash and right chunks under a wrong total, over windows that part a transfer."""
+    d = sha("abcd")
+    bad = list(frame("b", 1_000, 1, "chunk", 0, "ab"))
+    bad[6] = sha("other")
+    first = [frame("a", 1_000, 0, "begin", n=2, total=4, digest=sha("abce")), frame("a", 1_000, 1, "chunk", 0, "ab"),
+             frame("b", 1_000, 0, "begin", n=1, total=2, digest=d), tuple(bad),
+             frame("c", 1_000, 0, "begin", n=2, total=4, digest=d), frame("c", 1_000, 1, "chunk", 0, "ab")]
+    second = [frame("a", 1_100, 2, "chunk", 1, "cd"), frame("c", 1_100, 2, "chunk", 1, "cd")]
+    third = [frame("a", 1_200, 3, "commit", digest=sha("abce")), frame("c", 1_200, 3, "commit", digest=d)]
+    got = outcomes(stream_of(spark, tmp_path, [first, second, third], "10 seconds"))
+    assert got["a", 3, "commit"] == "failed: commit check" and got["b", 1, "chunk"] == "failed: hash mismatch"
+    assert got["c", 3, "commit"] == "closed" and got["a", 2, "chunk"] == "accepted"
+
+
 def test_stream_agrees_with_batch_commit(spark, tmp_path):
     rng = random.Random(2)
     rows, transfers, chunks, commits = [], [], [], []
@@ -140,3 +179,68 @@ def test_operation_checks_both_sides(spark):
 def test_policy_must_give_its_columns(spark):
     with pytest.raises(ValueError, match="mean_loss"):
         uf.apply_policy(spark.range(1), lambda df: df, ["mean_loss"])
+
+
+def windows_of(spark, folder, batches, schema, time):
+    """A stream with one window per batch."""
+    for rows in batches:
+        df = spark.createDataFrame(rows, schema)
+        df.withColumn(time, F.timestamp_millis(time)).coalesce(1).write.mode("append").parquet(folder)
+    shape = spark.read.parquet(folder).schema
+    return st.read_windowed(spark, shape, folder, 1, latestFirst="false")
+
+
+def run(spark, outputs, folder):
+    """Rows of a stream, and how many rows its state held after each window."""
+    query = st.serve(outputs, lambda df: df, folder, typed_state=True)
+    query.awaitTermination()
+    held = [sum(s.numRowsTotal for s in p.stateOperators) for p in query.recentProgress if p.stateOperators]
+    return spark.read.parquet(folder).collect(), held
+
+
+def test_leases_end_by_their_own_deadline(spark, tmp_path):
+    begins = [
+        [(1, 1_000, 600_000), (2, 1_000, 600_000), (3, 1_000, 60_000)],
+        [(4, 100_000, 200_000), (5, 100_000, 900_000)],
+        [(6, 650_000, 660_000)],
+        [(99, 5_000_000, 6_000_000)], [(98, 5_000_000, 6_000_000)],
+    ]
+    closes = [
+        [(3, 30_000, "aborted"), (5, 150_000, "committed")],  # one before its beginning is read
+        [(1, 400_000, "committed"), (4, 200_000, "committed")],  # a close at the deadline is too late
+        [(2, 601_000, "committed"), (1, 300_000, "aborted")],
+        [(99, 5_000_000, "committed")], [(97, 5_000_000, "committed")],
+    ]
+    opened = windows_of(spark, str(tmp_path / "b"), begins, "transfer long, at long, deadline_ms long", "at")
+    closed = windows_of(spark, str(tmp_path / "c"), closes, "transfer long, closed_at long, how string", "closed_at")
+    rows, held = run(spark, tm.lease_outcomes(opened, closed, "1000 seconds"), str(tmp_path / "out"))
+    got = {r.transfer: r.outcome for r in rows if r.transfer < 90}
+    assert got == {1: "committed", 2: tm.EXPIRED, 3: "aborted", 4: tm.EXPIRED, 5: "committed", 6: tm.EXPIRED}
+    assert len([r for r in rows if r.transfer < 90]) == 6 and max(held) > held[-1]
+
+
+def test_waits_end_by_their_own_timeout(spark, tmp_path):
+    stored = spark.createDataFrame([(7, 500), (8, 2_000)], "id long, ms long").select("id", F.timestamp_millis("ms").alias("stored_at"))
+    requests = [
+        [(1, 7, 1_000, 10), (2, 8, 1_000, 5_000), (3, 8, 1_000, 100), (4, 9, 1_000, 0), (5, 9, 1_000, 30_001), (6, 9, 1_000, 30_000)],
+        [(7, 8, 1_500, 500), (8, 8, 4_000, 30_000), (9, 7, 400, 50), (10, 7, 400, 100)],
+        [(11, 10, 2_500, 30_000)],
+        [(99, 1, 500_000, 5)], [(98, 1, 500_000, 5)],
+    ]
+    arrivals = [[(8, 2_000), (7, 500)], [(10, 32_500), (8, 9_000)], [(9, 31_001)], [(1, 500_000)], [(2, 500_000)]]
+    asked = windows_of(spark, str(tmp_path / "r"), requests, "request long, id long, at long, timeout_ms long", "at")
+    came = windows_of(spark, str(tmp_path / "a"), arrivals, "id long, stored_at long", "stored_at")
+    rows, held = run(spark, tm.wait_for_objects(asked, came, stored, "100 seconds"), str(tmp_path / "out"))
+    got = {r.request: r.outcome for r in rows if r.request < 90}
+    assert got == {
+        1: "found", 2: "found", 3: "timed out", 4: "timeout out of range", 5: "timeout out of range", 6: "timed out", 7: "found", 8: "found",
+        9: "timed out", 10: "found", 11: "found",
+    }
+    assert len([r for r in rows if r.request < 90]) == 11 and max(held) > held[-1]
+
+
+def test_update_mode_keeps_the_last_window_of_a_node(spark, tmp_path):
+    batches = [[(0, 1), (1, 1)], [(0, 2)], [(2, 3), (0, 3)], [(1, 4)]]
+    stream = windows_of(spark, str(tmp_path / "in"), batches, "node long, at long", "at")
+    got = st.drain(st.progress(stream, "node"), mode="update", keys=["node"])
+    assert sorted((r.node, r.completed) for r in got.collect()) == [(0, 3), (1, 2), (2, 1)]
