@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.functions.cols import first_failure
 from tensorloom.plans.scans import neighbours, row_numbers, running_total
-from tensorloom.session import durable
+from tensorloom.session import durable, written
 
 G = "graph_id"
 MAX_DEPTH = 16
@@ -89,30 +89,99 @@ def sinks(vertices: DataFrame, links: DataFrame) -> DataFrame:
 def levels(vertices: DataFrame, links: DataFrame) -> DataFrame:
     """Topological level of every vertex; NULL on and behind a cycle.
 
-    One round per level peels the vertices without unresolved input, in all
-    graphs at once. Rounds are as many as the longest path; each works on what is
-    left and cuts its lineage with a reliable checkpoint.
+    The level of a vertex is ``max(base, level(source) + weight)`` over its open
+    inputs, where ``base`` is what its settled inputs give. A round settles the
+    vertices without open inputs, and takes out all with one: those are chains of
+    such functions, which compose, so pointer jumping replaces each by a function
+    of the next vertex with several inputs in a logarithm of the chain's length.
+    Inputs that thereby come from one vertex are one input, so chains, trees and
+    diamonds shrink together; rounds are as many as there are layers of real
+    merges. All graphs run at once, and degrees are counted over open inputs alone.
     """
-    left = durable(vertices.select(G, "vertex").distinct())
-    open_links = durable(
-        links.select(G, "source", "target").distinct().join(
-            left.withColumnRenamed("vertex", "target"), [G, "target"], "left_semi"
-        )
-    )
-    done, level = None, 0
+    nodes = vertices.select(G, "vertex").distinct()
+    inputs = written(links.select(G, F.col("source").alias("parent"), F.col("target").alias("vertex")).distinct().withColumn("weight", F.lit(1)))
+    nodes = nodes.withColumn("base", F.lit(None).cast("int"))
+    settled, taken_out, every = [], [], None
     while True:
-        ready = durable(roots(left, open_links).withColumn("level", F.lit(level)))
-        if ready.isEmpty():
+        degree = inputs.groupBy(G, "vertex").agg(
+            F.count(F.lit(1)).alias("_open"), F.max("parent").alias("parent"), F.max("weight").alias("weight")
+        )
+        state = written(nodes.join(degree, [G, "vertex"], "left"))
+        every = state.select(G, "vertex") if every is None else every
+        counts = state.agg(
+            F.count(F.when(F.col("_open").isNull(), 1)).alias("free"), F.count(F.when(F.col("_open") == 1, 1)).alias("single"),
+            F.count(F.when(F.col("_open") > 1, 1)).alias("merge"),
+        ).first()
+        free = state.filter("_open IS NULL").select(G, "vertex", F.coalesce("base", F.lit(0)).alias("level"))
+        single = state.filter("_open = 1").select(G, "vertex", "parent", "base", "weight")
+        if counts["single"]:
+            single = _jumped(single, counts["single"])
+            taken_out.append(single)
+        settled.append(free)
+        if not counts["merge"] or not (counts["free"] or counts["single"]):
             break
-        done = ready if done is None else done.unionByName(ready)
-        left = left.join(ready, [G, "vertex"], "left_anti")
-        peeled = ready.select(G, F.col("vertex").alias("source"))
-        open_links = open_links.join(peeled, [G, "source"], "left_anti")
-        if level % 2:
-            left, open_links = durable(left), durable(open_links)
-        level += 1
-    cyclic = left.withColumn("level", F.lit(None).cast("int"))
-    return cyclic if done is None else done.unionByName(cyclic)
+        # What settled and taken-out sources stand for: a constant, or a function of another vertex.
+        known = free.select(G, F.col("vertex").alias("parent"), F.lit(None).cast(dict(single.dtypes)["parent"]).alias("_far"), F.col("level").alias("_base"), F.lit(None).cast("int").alias("_weight"))
+        stand = known
+        if counts["single"]:
+            ended = single.join(free.select(G, F.col("vertex").alias("parent"), "level"), [G, "parent"], "left")
+            constant = F.greatest(F.col("base"), F.col("level") + F.col("weight"))
+            stand = known.unionByName(ended.select(
+                G, F.col("vertex").alias("_v"), F.when(F.col("level").isNull(), F.col("parent")).alias("_far"),
+                F.when(F.col("level").isNull(), F.col("base")).otherwise(constant).alias("_base"),
+                F.when(F.col("level").isNull(), F.col("weight")).alias("_weight"),
+            ).withColumnRenamed("_v", "parent"))
+        merges = state.filter("_open > 1").select(G, "vertex", "base")
+        stand = stand.withColumn("_stands", F.lit(True))
+        into = inputs.join(merges.select(G, "vertex"), [G, "vertex"]).join(stand, [G, "parent"], "left")
+        moved = written(into.select(
+            G, "vertex",
+            F.when(F.col("_stands").isNull(), F.col("parent")).otherwise(F.col("_far")).alias("parent"),
+            F.when(F.col("_stands").isNull(), F.col("weight")).otherwise(F.col("_weight") + F.col("weight")).alias("weight"),
+            (F.col("_base") + F.col("weight")).alias("_base"),
+        ))
+        gained = moved.groupBy(G, "vertex").agg(F.max("_base").alias("_gain"))
+        nodes = merges.join(gained, [G, "vertex"], "left").select(G, "vertex", F.greatest("base", "_gain").alias("base"))
+        inputs = moved.filter("parent IS NOT NULL").groupBy(G, "vertex", "parent").agg(F.max("weight").alias("weight"))
+    found = settled[0]
+    for part in settled[1:]:
+        found = found.unionByName(part)
+    # Vertices taken out last depend on nothing taken out before.
+    for part in reversed(taken_out):
+        source = found.select(G, F.col("vertex").alias("parent"), "level")
+        value = part.join(source, [G, "parent"]).select(G, "vertex", F.greatest(F.col("base"), F.col("level") + F.col("weight")).alias("level"))
+        found = written(found.unionByName(value))
+    return every.join(found, [G, "vertex"], "left")
+
+
+def _jumped(single: DataFrame, still: int) -> DataFrame:
+    """Functions (parent, base, weight) of vertices with one input, composed until the parent is none of them.
+
+    Rows whose parent is one of them look it up, two steps of doubling a round,
+    in which every chain that ends comes nearer to its end. What lies on a ring
+    never gets there and is left out: it has no level, nor has what hangs on it.
+    """
+    there = single.select(G, F.col("vertex").alias("parent"), F.lit(True).alias("_there"))
+    left = single.join(there, [G, "parent"], "left").select(
+        G, "vertex", "parent", "base", "weight", F.coalesce("_there", F.lit(False)).alias("_open")
+    )
+
+    def step(rows: DataFrame) -> DataFrame:
+        ahead = rows.select(
+            G, F.col("vertex").alias("parent"), F.col("parent").alias("_parent"), F.col("base").alias("_base"),
+            F.col("weight").alias("_weight"), F.col("_open").alias("_further"),
+        )
+        moved = rows.filter("_open").join(ahead, [G, "parent"]).select(
+            G, "vertex", F.col("_parent").alias("parent"), F.greatest(F.col("base"), F.col("_base") + F.col("weight")).alias("base"),
+            (F.col("weight") + F.col("_weight")).alias("weight"), F.col("_further").alias("_open"),
+        )
+        return rows.filter("NOT _open").unionByName(moved)
+
+    while True:
+        left = written(step(step(left)))
+        before, still = still, left.filter("_open").count()
+        if not still or still == before:
+            return left.filter("NOT _open").drop("_open")
 
 
 def audit_graphs(

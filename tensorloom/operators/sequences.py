@@ -16,9 +16,12 @@ from tensorloom.functions import sequence_expr as se
 from tensorloom.functions.cols import whole_div
 from tensorloom.functions.draws import coin
 from tensorloom.plans.scans import running_total, shuffled_rank
+from tensorloom.session import written
 
 # Fixed value: generation cap of a request that sets none.
 DEFAULT_LIMIT = 256
+# Vocabulary entries that are broadcast.
+FREQUENT = 4096
 
 
 def n_tokens(df: DataFrame, batch: Sequence[str], tokens: str) -> DataFrame:
@@ -213,27 +216,42 @@ def to_ragged(dense: DataFrame, shapes: DataFrame, batch: Sequence[str]) -> Data
 
 
 def vocabulary(df: DataFrame, text: str, seed: int = 0) -> DataFrame:
-    """Distinct words with dense ids 1..n in a seeded order."""
-    distinct = df.select(F.explode(se.words(text)).alias("word")).distinct()
-    return shuffled_rank(distinct, seed, "word", "_rank").select(
-        "word", (F.col("_rank") + 1).alias("token_id")
-    )
+    """Distinct words with dense ids 1..n in a seeded order, and how often each stands (``count``).
+
+    Kept as a table: it is small beside the texts, which are split once for it.
+    """
+    counted = written(df.select(F.explode(se.words(text)).alias("word")).groupBy("word").count())
+    return written(shuffled_rank(counted, seed, "word", "_rank").select("word", (F.col("_rank") + 1).alias("token_id"), "count"))
+
+
+def _looked_up(tokens: DataFrame, vocab: DataFrame, key: str, value: str) -> DataFrame:
+    """Add ``value`` of every ``key``; keys that are not in the vocabulary are left out.
+
+    The ``FREQUENT`` entries of highest count are broadcast, which is a bound on
+    their number; every other key has less than a 1 / FREQUENT share of the
+    tokens, so the shuffle has no hot key. Rows found in the broadcast pass it
+    under spread keys of their own.
+    """
+    other = vocab.select(F.col(key).alias("_key"), F.col(value).alias("_rest"))
+    top = vocab.orderBy(F.desc("count"), key).limit(FREQUENT).select(key, F.col(value).alias("_top"))
+    spread = F.xxhash64(*[c for c, t in tokens.dtypes if not t.startswith("map")])
+    # Spread keys are NULL-safe tags beside the key itself, so they equal no entry.
+    looked = tokens.join(F.broadcast(top), key, "left").withColumn("_tag", F.when(F.col("_top").isNull(), F.lit(-1)).otherwise(F.pmod(spread, F.lit(FREQUENT))))
+    joined = looked.join(other.withColumn("_other", F.lit(-1)), (F.col("_tag") == F.col("_other")) & (F.col(key) == F.col("_key")), "left")
+    return joined.withColumn(value, F.coalesce("_top", "_rest")).filter(F.col(value).isNotNull()).drop("_top", "_rest", "_key", "_tag", "_other")
 
 
 def encode(df: DataFrame, keys: Sequence[str], text: str, vocab: DataFrame) -> DataFrame:
-    """Long-form token ids ``(keys, pos, token_id)``."""
-    return (
-        df.select(*keys, F.posexplode(se.words(text)).alias("pos", "word"))
-        .join(vocab, "word")
-        .select(*keys, "pos", "token_id")
-    )
+    """Long-form token ids ``(keys, pos, token_id)``; ``vocab`` as ``vocabulary`` gives it."""
+    tokens = df.select(*keys, F.posexplode(se.words(text)).alias("pos", "word"))
+    return _looked_up(tokens, vocab, "word", "token_id").select(*keys, "pos", "token_id")
 
 
 def decode(tokens: DataFrame, keys: Sequence[str], vocab: DataFrame) -> DataFrame:
     """Words joined by single blanks; a group is one sequence, bounded by its text."""
     ordered = F.sort_array(F.collect_list(F.struct("pos", "word")))
     return (
-        tokens.join(vocab, "token_id")
+        _looked_up(tokens, vocab, "token_id", "word")
         .groupBy(*keys)
         .agg(F.array_join(F.transform(ordered, lambda p: p["word"]), " ").alias("text"))
     )

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.functions.cols import first_failure
+from tensorloom.session import written
 from tensorloom.sources.pieces import hashes, with_starts
 
 # Upload limit, part limit, transfer protocol, chunk size.
@@ -183,12 +184,12 @@ def judge_chunks(transfers: DataFrame, arrivals: DataFrame) -> DataFrame:
     """
     declared = transfers.select("transfer", "status", "expected_chunks", "expected_len", "deadline_ms")
     slim = arrivals.withColumns({"_len": F.length("data").cast("bigint"), "_sound": F.sha2("data", 256) == F.col("hash")}).drop("data")
-    judged = slim.join(declared, "transfer", "left").withColumns(
-        {
-            "_live": F.coalesce((F.col("status") == "in progress") & (F.col("at_ms") < F.col("deadline_ms")), F.lit(False)),
-            "_range": F.col("idx").between(0, F.col("expected_chunks") - 1),
-        }
-    )
+    live = F.coalesce((F.col("status") == "in progress") & (F.col("at_ms") < F.col("deadline_ms")), F.lit(False))
+    # Rows without payload are kept, so that it is read and hashed once.
+    judged = written(
+        slim.join(declared, "transfer", "left").withColumns({"_live": live, "_range": F.col("idx").between(0, F.col("expected_chunks") - 1)})
+        .drop("status", "expected_chunks", "deadline_ms")
+    )
     candidates = (
         judged.filter("_live AND _range AND _sound AND _len <= expected_len")
         .groupBy("transfer", "idx", "_len", "expected_len")

@@ -109,3 +109,46 @@ def test_nested_merge_against_recursion(spark):
             want_edges += [(g, *x) for x in e]
         assert got_nodes == sorted(want_nodes)
         assert got_edges == sorted(want_edges)
+
+
+def peeled(vertices, edges):
+    """Levels one by one."""
+    inputs = {v: {s for s, t in edges if t == v} for v in vertices}
+    found, level = {}, 0
+    while True:
+        ready = [v for v in vertices if v not in found and not inputs[v] - found.keys()]
+        if not ready:
+            return {v: found.get(v) for v in vertices}
+        found |= dict.fromkeys(ready, level)
+        level += 1
+
+
+def test_levels_of_chains_trees_diamonds_rings_and_strangers(spark):
+    rng = random.Random(7)
+    rows, links, want = [], [], {}
+    for g in range(60):
+        n = rng.randrange(1, 22)
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randrange(2 * n))]
+        if g % 4 == 0:
+            edges = [(min(e), max(e)) for e in edges if e[0] != e[1]]
+        elif g % 4 == 1:
+            edges = [(i, i + 1) for i in range(n - 1)] + [(999, n - 1)] * (g % 8 == 1)
+        elif g % 4 == 2:
+            edges = [(rng.randrange(i), i) for i in range(1, n)] + [(i - 2, i) for i in range(2, n, 3)]
+        rows += [(g, v) for v in range(n)]
+        links += [(g, s, t) for s, t in edges]
+        want |= {(g, v): level for v, level in peeled(range(n), edges).items()}
+    vertices = spark.createDataFrame(rows, "graph_id long, vertex long")
+    got = og.levels(vertices, spark.createDataFrame(links, "graph_id long, source long, target long"))
+    assert {(r.graph_id, r.vertex): r.level for r in got.collect()} == want
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    tables = []
+    kept = og.written
+    monkeypatch.setattr(og, "written", lambda df: tables.append(1) or kept(df))
+    n = 10_000
+    vertices = spark.range(n).selectExpr("0L AS graph_id", "id AS vertex")
+    links = spark.range(n - 1).selectExpr("0L AS graph_id", "id AS source", "id + 1 AS target")
+    got = og.levels(vertices, links).filter("level <> vertex OR level IS NULL").count()
+    assert got == 0 and len(tables) <= 12

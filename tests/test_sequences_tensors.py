@@ -1,3 +1,4 @@
+import random
 from pyspark.sql import functions as F
 
 from tensorloom.functions import sequence_expr as se
@@ -134,3 +135,19 @@ def test_short_batches_are_errors(spark):
     df = spark.createDataFrame(rows, "b long, slot int, v array<double>")
     got = {r.b: (r.status, r.v) for r in ot.batch_concat(df, "b", "slot", "v", 4).collect()}
     assert got == {0: ("ok", [0.0, 1.0, 2.0, 3.0]), 1: ("wrong batch size", None)}
+
+
+def test_vocabulary_with_one_word_in_a_third_of_the_tokens(spark, monkeypatch):
+    """Few entries are broadcast; the frequent word is spread, the rest is joined, unknown words drop out."""
+    monkeypatch.setattr(os_, "FREQUENT", 2)
+    rng = random.Random(4)
+    texts = {i: [rng.choice(["the", f"w{rng.randrange(40)}", f"r{i}"]) for _ in range(30)] for i in range(60)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc long, text string").repartition(5)
+    vocab = os_.vocabulary(df, "text", 3)
+    ids = {r.word: r.token_id for r in vocab.collect()}
+    assert sorted(ids.values()) == list(range(1, len(ids) + 1))
+    tokens = os_.encode(df, ["doc"], "text", vocab)
+    assert {(r.doc, r.pos): r.token_id for r in tokens.collect()} == {(i, p): ids[w] for i, ws in texts.items() for p, w in enumerate(ws)}
+    assert {r.doc: r.text for r in os_.decode(tokens, ["doc"], vocab).collect()} == {i: " ".join(w) for i, w in texts.items()}
+    known = vocab.filter("word <> 'the'")
+    assert os_.encode(df, ["doc"], "text", known).count() == sum(w != "the" for ws in texts.values() for w in ws)
