@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tensorloom.functions.cols import epoch_ms
 from tensorloom.plans.catalog import register, table
-from tensorloom.session import durable
+from tensorloom.session import durable, ensure_checkpoint_dir
 from tensorloom.sources import artifacts as sa
+from tensorloom.sources.checkpoints import read_checkpoint, write_checkpoints
 from tensorloom.sources.pieces import hashes, read_ranges, reassemble
 
 CHUNK = 256
@@ -418,8 +421,14 @@ def emit_and_receive(spark, sf_dir):
     """SELECT l_linenumber AS step, count(*) AS params, round(sum(l_quantity), 2) AS total FROM lineitem WHERE l_linenumber % 3 = 0 GROUP BY 1""",
 )
 def checkpoint_every_n_steps(spark, sf_dir):
+    """Line numbers as steps: saved, the sixth saved again with other values first, and read back."""
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("step"), "l_quantity")
-    saved = sa.checkpoint_rows(rows, "step", 3)
+    folder = f"{ensure_checkpoint_dir(spark)}/steps-{uuid.uuid4().hex}"
+    write_checkpoints(rows.filter("step = 6").withColumn("l_quantity", -F.col("l_quantity")), "step", 3, folder)
+    saved = None
+    for step in write_checkpoints(rows, "step", 3, folder):
+        part = read_checkpoint(spark, folder, step)
+        saved = part if saved is None else saved.unionByName(part)
     return saved.groupBy("step").agg(F.count(F.lit(1)).alias("params"), F.round(F.sum("l_quantity"), 2).alias("total"))
 
 

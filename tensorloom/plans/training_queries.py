@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tensorloom.functions import tensor_expr as te
 from tensorloom.operators import tensors as ot
 from tensorloom.operators import training as tr
 from tensorloom.plans.catalog import register, table
-from tensorloom.session import durable
+from tensorloom.session import ensure_checkpoint_dir
+from tensorloom.sources.checkpoints import read_checkpoint, write_checkpoints
 
 WIDTH = 64
 
@@ -158,7 +161,7 @@ def zeroth_order_quadratic(spark, sf_dir):
 @register(
     "accumulate_gradient_pairs",
     f"""WITH {E}, l AS (SELECT vec_id // 16 AS step, CASE WHEN vec_id % 2 = 0 THEN 'up' ELSE 'down' END AS side,
-      vec_id % 16 // 2 AS micro, sum(v) AS loss FROM e WHERE label <> 9 GROUP BY vec_id),
+      vec_id % 16 // 2 AS micro, sum(v) AS loss FROM e GROUP BY vec_id),
     p AS (SELECT step, micro, max(loss) FILTER (side = 'up') AS u, max(loss) FILTER (side = 'down') AS d FROM l GROUP BY ALL)
     SELECT step, count(*) FILTER (u IS NOT NULL AND d IS NOT NULL) AS pairs,
       round(avg(u) FILTER (d IS NOT NULL), 6) AS loss_up, round(avg(d) FILTER (u IS NOT NULL), 6) AS loss_down,
@@ -167,7 +170,7 @@ def zeroth_order_quadratic(spark, sf_dir):
     FROM p GROUP BY step""",
 )
 def accumulate_gradient_pairs(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").filter("label <> 9")
+    rows = table(spark, sf_dir, "embeddings")
     losses = rows.select(
         F.floor(F.col("vec_id") / 16).alias("step"),
         F.when(F.col("vec_id") % 2 == 0, "up").otherwise("down").alias("side"),
@@ -277,7 +280,10 @@ def sgd_step_refused(spark, sf_dir):
     FROM lt t JOIN lt o ON t.vec_id = o.vec_id AND o.c <> t.c WHERE t.c = CASE WHEN t.label = 0 THEN 0 ELSE 1 END""",
 )
 def checkpoint_then_evaluate(spark, sf_dir):
-    saved = durable(stepped(spark, sf_dir).select("param_id", "value"))
+    """The stepped head is saved as step 1, and the latest step on file is evaluated."""
+    folder = f"{ensure_checkpoint_dir(spark)}/steps-{uuid.uuid4().hex}"
+    write_checkpoints(stepped(spark, sf_dir).select("param_id", "value", F.lit(1).alias("step")), "step", 1, folder)
+    saved = read_checkpoint(spark, folder).select("param_id", "value")
     rows = tr.with_head(examples(spark, sf_dir), saved, WIDTH, 2, {"head": "value"})
     rows = rows.withColumn("logits", tr.head_logits("v", F.col("head"), WIDTH, 2))
     hit = F.when(te.predicted_class("logits") == F.col("target"), 1.0).otherwise(0.0)

@@ -429,18 +429,6 @@ def receive(deliveries: DataFrame, emissions: DataFrame, objects: DataFrame) ->
     )
 
 
-def checkpoint_rows(params: DataFrame, step: str, every: int) -> DataFrame:
-    """Rows of the steps that are saved; ``every`` 0 and step 0 save nothing."""
-    if every <= 0:
-        return params.limit(0)
-    return params.filter((F.col(step) > 0) & (F.col(step) % every == 0))
-
-
-def write_checkpoints(params: DataFrame, step: str, every: int, folder: str) -> None:
-    """One folder per saved step; Spark's committer publishes finished files only."""
-    checkpoint_rows(params, step, every).write.mode("append").partitionBy(step).parquet(folder)
-
-
 def constant_matrices(keys: DataFrame) -> DataFrame:
     """The same 2x3 matrix for every row of ``keys``."""
     return keys.withColumn("shape", F.array(F.lit(2), F.lit(3)).cast("array<bigint>")).withColumn(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tensorloom.operators import contracts as oc
 from tensorloom.plans import contracts_queries as cq
 from tensorloom.sources import artifacts as sa
+from tensorloom.sources import checkpoints as ck
 from tensorloom.sources import pieces as sp
 
 
@@ -139,10 +140,23 @@ def test_reassembly_of_reads(spark, ranges):
 
 
 def test_checkpoint_sink(spark, tmp_path):
+    folder = str(tmp_path / "c")
     rows = spark.range(0, 9).withColumn("step", F.col("id") % 5)
-    sa.write_checkpoints(rows, "step", 2, str(tmp_path / "c"))
-    assert {r.step for r in spark.read.parquet(str(tmp_path / "c")).collect()} == {2, 4}
-    assert sa.checkpoint_rows(rows, "step", 0).count() == 0
+    assert ck.write_checkpoints(rows, "step", 2, folder) == [2, 4] == ck.steps(spark, folder)
+    assert ck.write_checkpoints(rows, "step", 0, folder) == []
+    assert sorted(r.id for r in ck.read_checkpoint(spark, folder).collect()) == [4]
+    assert sorted(r.id for r in ck.read_checkpoint(spark, folder, 2).collect()) == [2, 7]
+    # A step that is saved again leaves one copy; a step without its manifest, or short of rows, is not there.
+    again = spark.createDataFrame([(70, 4), (71, 4)], "id long, step long")
+    assert ck.write_checkpoints(again, "step", 4, folder) == [4]
+    assert sorted(map(tuple, ck.read_checkpoint(spark, folder).collect())) == [(70, 4), (71, 4)]
+    assert sorted(p.name for p in (tmp_path / "c").iterdir() if not p.name.startswith(".")) == ["step=2", "step=4"]
+    (tmp_path / "c" / "step=4" / ck.MANIFEST).write_text((tmp_path / "c" / "step=4" / ck.MANIFEST).read_text().replace('"rows": 2', '"rows": 3'))
+    for crc in (tmp_path / "c" / "step=4").glob("._manifest*"):
+        crc.unlink()
+    assert {r.step for r in ck.read_checkpoint(spark, folder).collect()} == {2}
+    with pytest.raises(FileNotFoundError):
+        ck.read_checkpoint(spark, folder, 3)
 
 
 def test_resent_part_replaces(spark):
