@@ -457,7 +457,8 @@ def expand_lanes(vertices: DataFrame, links: DataFrame) -> tuple[DataFrame, Data
     """Split two-port nodes in two; edges follow the lane of their target port.
 
     ``vertices``: vertex and an ordered ``ports`` array. The second lane takes
-    the second port's number as its id.
+    the second port's number as its id. A port that several vertices own is an
+    ``error`` on its nodes and on the edges into it.
     """
     two = F.size("ports") == 2
     lanes = F.when(
@@ -467,7 +468,13 @@ def expand_lanes(vertices: DataFrame, links: DataFrame) -> tuple[DataFrame, Data
             F.struct(F.element_at("ports", 2).cast("bigint").alias("vertex"), F.slice("ports", 2, 1).alias("ports")),
         ),
     ).otherwise(F.array(F.struct(F.col("vertex").cast("bigint").alias("vertex"), F.col("ports"))))
-    nodes = vertices.select(G, F.explode(lanes).alias("_l")).select(G, "_l.*")
+    owned = vertices.select(G, "vertex", F.explode("ports").alias("port"))
+    clash = owned.groupBy(G, "port").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    clash = clash.withColumn("_error", F.lit("port has several owners"))
+    doubtful = owned.join(clash, [G, "port"]).groupBy(G, "vertex").agg(F.collect_set("port").alias("_shared"))
+    spread = vertices.join(doubtful, [G, "vertex"], "left").select(G, "_shared", F.explode(lanes).alias("_l"))
+    shared = F.arrays_overlap("_l.ports", F.coalesce("_shared", F.array().cast(dict(vertices.dtypes)["ports"])))
+    nodes = spread.select(G, "_l.*", F.when(shared, "port has several owners").alias("error"))
     info = vertices.select(G, "vertex", "ports")
     joined = links.join(
         info.select(G, F.col("vertex").alias("target"), F.col("ports").alias("_tp")), [G, "target"], "left"
@@ -477,8 +484,8 @@ def expand_lanes(vertices: DataFrame, links: DataFrame) -> tuple[DataFrame, Data
     def lane_id(vertex: str, own: str) -> Column:
         return F.when((F.size(own) == 2) & (place >= 2), F.element_at(own, 2)).otherwise(F.col(vertex)).cast("bigint")
 
-    return nodes, joined.select(
-        G, lane_id("source", "_sp").alias("source"), lane_id("target", "_tp").alias("target"), "port"
+    return nodes, joined.join(clash, [G, "port"], "left").select(
+        G, lane_id("source", "_sp").alias("source"), lane_id("target", "_tp").alias("target"), "port", F.col("_error").alias("error")
     )
 
 

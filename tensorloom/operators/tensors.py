@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tensorloom.functions import tensor_expr as te
 
+# Parts of an inner index in a long-form product.
+SPLITS = 16
+
 
 def tensor_chain(df: DataFrame, values: str, out: str) -> DataFrame:
     """Matmul with the 3x4 weights, halve, ReLU: one projection."""
@@ -25,11 +28,14 @@ def explode_values(df: DataFrame, keys: Sequence[str], values: str) -> DataFrame
 def matmul_long(left: DataFrame, right: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Long-form product of ``(keys, i, k, value)`` and ``(k, j, value)``.
 
-    For weights that outgrow a literal. Partial sums combine before the shuffle.
+    For weights that outgrow a literal. There are few inner indices, so each is
+    split: rows of the left go to one of ``SPLITS`` parts of it, and the weights,
+    which do not grow with the rows, to all. Partial sums combine before the shuffle.
     """
-    b = right.select("k", "j", F.col("value").alias("_w"))
+    part = F.pmod(F.xxhash64(*keys, "i"), F.lit(SPLITS))
+    b = right.select("k", "j", F.col("value").alias("_w"), F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))).alias("_part"))
     return (
-        left.join(b, "k")
+        left.withColumn("_part", part.cast("int")).join(b, ["k", "_part"])
         .groupBy(*keys, "i", "j")
         .agg(F.sum(F.col("value") * F.col("_w")).alias("value"))
     )

@@ -389,32 +389,33 @@ def boundary_label_query(spark, sf_dir):
 
 @register(
     "expand_lanes_edges",
-    f"""WITH {TABLES}, two AS (SELECT graph_id, vertex, max(port) FILTER (ordinal = 1) AS second FROM pt GROUP BY ALL)
+    f"""WITH {TABLES}, two AS (SELECT graph_id, vertex, max(port) FILTER (ordinal = 1) AS second FROM pt GROUP BY ALL),
+    sh AS (SELECT graph_id, port AS p FROM pt GROUP BY ALL HAVING count(*) > 1)
     SELECT li.graph_id, CASE WHEN li.port = t.second AND s.second IS NOT NULL THEN s.second ELSE source END AS source,
-      CASE WHEN li.port = t.second THEN t.second ELSE target END AS target, li.port FROM li
-      JOIN two t ON t.graph_id = li.graph_id AND t.vertex = target JOIN two s ON s.graph_id = li.graph_id AND s.vertex = source
-      JOIN b ON b.graph_id = li.graph_id WHERE b.k <> 3""",
+      CASE WHEN li.port = t.second THEN t.second ELSE target END AS target, li.port,
+      CASE WHEN (li.graph_id, li.port) IN (SELECT (graph_id, p) FROM sh) THEN 'port has several owners' END AS error FROM li
+      JOIN two t ON t.graph_id = li.graph_id AND t.vertex = target JOIN two s ON s.graph_id = li.graph_id AND s.vertex = source""",
 )
 def expand_lanes_edges(spark, sf_dir):
     vertices, ports, resolved = links(spark, sf_dir)
-    good = F.col("graph_id") % 8 != 3
-    listed = ports.filter(good).groupBy("graph_id", "vertex").agg(
+    listed = ports.groupBy("graph_id", "vertex").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "port"))), lambda p: p["port"]).alias("ports")
     )
-    return og.expand_lanes(listed, resolved.filter(good))[1]
+    return og.expand_lanes(listed, resolved)[1]
 
 
 @register(
     "expand_lanes_nodes",
-    f"WITH {TABLES} SELECT graph_id, CASE WHEN ordinal = 1 THEN port ELSE vertex END AS vertex, port FROM pt WHERE graph_id % 8 <> 3",
+    f"""WITH {TABLES} SELECT graph_id, CASE WHEN ordinal = 1 THEN port ELSE vertex END AS vertex, port,
+    CASE WHEN count(*) OVER (PARTITION BY graph_id, port) > 1 THEN 'port has several owners' END AS error FROM pt""",
 )
 def expand_lanes_nodes(spark, sf_dir):
     _, ports, resolved = links(spark, sf_dir)
-    listed = ports.filter(F.col("graph_id") % 8 != 3).groupBy("graph_id", "vertex").agg(
+    listed = ports.groupBy("graph_id", "vertex").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "port"))), lambda p: p["port"]).alias("ports")
     )
     nodes = og.expand_lanes(listed, resolved)[0]
-    return nodes.select("graph_id", "vertex", F.explode("ports").alias("port"))
+    return nodes.select("graph_id", "vertex", F.explode("ports").alias("port"), "error")
 
 
 @register(

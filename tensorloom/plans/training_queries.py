@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tensorloom.functions import tensor_expr as te
 from tensorloom.operators import tensors as ot
 from tensorloom.operators import training as tr
+from tensorloom.operators import user_functions as uf
 from tensorloom.plans.catalog import register, table
 from tensorloom.session import ensure_checkpoint_dir
 from tensorloom.sources.checkpoints import read_checkpoint, write_checkpoints
@@ -86,6 +87,24 @@ def zeroth_order_optimise(spark, sf_dir):
     return settled(tr.optimise(params(spark, sf_dir), sessions(spark, sf_dir)))
 
 
+@register(
+    "user_operation_verbs",
+    f"""WITH {PARAMS} SELECT param_id, round(value - CASE WHEN open THEN direction * 0.001 ELSE 0 END
+      - direction * 0.0001 * greatest(least((loss_up - loss_down) / 0.002, 10), -10), 9) AS value,
+    CASE WHEN open THEN 'previous step not completed' END AS error FROM pr""",
+)
+def user_operation_verbs(spark, sf_dir):
+    """A whole step through an operation's verbs; where a step was open the first perturbation is refused."""
+    verbs = {"perturb": tr.perturb_up, "perturb back": tr.perturb_down, "optimise": tr.optimise}
+    operation = uf.Operation(uf.Port("f32"), uf.Port("f32"), lambda frames: frames, verbs)
+    state = sessions(spark, sf_dir)
+    begun = state.withColumn("open", F.lit(True))
+    up = operation.call("perturb", params(spark, sf_dir), state).withColumnRenamed("error", "_refused")
+    down = operation.call("perturb back", up, begun).drop("error")
+    done = operation.call("optimise", down, begun).drop("error")
+    return settled(done.withColumnRenamed("_refused", "error"))
+
+
 # Two-class head from the data: class 0 is the mean of label 0, class 1 of the rest.
 HEAD = f"""{E}, h AS (SELECT CASE WHEN label = 0 THEN 0 ELSE 1 END AS c, p, round(avg(v), 9) AS w FROM e GROUP BY ALL),
   th AS (SELECT c * 64 + p AS param_id, w AS value FROM h UNION ALL
