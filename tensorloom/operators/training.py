@@ -8,11 +8,12 @@ column where many models share it. A softmax head of ``width`` inputs and
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.functions import tensor_expr as te
@@ -25,9 +26,8 @@ EPSILON = 1e-3
 LEARNING_RATE = 1e-4
 CLIP = 10.0
 
-# A head with at most this many parameters travels to the rows as one array
-# (8 MB); a larger one is joined in long form.
-ARRAY_PARAMS = 1_000_000
+# Numbers of a head in one tile (8 MB).
+TILE = 1 << 20
 
 
 # -- zeroth-order steps ------------------------------------------------------
@@ -86,100 +86,130 @@ def optimise(
     ).drop("open", "loss_up", "loss_down")
 
 
-def with_head(
-    rows: DataFrame, params: DataFrame, width: int, classes: int, heads: dict[str, Column | str]
-) -> DataFrame:
-    """Attach heads as array columns in id order, from one broadcast row.
+def _tile_classes(width: int, tile: int) -> int:
+    """Classes in a tile of a head."""
+    return max(1, tile // (width + 1))
 
-    The shape fixes the array length, so the row has a known size.
-    """
-    size = classes * (width + 1)
-    if size > ARRAY_PARAMS:
-        raise ValueError("head too large for an array; use the long form")
 
-    def ordered(value: Column | str) -> Column:
-        value = F.col(value) if isinstance(value, str) else value
-        pairs = F.sort_array(F.collect_list(F.struct(F.col("param_id"), value.alias("v"))))
-        complete = (F.countDistinct("param_id") == size) & (F.count("param_id") == size)
-        gap = F.raise_error(F.lit(f"a head needs each parameter id from 0 to {size - 1} once"))
-        return F.when(complete, F.transform(pairs, lambda p: p["v"])).otherwise(gap.cast("array<double>"))
+def head_tiles(params: DataFrame, width: int, classes: int, heads: dict[str, Column | str], tile: int = TILE) -> DataFrame:
+    """A head cut along its classes: ``tile`` number and per name the rows (weights, bias) of its classes as one array.
 
-    one = params.filter(F.col("param_id").between(0, size - 1)).agg(
-        *[ordered(value).alias(name) for name, value in heads.items()], F.lit(0).alias("_one")
+    An array has at most ``tile`` numbers, or one class. A tile without each of
+    its parameters once is an error.
+    """
+    step, size = _tile_classes(width, tile), classes * (width + 1)
+    p = F.col("param_id")
+    c = F.when(p < classes * width, F.floor(p / width)).otherwise(p - classes * width).cast("bigint")
+    k = F.when(p < classes * width, p % width).otherwise(width).cast("int")
+    named = [(F.col(v) if isinstance(v, str) else v).cast("double").alias(n) for n, v in heads.items()]
+    rows = params.filter(p.between(0, size - 1)).select(F.floor(c / step).cast("int").alias("tile"), (c % step).alias("_c"), k.alias("_k"), *named)
+    gathered = rows.groupBy("tile").agg(
+        F.array_sort(F.collect_list(F.struct("_c", "_k", *heads))).alias("_w"), F.countDistinct("_c", "_k").alias("_n")
     )
-    return rows.withColumn("_one", F.lit(0)).join(F.broadcast(one), "_one").drop("_one")
+    wanted = F.least(F.lit(step), F.lit(classes) - F.col("tile") * step) * (width + 1)
+    whole = (F.col("_n") == wanted) & (F.size("_w") == wanted)
+    gap = F.raise_error(F.lit(f"a head needs each parameter id from 0 to {size - 1} once")).cast("array<double>")
 
+    def numbers(name: str) -> Column:
+        return F.when(whole, F.transform("_w", lambda x: x[name])).otherwise(gap).alias(name)
 
-def head_logits(values: Column | str, head: Column, width: int, classes: int) -> Column:
-    def rows(x: Column) -> Column:
-        def logit(c: int) -> Column:
-            weights = F.slice(head, c * width + 1, width)
-            dot = te.total(F.zip_with(x, weights, lambda a, b: a * b))
-            return dot + F.element_at(head, classes * width + c + 1)
+    return gathered.select("tile", *[numbers(n) for n in heads])
 
-        return F.array(*[logit(c) for c in range(classes)])
 
-    return let(values, rows)
+def _against_tiles(
+    examples: DataFrame, tiles: DataFrame, heads: Sequence[str], width: int, classes: int, tile: int, work: Callable, schema: str
+) -> DataFrame:
+    """Run ``work(first class, matrices, batch)`` on batches of examples under each tile of a head.
+
+    Every task has one tile and a share of the examples; the tile's row comes
+    first. ``work`` returns batches, and is called with no batch at the end of a tile.
+    """
+    step = _tile_classes(width, tile)
+    count = -(-classes // step)
+    shares = max(1, -(-int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions")) // count))
+    spread = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    rows = examples.filter("v IS NOT NULL").withColumn("_share", F.pmod(F.xxhash64("example_id"), F.lit(shares)).cast("int")).withColumn("tile", spread)
+    copies = tiles.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    both = copies.unionByName(rows, allowMissingColumns=True).withColumn("_task", (F.col("tile") * shares + F.col("_share")).cast("int"))
+    dealt = both.repartitionById(count * shares, F.col("_task")).sortWithinPartitions(F.col("v").isNotNull()).drop("_share", "_task")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, matrices = 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if not batch.column("v")[0].is_valid:
+                first = batch.column("tile")[0].as_py() * step
+                matrices = [np.asarray(batch.column(h)[0].values).reshape(-1, width + 1) for h in heads]
+                batch = batch.slice(1)
+            if batch.num_rows and matrices is None:
+                raise ValueError(f"a head needs each parameter id from 0 to {classes * (width + 1) - 1} once")
+            if batch.num_rows:
+                yield from work(first, matrices, batch)
+        if matrices is not None:
+            yield from work(first, matrices, None)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _values(batch: pa.RecordBatch, width: int) -> np.ndarray:
+    return np.asarray(batch.column("v").flatten(), np.float64).reshape(batch.num_rows, width)
+
+
+def head_statistics(
+    examples: DataFrame, params: DataFrame, width: int, classes: int, heads: dict[str, Column | str], tile: int = TILE
+) -> DataFrame:
+    """Per example and head ``lse_`` (log-sum-exp of the logits), ``loss_`` and ``predicted_`` (first best class).
+
+    ``examples``: example_id (unique), v of ``width`` numbers, target. A head of
+    any size takes the same way: a tile gives four numbers per example, and no
+    row ever holds all its logits. Examples without values are left out.
+    """
+    kind = examples.schema["example_id"].dataType.simpleString()
+    names = list(heads)
+    parts = [f"{n}_{h} {t}" for h in names for n, t in (("m", "double"), ("s", "double"), ("z", "double"), ("a", "bigint"))]
+
+    def work(first: int, matrices: list[np.ndarray], batch: pa.RecordBatch | None) -> Iterator[pa.RecordBatch]:
+        if batch is None:
+            return
+        x, target = _values(batch, width), np.asarray(batch.column("target"), np.int64)
+        columns: list = [batch.column("example_id")]
+        for w in matrices:
+            z = x @ w[:, :-1].T + w[:, -1]
+            most = z.max(1)
+            inside = (target >= first) & (target < first + z.shape[1])
+            hit = z[np.arange(len(z)), np.where(inside, target - first, 0)]
+            columns += [pa.array(most), pa.array(np.exp(z - most[:, None]).sum(1)), pa.array(hit, mask=~inside), pa.array(z.argmax(1) + first)]
+        yield pa.RecordBatch.from_arrays(columns, ["example_id", *[p.split()[0] for p in parts]])
+
+    slim = examples.select("example_id", F.col("target").cast("bigint").alias("target"), "v")
+    tiles = head_tiles(params, width, classes, heads, tile)
+    found = _against_tiles(slim, tiles, names, width, classes, tile, work, ", ".join([f"example_id {kind}", *parts]))
+    # As many entries per example as the head has tiles.
+    gathered = found.groupBy("example_id").agg(
+        *[F.collect_list(F.struct(F.col(f"m_{h}").alias("m"), F.col(f"s_{h}").alias("s"))).alias(f"_{h}") for h in names],
+        *[F.max(f"z_{h}").alias(f"z_{h}") for h in names],
+        *[F.max(F.struct(f"m_{h}", -F.col(f"a_{h}"))).alias(f"_best_{h}") for h in names],
+    )
+
+    def joined(h: str) -> Column:
+        most = F.array_max(F.transform(f"_{h}", lambda p: p["m"]))
+        return let(most, lambda top: top + F.log(F.aggregate(f"_{h}", F.lit(0.0), lambda acc, p: acc + p["s"] * F.exp(p["m"] - top))))
+
+    summed = gathered.select("example_id", *[joined(h).alias(f"lse_{h}") for h in names], *[f"z_{h}" for h in names], *[(-F.col(f"_best_{h}").getField("col2")).alias(f"predicted_{h}") for h in names])
+    return summed.withColumns({f"loss_{h}": F.col(f"lse_{h}") - F.col(f"z_{h}") for h in names}).drop(*[f"z_{h}" for h in names])
 
 
 def two_sided_losses(
-    examples: DataFrame,
-    params: DataFrame,
-    width: int,
-    classes: int,
-    epsilon: float = EPSILON,
-    array_params: int = ARRAY_PARAMS,
+    examples: DataFrame, params: DataFrame, width: int, classes: int, epsilon: float = EPSILON, tile: int = TILE
 ) -> DataFrame:
     """Mean loss under both perturbed heads, in one pass over the examples.
 
     ``examples`` has example_id, v and target; ``params`` param_id, direction, value.
     """
-    up = F.col("value") + F.col("direction") * F.lit(epsilon)
-    down = F.col("value") - F.col("direction") * F.lit(epsilon)
-    if classes * (width + 1) <= array_params:
-        rows = with_head(examples, params, width, classes, {"_up": up, "_down": down})
-        losses = [
-            te.cross_entropy(head_logits("v", F.col(h), width, classes), "target") for h in ("_up", "_down")
-        ]
-        return rows.agg(F.avg(losses[0]).alias("loss_up"), F.avg(losses[1]).alias("loss_down"))
-
-    sides = {"up": up, "down": down}
-    long = long_log_losses(examples, params.select("param_id", *[c.alias(n) for n, c in sides.items()]), width, classes, list(sides))
-    at_target = long.filter(F.col("c") == F.col("target"))
-    return at_target.agg(*[F.avg(-F.col(f"log_{n}")).alias(f"loss_{n}") for n in sides])
-
-
-def long_log_losses(
-    examples: DataFrame, params: DataFrame, width: int, classes: int, heads: Sequence[str]
-) -> DataFrame:
-    """Log-probabilities (example_id, target, c, log_<head>) of heads too large for an array.
-
-    Products are grouped sums and the log-sum-exp a window over the classes of one
-    example, so a wide head never gathers into one row.
-    """
-    weights = params.filter(F.col("param_id") < classes * width).select(
-        (F.col("param_id") % width).alias("k"), F.floor(F.col("param_id") / width).alias("c"), *heads
-    )
-    bias = params.filter(F.col("param_id") >= classes * width).select(
-        (F.col("param_id") - classes * width).alias("c"), *[F.col(h).alias(f"_b_{h}") for h in heads]
-    )
-    logits = (
-        examples.select("example_id", "target", F.posexplode("v").alias("k", "x"))
-        .join(weights, "k")
-        .groupBy("example_id", "target", "c")
-        .agg(*[F.sum(F.col("x") * F.col(h)).alias(f"_z_{h}") for h in heads])
-        .join(bias, "c")
-        .select("example_id", "target", "c", *[(F.col(f"_z_{h}") + F.col(f"_b_{h}")).alias(f"_z_{h}") for h in heads])
-    )
-    # One row per class: the windows share the shuffle on the example.
-    row = Window.partitionBy("example_id")
-    shifted = logits.withColumns({f"_z_{h}": F.col(f"_z_{h}") - F.max(f"_z_{h}").over(row) for h in heads})
-    return shifted.select(
-        "example_id",
-        "target",
-        "c",
-        *[(F.col(f"_z_{h}") - F.log(F.sum(F.exp(f"_z_{h}")).over(row))).alias(f"log_{h}") for h in heads],
-    )
+    sides = {"up": F.col("value") + F.col("direction") * F.lit(epsilon), "down": F.col("value") - F.col("direction") * F.lit(epsilon)}
+    losses = head_statistics(examples, params, width, classes, sides, tile)
+    return losses.agg(*[F.avg(f"loss_{n}").alias(f"loss_{n}") for n in sides])
 
 
 def minimise_quadratic(
@@ -229,20 +259,6 @@ def accumulate_pairs(losses: DataFrame, keys: Sequence[str], expected: int) -> D
 # -- first-order steps -------------------------------------------------------
 
 
-def head_delta(examples: DataFrame, params: DataFrame, width: int, classes: int) -> DataFrame:
-    """Add ``delta`` = softmax - one-hot target of the head's logits."""
-
-    def residual(a: Column) -> Column:
-        return F.transform(
-            te.log_softmax(a),
-            lambda x, i: F.exp(x) - F.when(i == F.col("target"), 1.0).otherwise(0.0),
-        )
-
-    rows = with_head(examples, params, width, classes, {"_head": "value"})
-    delta = let(head_logits("v", F.col("_head"), width, classes), residual)
-    return rows.withColumn("delta", delta).drop("_head")
-
-
 def outer_sums(rows: DataFrame, keys: Sequence[str], left: str, right: str) -> DataFrame:
     """Sum over rows of left x right: ``(keys, i, j, total, rows)``.
 
@@ -279,41 +295,54 @@ def outer_sums(rows: DataFrame, keys: Sequence[str], left: str, right: str) -> D
 
 
 def head_gradient(
-    examples: DataFrame,
-    params: DataFrame,
-    width: int,
-    classes: int,
-    keys: Sequence[str] = (),
-    array_params: int = ARRAY_PARAMS,
+    examples: DataFrame, params: DataFrame, width: int, classes: int, keys: Sequence[str] = (), tile: int = TILE
 ) -> DataFrame:
-    """Gradient of the mean loss per parameter (and key)."""
-    if classes * (width + 1) > array_params:
-        return _long_head_gradient(examples, params, width, classes, keys)
-    rows = head_delta(examples, params, width, classes).withColumn("v", F.concat("v", F.array(F.lit(1.0))))
-    sums = outer_sums(rows, keys, "v", "delta")
-    param = F.when(F.col("i") < width, F.col("j") * width + F.col("i")).otherwise(
-        classes * width + F.col("j")
-    )
-    return sums.select(
-        *keys, param.cast("bigint").alias("param_id"), (F.col("total") / F.col("rows")).alias("grad"), "rows"
-    )
+    """Gradient of the mean loss per parameter (and key).
 
-
-def _long_head_gradient(
-    examples: DataFrame, params: DataFrame, width: int, classes: int, keys: Sequence[str]
-) -> DataFrame:
-    hit = F.when(F.col("c") == F.col("target"), 1.0).otherwise(0.0)
-    delta = long_log_losses(examples, params, width, classes, ["value"]).select(
-        "example_id", "c", (F.exp("log_value") - hit).alias("_d")
-    )
-    values = examples.select(
-        "example_id", *keys, F.posexplode(F.concat("v", F.array(F.lit(1.0)))).alias("k", "x")
-    )
-    param = F.when(F.col("k") < width, F.col("c") * width + F.col("k")).otherwise(classes * width + F.col("c"))
+    Each task adds up the outer products of its examples with one tile's
+    residuals and emits one partial matrix per key. ``keys`` has few distinct values.
+    """
+    keys = list(keys)
+    kinds = dict(examples.dtypes)
+    whole = head_statistics(examples, params, width, classes, {"value": "value"}, tile).select("example_id", F.col("lse_value").alias("_lse"))
+    rows = examples.select("example_id", *keys, "v", F.col("target").cast("bigint").alias("target")).join(whole, "example_id")
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "param_id bigint", "total double", "rows bigint"])
+
+    def partial(batches_work: dict) -> Callable:
+        def work(first: int, matrices: list[np.ndarray], batch: pa.RecordBatch | None) -> Iterator[pa.RecordBatch]:
+            w = matrices[0]
+            if batch is None:
+                for key, (total, n) in batches_work.items():
+                    c = np.arange(first, first + len(w))[:, None]
+                    ids = np.where(np.arange(width + 1) < width, c * width + np.arange(width + 1), classes * width + c)
+                    columns = [pa.array([v] * ids.size, batch_types[i]) for i, v in enumerate(key)]
+                    yield pa.RecordBatch.from_arrays(
+                        [*columns, pa.array(ids.ravel()), pa.array(total.ravel()), pa.array(np.full(ids.size, n))], [*keys, "param_id", "total", "rows"]
+                    )
+                batches_work.clear()
+                return
+            batch_types[:] = [batch.column(k).type for k in keys]
+            x, target = _values(batch, width), np.asarray(batch.column("target"), np.int64)
+            delta = np.exp(x @ w[:, :-1].T + w[:, -1] - np.asarray(batch.column("_lse"))[:, None])
+            at = np.flatnonzero((target >= first) & (target < first + len(w)))
+            delta[at, target[at] - first] -= 1.0
+            ones = np.concatenate([x, np.ones((len(x), 1))], 1)
+            groups: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(*[batch.column(k).to_pylist() for k in keys]) if keys else [()] * len(x)):
+                groups.setdefault(key, []).append(i)
+            for key, members in groups.items():
+                held = batches_work.setdefault(key, [np.zeros((len(w), width + 1)), 0])
+                held[0] += delta[members].T @ ones[members]
+                held[1] += len(members)
+
+        batch_types: list = []
+        return work
+
+    tiles = head_tiles(params, width, classes, {"value": "value"}, tile)
+    sums = _against_tiles(rows, tiles, ["value"], width, classes, tile, partial({}), schema)
     return (
-        values.join(delta, "example_id")
-        .groupBy(*keys, param.cast("bigint").alias("param_id"))
-        .agg((F.sum(F.col("x") * F.col("_d")) / F.count(F.lit(1))).alias("grad"), F.count(F.lit(1)).alias("rows"))
+        sums.groupBy(*keys, "param_id").agg(F.sum("total").alias("_total"), F.sum("rows").alias("rows"))
+        .select(*keys, "param_id", (F.col("_total") / F.col("rows")).alias("grad"), "rows")
     )
 
 

@@ -156,8 +156,8 @@ def two_sided_losses(spark, sf_dir):
 
 @register("two_sided_losses_long_form", TWO_SIDED)
 def two_sided_losses_long_form(spark, sf_dir):
-    """The path of a head too large for an array."""
-    return two_sided(spark, sf_dir, array_params=0)
+    """The same with one class in a tile."""
+    return two_sided(spark, sf_dir, tile=WIDTH)
 
 
 @register(
@@ -303,12 +303,12 @@ def checkpoint_then_evaluate(spark, sf_dir):
     folder = f"{ensure_checkpoint_dir(spark)}/steps-{uuid.uuid4().hex}"
     write_checkpoints(stepped(spark, sf_dir).select("param_id", "value", F.lit(1).alias("step")), "step", 1, folder)
     saved = read_checkpoint(spark, folder).select("param_id", "value")
-    rows = tr.with_head(examples(spark, sf_dir), saved, WIDTH, 2, {"head": "value"})
-    rows = rows.withColumn("logits", tr.head_logits("v", F.col("head"), WIDTH, 2))
-    hit = F.when(te.predicted_class("logits") == F.col("target"), 1.0).otherwise(0.0)
-    return rows.agg(
+    rows = examples(spark, sf_dir)
+    found = tr.head_statistics(rows, saved, WIDTH, 2, {"head": "value"}).join(rows.select("example_id", "target"), "example_id")
+    hit = F.when(F.col("predicted_head") == F.col("target"), 1.0).otherwise(0.0)
+    return found.agg(
         F.count(F.lit(1)).alias("rows"),
-        F.round(F.avg(te.cross_entropy("logits", "target")), 8).alias("mean_loss"),
+        F.round(F.avg("loss_head"), 8).alias("mean_loss"),
         F.round(F.avg(hit), 8).alias("accuracy"),
     )
 

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,24 +114,49 @@ def mean_loss(rows, theta):
     return total / len(rows)
 
 
-def test_both_loss_paths_and_gradient(spark):
+def test_losses_and_gradient_over_tiles(spark):
     examples, params, rows, theta = head_data(spark)
     moved = tr.directions(params, 4)
     short = tr.two_sided_losses(examples, moved, 5, 3, epsilon=0.1).first()
-    wide = tr.two_sided_losses(examples, moved, 5, 3, epsilon=0.1, array_params=0).first()
+    wide = tr.two_sided_losses(examples, moved, 5, 3, epsilon=0.1, tile=6).first()
     signs = {r.param_id: r.direction for r in moved.collect()}
     up = mean_loss(rows, {p: v + 0.1 * signs[p] for p, v in theta.items()})
     down = mean_loss(rows, {p: v - 0.1 * signs[p] for p, v in theta.items()})
     for got in (short, wide):
         assert math.isclose(got.loss_up, up, rel_tol=1e-9) and math.isclose(got.loss_down, down, rel_tol=1e-9)
     grads = {r.param_id: r.grad for r in tr.head_gradient(examples, params, 5, 3).collect()}
-    long = {r.param_id: r.grad for r in tr.head_gradient(examples, params, 5, 3, array_params=0).collect()}
+    long = {r.param_id: r.grad for r in tr.head_gradient(examples, params, 5, 3, tile=12).collect()}
     assert long == pytest.approx(grads)
     for p in (0, 7, 14, 16):
         a, b = ({**theta, p: theta[p] + d} for d in (1e-5, -1e-5))
         assert math.isclose(grads[p], (mean_loss(rows, a) - mean_loss(rows, b)) / 2e-5, abs_tol=1e-6)
 
 
+def test_a_wide_head_stays_in_tiles(spark):
+    """5 inputs by 700 classes in tiles of 100: losses, predictions, and a gap refused."""
+    rng = np.random.default_rng(2)
+    w, b = rng.normal(size=(700, 5)), rng.normal(size=700)
+    x, y = rng.normal(size=(40, 5)), rng.integers(0, 700, 40)
+    z = x @ w.T + b
+    examples = spark.createDataFrame([(i, x[i].tolist(), int(y[i])) for i in range(40)], "example_id long, v array<double>, target int").repartition(3)
+    rows = [(int(c * 5 + k), float(w[c, k])) for c in range(700) for k in range(5)] + [(3500 + c, float(b[c])) for c in range(700)]
+    params = spark.createDataFrame(rows, "param_id long, value double")
+    tiles = tr.head_tiles(params, 5, 700, {"value": "value"}, 600)
+    assert sorted((r.tile, len(r.value)) for r in tiles.collect()) == [(i, 600) for i in range(7)]
+    got = {r.example_id: r for r in tr.head_statistics(examples, params, 5, 700, {"h": "value"}, 600).collect()}
+    for i in range(40):
+        lse = np.log(np.exp(z[i]).sum())
+        assert math.isclose(got[i].lse_h, lse, rel_tol=1e-12) and math.isclose(got[i].loss_h, lse - z[i, y[i]], rel_tol=1e-9)
+        assert got[i].predicted_h == z[i].argmax()
+    grads = {r.param_id: r.grad for r in tr.head_gradient(examples, params, 5, 700, tile=600).collect()}
+    soft = np.exp(z - np.log(np.exp(z).sum(1))[:, None])
+    soft[np.arange(40), y] -= 1
+    want = soft.T @ x / 40
+    assert len(grads) == 4200 and np.allclose([grads[c * 5 + k] for c in range(700) for k in range(5)], want.ravel(), atol=1e-12)
+    with pytest.raises(Exception, match="each parameter id"):
+        tr.head_statistics(examples, params.filter("param_id <> 77"), 5, 700, {"h": "value"}, 600).collect()
+
+
 def test_pair_accumulation_guards(spark):
     rows = [(0, "up", 0, 1.0), (0, "down", 0, 2.0), (1, "down", 0, 2.0), (2, "up", 0, 1.0)]
     df = spark.createDataFrame(rows, "step long, side string, micro long, loss double")
