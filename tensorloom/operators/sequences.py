@@ -220,7 +220,7 @@ def vocabulary(df: DataFrame, text: str, seed: int = 0) -> DataFrame:
 
     Kept as a table: it is small beside the texts, which are split once for it.
     """
-    counted = written(df.select(F.explode(se.words(text)).alias("word")).groupBy("word").count())
+    counted = df.select(F.explode(se.words(text)).alias("word")).groupBy("word").count()
     return written(shuffled_rank(counted, seed, "word", "_rank").select("word", (F.col("_rank") + 1).alias("token_id"), "count"))
 
 
@@ -232,13 +232,14 @@ def _looked_up(tokens: DataFrame, vocab: DataFrame, key: str, value: str) -> Dat
     tokens, so the shuffle has no hot key. Rows found in the broadcast pass it
     under spread keys of their own.
     """
-    other = vocab.select(F.col(key).alias("_key"), F.col(value).alias("_rest"))
+    other = vocab.select(F.col(key).cast("string").alias("_key"), F.col(value).alias("_rest"))
     top = vocab.orderBy(F.desc("count"), key).limit(FREQUENT).select(key, F.col(value).alias("_top"))
     spread = F.xxhash64(*[c for c, t in tokens.dtypes if not t.startswith("map")])
-    # Spread keys are NULL-safe tags beside the key itself, so they equal no entry.
-    looked = tokens.join(F.broadcast(top), key, "left").withColumn("_tag", F.when(F.col("_top").isNull(), F.lit(-1)).otherwise(F.pmod(spread, F.lit(FREQUENT))))
-    joined = looked.join(other.withColumn("_other", F.lit(-1)), (F.col("_tag") == F.col("_other")) & (F.col(key) == F.col("_key")), "left")
-    return joined.withColumn(value, F.coalesce("_top", "_rest")).filter(F.col(value).isNotNull()).drop("_top", "_rest", "_key", "_tag", "_other")
+    # The key itself decides, so the optimizer cannot join on it for rows that are through.
+    further = F.when(F.col("_top").isNull(), F.col(key).cast("string")).otherwise(F.concat(F.lit("\0"), F.pmod(spread, F.lit(FREQUENT)).cast("string")))
+    looked = tokens.join(F.broadcast(top), key, "left").withColumn("_further", further)
+    joined = looked.join(other, F.col("_further") == F.col("_key"), "left")
+    return joined.withColumn(value, F.coalesce("_top", "_rest")).filter(F.col(value).isNotNull()).drop("_top", "_rest", "_key", "_further")
 
 
 def encode(df: DataFrame, keys: Sequence[str], text: str, vocab: DataFrame) -> DataFrame:
