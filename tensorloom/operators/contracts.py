@@ -22,10 +22,6 @@ ENVELOPE_VERSION = 1
 TENSOR_ENCODING = 1
 METADATA_ENCODING = 2
 FRAME_PREFIX_BYTES = 12
-# The operation verbs a capability may carry.
-VERBS = (
-    "forward", "backward", "step", "reset", "perturb", "optimize", "checkpoint", "fuse", "query",
-)
 
 
 def dtype_accepts(kind: Column, allowed: Column, dtype: Column) -> Column:

@@ -269,7 +269,7 @@ def fan_in(deliveries: DataFrame, payload: str, address: str) -> DataFrame:
 
     both = side(0).join(side(1), on)
     return both.select(
-        *on, "p1", "p2", F.when(F.col("_a0") != F.col("_a1"), "send addresses disagree").alias("error")
+        *on, "p1", "p2", F.when(F.col("_a0") != F.col("_a1"), "ports name different receivers").alias("error")
     )
 
 

@@ -228,7 +228,7 @@ def skip_seconds(pairs: DataFrame, headers: DataFrame, seconds: int) -> tuple[Da
 
 def shift_seconds(pairs: DataFrame, headers: DataFrame, seconds: float) -> tuple[DataFrame, DataFrame]:
     if not math.isfinite(seconds):
-        raise ValueError("the shift must be a finite number of seconds")
+        raise ValueError("seconds have to be finite")
     delta = F.round(F.lit(float(seconds)) * F.col("ticks_per_second")).cast("bigint")
     return shift_ticks(pairs, headers, delta)
 
@@ -250,10 +250,10 @@ def rescale_to_duration(
 ) -> tuple[DataFrame, DataFrame]:
     """Stretch every log to a new length; a tail past the end becomes a one-tick note there."""
     if not math.isfinite(seconds) or seconds <= 0:
-        raise ValueError("the new duration must be a positive number of seconds")
+        raise ValueError("seconds have to be finite and above zero")
     new = F.round(F.lit(float(seconds)) * F.col("ticks_per_second")).cast("bigint")
     loops = effective_loop(headers, pairs).withColumn("_new", new)
-    sound = loops.withColumn("error", F.when(F.col("_new") < 1, "shorter than one tick"))
+    sound = loops.withColumn("error", F.when(F.col("_new") < 1, "duration rounds to no tick"))
     joined = pairs.join(
         sound.filter("error IS NULL").select("log_id", F.col("effective_loop").alias("_old"), "_new"), "log_id"
     )
@@ -399,7 +399,7 @@ def diagnostics(pairs: DataFrame, headers: DataFrame, file_anchors: DataFrame) -
     )
     return (
         finding(copies, "warning", "duplicate pair")
-        .unionByName(finding(unsorted, "warning", "out of canonical order"))
+        .unionByName(finding(unsorted, "warning", "pairs not sorted"))
         .unionByName(finding(stale, "warning", "stale anchors"))
         .unionByName(finding(short, "error", "loop precedes the last release"))
     )

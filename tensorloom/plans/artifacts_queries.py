@@ -124,7 +124,7 @@ def upload_parts(spark, sf_dir):
 @register(
     "assemble_multipart",
     f"""WITH n AS (SELECT doc_id AS id, text, {N} AS part_count FROM documents),
-    k AS (SELECT *, CASE WHEN id % 5 = 1 THEN CASE WHEN part_count = 1 THEN 'no multipart upload in flight' ELSE 'parts incomplete' END END AS error,
+    k AS (SELECT *, CASE WHEN id % 5 = 1 THEN CASE WHEN part_count = 1 THEN 'upload never begun' ELSE 'parts incomplete' END END AS error,
       CASE WHEN id % 5 = 2 THEN translate(substring(text, 1, 256), 'e', 'E') || substring(text, 257) ELSE text END AS whole FROM n)
     SELECT id, part_count, error, CASE WHEN error IS NULL THEN strlen(whole) END AS size,
       CASE WHEN error IS NULL THEN sha256(whole) END AS digest FROM k""",
@@ -174,9 +174,9 @@ BEGIN = f"""b AS (SELECT doc_id AS transfer, text, CASE WHEN doc_id % 11 = 1 THE
 
 @register(
     "begin_transfers",
-    f"""WITH {BEGIN} SELECT transfer, CASE WHEN protocol_version <> 1 THEN 'unsupported protocol version' WHEN expected_chunks > 10000 THEN 'too many chunks'
+    f"""WITH {BEGIN} SELECT transfer, CASE WHEN protocol_version <> 1 THEN 'unsupported protocol version' WHEN expected_chunks > 10000 THEN 'chunk count over the limit'
       WHEN (expected_chunks = 0) <> (expected_len = 0) THEN 'zero length needs zero chunks' WHEN deadline_ms <= 1000 THEN 'deadline already expired'
-      WHEN transfer IN (SELECT doc_id FROM labels WHERE quality = 0) THEN 'transfer already exists' END AS error FROM b""",
+      WHEN transfer IN (SELECT doc_id FROM labels WHERE quality = 0) THEN 'transfer id in use' END AS error FROM b""",
 )
 def begin_transfers(spark, sf_dir):
     k = F.col("id") % 11
@@ -233,7 +233,7 @@ ARRIVED = f"""n AS (SELECT doc_id AS transfer, text, {N} AS n FROM documents),
     WHERE NOT (transfer % 7 = 1 AND idx = n - 1))),
   o AS (SELECT *, length(data) AS len, CASE WHEN transfer % 7 = 4 THEN 'not in progress' WHEN idx >= n THEN 'index out of range'
     WHEN transfer % 7 = 2 AND seq = 1 THEN 'duplicate index' WHEN transfer % 7 = 3 AND idx = 0 THEN 'hash mismatch'
-    WHEN transfer % 7 = 5 AND idx = n - 1 THEN 'exceeds declared length' END AS error FROM a)"""
+    WHEN transfer % 7 = 5 AND idx = n - 1 THEN 'over the declared length' END AS error FROM a)"""
 
 
 @register("ingest_chunks", f"WITH {ARRIVED} SELECT transfer, seq, idx, len, error FROM o")
@@ -337,8 +337,8 @@ def object_catalogue(spark, sf_dir):
     """WITH r AS (SELECT doc_id AS ref, doc_id, text, ['committed', 'transfer', 'stream'][doc_id % 3 + 1] AS kind, doc_id % 7 AS k FROM documents),
     e AS (SELECT *, CASE WHEN kind = 'committed' AND k = 0 THEN 'object not found' WHEN kind = 'transfer' AND k IN (1, 2) THEN 'transfer not committed'
       WHEN kind = 'stream' AND k = 3 THEN 'ticket not found' WHEN kind = 'stream' AND k = 4 THEN 'ticket does not match fallback'
-      WHEN kind = 'stream' AND doc_id % 2 = 0 AND doc_id % 4 <> 0 THEN 'live stream failed'
-      WHEN kind = 'stream' AND doc_id % 2 = 0 AND k IN (1, 2) THEN 'live stream and durable fallback failed' END AS error FROM r)
+      WHEN kind = 'stream' AND doc_id % 2 = 0 AND doc_id % 4 <> 0 THEN 'live data missing'
+      WHEN kind = 'stream' AND doc_id % 2 = 0 AND k IN (1, 2) THEN 'live and stored data missing' END AS error FROM r)
     SELECT ref, kind, error, CASE WHEN error IS NULL THEN CASE kind WHEN 'committed' THEN 'object' WHEN 'transfer' THEN 'transfer' ELSE
       CASE WHEN doc_id % 2 = 1 THEN 'live' ELSE 'fallback' END END END AS source, CASE WHEN error IS NULL THEN md5(text) END AS digest FROM e""",
 )

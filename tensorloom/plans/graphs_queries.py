@@ -245,7 +245,7 @@ def deliveries(spark, sf_dir):
 
 @register(
     "two_port_fan_in",
-    f"""WITH {DELIVERED} SELECT graph_id, vertex, step, a.payload AS p1, b.payload AS p2, CASE WHEN a.address <> b.address THEN 'send addresses disagree' END AS error
+    f"""WITH {DELIVERED} SELECT graph_id, vertex, step, a.payload AS p1, b.payload AS p2, CASE WHEN a.address <> b.address THEN 'ports name different receivers' END AS error
     FROM (SELECT * FROM d WHERE ordinal = 0) a JOIN (SELECT * FROM d WHERE ordinal = 1) b USING (graph_id, vertex, step)""",
 )
 def two_port_fan_in(spark, sf_dir):

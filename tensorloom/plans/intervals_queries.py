@@ -254,7 +254,7 @@ def canonical_pair_order(spark, sf_dir):
     st AS (SELECT log_id, count(*) FILTER (xa.tick IS NULL OR fa.tick IS NULL) AS amount FROM xa FULL JOIN fa USING (log_id, measure, tick) GROUP BY log_id)
     SELECT log_id, 'warning' AS level, 'duplicate pair' AS finding, count(*) AS amount FROM ca WHERE prev = (start, duration, key, velocity, release) OR
       (prev[1] = start AND prev[2] = duration AND prev[3] = key AND prev[4] = velocity AND prev[5] IS NULL AND release IS NULL) GROUP BY log_id
-    UNION ALL SELECT log_id, 'warning', 'out of canonical order', count(*) FROM fl WHERE prev > (start, key, velocity) GROUP BY log_id
+    UNION ALL SELECT log_id, 'warning', 'pairs not sorted', count(*) FROM fl WHERE prev > (start, key, velocity) GROUP BY log_id
     UNION ALL SELECT log_id, 'warning', 'stale anchors', sum(amount)::BIGINT FROM (SELECT log_id, 1 AS amount FROM xa WHERE log_id % 7 = 0 AND measure % 2 = 0 UNION ALL
       SELECT log_id, 1 FROM fa WHERE log_id % 7 = 0 AND measure % 2 = 0) GROUP BY log_id
     UNION ALL SELECT log_id, 'error', 'loop precedes the last release', last - loop FROM hd WHERE loop < last""",

@@ -138,7 +138,7 @@ def assemble_parts(uploads: DataFrame, parts: DataFrame, data: str) -> tuple[Dat
     lost = refused.groupBy("id").agg(F.count(F.lit(1)).alias("_refused"))
     error = first_failure(
         (~F.col("part_count").between(1, MAX_PARTS), "part count out of range"),
-        (F.col("_n").isNull(), "no multipart upload in flight"),
+        (F.col("_n").isNull(), "upload never begun"),
         ((F.col("_n") != F.col("part_count")) | (F.col("_hi") != F.col("part_count")), "parts incomplete"),
     )
     judged = uploads.join(shape, "id", "left").join(lost, "id", "left").withColumn("error", error).select(
@@ -161,10 +161,10 @@ def begin_transfers(requests: DataFrame, objects: DataFrame, now_ms: Column) ->
     rule = first_failure(
         (F.col("protocol_version") != PROTOCOL_VERSION, "unsupported protocol version"),
         (F.col("transfer").cast("string") == NIL_ID, "nil transfer id"),
-        (F.col("expected_chunks") > MAX_PARTS, "too many chunks"),
+        (F.col("expected_chunks") > MAX_PARTS, "chunk count over the limit"),
         ((F.col("expected_chunks") == 0) != (F.col("expected_len") == 0), "zero length needs zero chunks"),
         (F.col("deadline_ms") <= now_ms, "deadline already expired"),
-        (F.col("_used").isNotNull(), "transfer already exists"),
+        (F.col("_used").isNotNull(), "transfer id in use"),
     )
     return joined.withColumn("error", rule).withColumn(
         "status", F.when(F.col("error").isNull(), "in progress")
@@ -201,7 +201,7 @@ def judge_chunks(transfers: DataFrame, arrivals: DataFrame) -> DataFrame:
         (~F.col("_range"), "index out of range"),
         (F.col("_stored") < F.col("seq"), "duplicate index"),
         (~F.col("_sound"), "hash mismatch"),
-        (F.col("_stored").isNull() | (F.col("_stored") > F.col("seq")), "exceeds declared length"),
+        (F.col("_stored").isNull() | (F.col("_stored") > F.col("seq")), "over the declared length"),
     )
     others = [c for c in arrivals.columns if c != "data"]
     return judged.join(stored, ["transfer", "idx"], "left").withColumn("error", outcome).select(*others, F.col("_len").alias("len"), "error")
@@ -284,7 +284,7 @@ def commit_transfers(transfers: DataFrame, chunks: DataFrame, commits: DataFrame
     empty = F.sha2(F.lit(""), 256)
     error = F.when(
         F.col("_fault").isNull() & (F.coalesce("digest", empty) != F.col("aggregate_hash")),
-        "aggregate hash mismatch",
+        "total hash differs",
     ).otherwise(F.col("_fault"))
     return cheap.join(hashed, "transfer", "left").select(
         "transfer",
@@ -355,10 +355,10 @@ def resolve(
         ((kind == "transfer") & F.col("_durable").isNull(), "transfer not committed"),
         ((kind == "stream") & F.col("_for").isNull(), "ticket not found"),
         ((kind == "stream") & (F.col("_for") != F.col("fallback_id")), "ticket does not match fallback"),
-        ((kind == "stream") & F.col("_live").isNull() & ~F.coalesce(replay, F.lit(False)), "live stream failed"),
+        ((kind == "stream") & F.col("_live").isNull() & ~F.coalesce(replay, F.lit(False)), "live data missing"),
         (
             (kind == "stream") & F.col("_live").isNull() & F.col("_durable").isNull(),
-            "live stream and durable fallback failed",
+            "live and stored data missing",
         ),
     )
     source = (

@@ -146,7 +146,7 @@ def fan_in_stream(left: DataFrame, right: DataFrame, on: Sequence[str], wait: st
     return side(left, 1).join(side(right, 2), match & near).select(
         *[F.col(f"_{c}1").alias(c) for c in on],
         "p1", "p2",
-        F.when(F.col("_a1") != F.col("_a2"), "send addresses disagree").alias("error"),
+        F.when(F.col("_a1") != F.col("_a2"), "ports name different receivers").alias("error"),
     )
 
 

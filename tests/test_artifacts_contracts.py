@@ -51,7 +51,7 @@ def test_ingest_equals_one_by_one_handling(spark, seed):
         elif sha(data) != digest:
             want = "hash mismatch"
         elif sum(stored[t].values()) + len(data) > known[t][3]:
-            want = "exceeds declared length"
+            want = "over the declared length"
         else:
             want = None
             stored[t][idx] = len(data)
@@ -86,7 +86,7 @@ def test_commit_rules(spark):
     got = {r.transfer: (r.status, r.error) for r in out.collect()}
     assert got[1] == ("committed", None) and got[4] == ("committed", None)
     assert {t: e for t, (_, e) in got.items() if e} == {
-        2: "chunks incomplete", 3: "chunk failed validation", 5: "aggregate hash mismatch", 6: "chunks incomplete",
+        2: "chunks incomplete", 3: "chunk failed validation", 5: "total hash differs", 6: "chunks incomplete",
         7: "not in progress", 8: "not in progress",
     }
 
@@ -168,7 +168,7 @@ def test_resent_part_replaces(spark):
     judged, pieces, refused = sa.assemble_parts(uploads, parts, "data")
     assert {r.id: (r.error, r.size, r.refused) for r in judged.collect()} == {
         1: (None, 2, 1), 2: ("parts incomplete", None, 0), 3: ("part count out of range", None, 0),
-        4: ("no multipart upload in flight", None, 0),
+        4: ("upload never begun", None, 0),
     }
     assert sorted(map(tuple, pieces.collect())) == [(1, 1, 0, "c"), (1, 2, 1, "b")]
     assert [tuple(r) for r in refused.collect()] == [(1, 0, 5, "part number out of range")]
