@@ -11,7 +11,7 @@ import os
 import re
 import uuid
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,7 +71,13 @@ _ODD = (
     b"\xe1\x9a\x80", b"\xe1\xa0\x8e", b"\xe2\x81\x9f", b"\xe3\x80\x80", b"\xef\xbb\xbf",
 )
 _ODD_SPACES = re.compile(rb"\xe2\x80[\x80-\x8f\xa8-\xaf]")
-_MARKS = (b".", b",", b"!", b"?", b":", b";")
+# White space, Latin letters, marks without the apostrophe. Neither letters and marks nor a line end and letters share a token.
+_WORD = re.compile(rb"([\n ]?)((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+# What parts a special token from such a word: a mark or digit before a letter.
+_NO_WORD = re.compile(r"[!-@\[-`{-~][A-Za-z]")
+# Byte-level vocabularies write printable bytes as themselves and the others, in order, from code point 256 on.
+_OTHERS = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+_BYTE_NAMES = {b: chr(256 + k) for k, b in enumerate(_OTHERS)}
 _PIECE = re.compile(rb"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
 
 
@@ -90,6 +96,20 @@ def pieces(data: bytes) -> list[bytes]:
     return data.replace(b" ", b"\x00 ").replace(b"\n", b"\x00\n").split(b"\x00")
 
 
+class _Known(dict):
+    """Ids of pieces; a piece that is not there is encoded, and kept unless it is long."""
+
+    def __init__(self, encode: Callable[[bytes], bytes]):
+        super().__init__({b"": b""})
+        self.encode = encode
+
+    def __missing__(self, piece: bytes) -> bytes:
+        ids = self.encode(piece)
+        if len(piece) <= LONG_PIECE:
+            self[piece] = ids
+        return ids
+
+
 class PieceEncoder:
     """Ids of texts by the tokenizers library, each distinct piece encoded once.
 
@@ -98,29 +118,57 @@ class PieceEncoder:
     it becomes the old one and a new one begins, into which pieces move as they
     come up again; so it is bounded and frequent pieces stay. Pieces of more
     than ``LONG_PIECE`` bytes are not kept. A tokenizer that drops white space
-    and lowers letters gets lower-case words, of which there are fewer.
+    and lowers letters gets lower-case words, of which there are fewer. Words of
+    Latin letters go straight to the model of the library, past its normalizer
+    and its patterns, where samples show that these leave them whole.
+
+    Ids are those of a plain library call, so the strings of special tokens
+    give their special ids; with ``as_text`` they are ordinary text.
     """
 
     _loaded: dict[tuple, PieceEncoder] = {}
 
-    def __init__(self, path: str, width: int = 4, limit: int = CACHED_PIECES):
+    def __init__(self, path: str, width: int = 4, limit: int = CACHED_PIECES, as_text: bool = False):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = as_text
         self.code = {2: "H", 4: "I"}[width]
-        self.limit, self.known, self.old = limit, {b"": b""}, {}
+        self.limit, self.known, self.old = limit, _Known(self._ids), {}
         plain = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
         folds = not plain(" \t\r\n") and plain("A \n\tBc d") == plain("a") + plain("bc") + plain("d")
-        self.cut = (lambda data: data.lower().split()) if folds else pieces
+        self.cut = self._folded if folds else pieces
+        names = [] if as_text else [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(map(re.escape, names)), re.IGNORECASE) if names else None
+        # What no case changes and all of them begin with: sought first, as it is quick to find.
+        self.hint = re.match(rb"[^A-Za-z\x80-\xff]*", os.path.commonprefix(names))[0] if names else b""
+        self.folds, self.tokenize = folds, self.tokenizer.model.tokenize
+        samples = ["a", "aB", "Word", "XYZ", "\u00e9t\u00e9", "\u00c0\u00dfc\u00d6", "a" * 50, *([] if folds else [" a", " aBc", " \u00c9t\u00e9"])]
+        parted = [x + m for x in samples for m in ("", ".", "&&&,", "|>", "---")]
+        self.by_words = (
+            all(_NO_WORD.search(n.decode()) for n in names)
+            and all(plain(x) == array(self.code, self._word(x.lower().encode() if folds else x.encode())).tolist() for x in samples)
+            and all(plain(x) == plain(x.rstrip(".&,|>-")) + plain(x[len(x.rstrip(".&,|>-")) :]) for x in parted)
+            and plain("\nabc") == plain("\n") + plain("abc")
+        )
 
     @classmethod
-    def of(cls, path: str, width: int = 4) -> PieceEncoder:
-        """One encoder per Python worker and vocabulary."""
-        if (path, width) not in cls._loaded:
-            cls._loaded[path, width] = cls(path, width)
-        return cls._loaded[path, width]
+    def of(cls, path: str, width: int = 4, as_text: bool = False) -> PieceEncoder:
+        """One encoder per Python worker, vocabulary and reading of special tokens."""
+        key = path, width, as_text
+        if key not in cls._loaded:
+            cls._loaded[key] = cls(path, width, as_text=as_text)
+        return cls._loaded[key]
+
+    def _has_special(self, data: bytes) -> bool:
+        return self.special is not None and self.hint in data and bool(self.special.search(data))
+
+    def _folded(self, data: bytes) -> list[bytes]:
+        """Lower-case words; those with the string of a special token, in any case, as they stand."""
+        if self._has_special(data):
+            return [x if self._has_special(x) else x.lower() for x in data.split()]
+        return data.lower().split()
 
     def encode_many(self, texts: list[bytes]) -> list[bytes]:
         parts = [self.cut(x) if len(x) <= WINDOW_BYTES else None for x in texts]
@@ -131,42 +179,36 @@ class PieceEncoder:
         return b"".join(ids for part in windows(data) for ids in self._look_up([self.cut(part)]))
 
     def _look_up(self, groups: list[list[bytes]]) -> Iterator[bytes]:
-        """Ids of each group of pieces; those not known are encoded together first."""
+        """Ids of each group of pieces."""
         if len(self.known) > self.limit:
-            self.known, self.old = {b"": b""}, self.known
-        get = self.known.get
-        found = [list(map(get, group)) for group in groups]
-        gaps = [[i for i, ids in enumerate(ids_) if ids is None] if None in ids_ else () for ids_ in found]
-        long = self._learn({group[i] for group, at in zip(groups, gaps) for i in at})
-        for group, ids, at in zip(groups, found, gaps):
-            for i in at:
-                ids[i] = self.known[group[i]]
-        for piece in long:
-            del self.known[piece]
-        return iter([b"".join(ids) for ids in found])
-
-    def _learn(self, new: set[bytes]) -> list[bytes]:
-        """Encode pieces; returns those that are too long to stay."""
-        old = self.old
-        again = new.intersection(old) if old else ()
-        self.known.update((x, old[x]) for x in again)
-        new = new.difference(self.known)
-        # A letter and the mark after it never share a token: most such words are known without the mark.
-        marked = [x for x in new if x[-1:] in _MARKS and x[-2:-1].isalpha()]
-        new.difference_update(marked)
-        for x in marked:
-            for part in (x[:-1], x[-1:]):
-                if part in old:
-                    self.known.setdefault(part, old[part])
-                elif part not in self.known:
-                    new.add(part)
-        new = list(new)
-        for start in range(0, len(new), 4096):
-            some = new[start : start + 4096]
-            ids = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in some], add_special_tokens=False)
-            self.known.update((x, array(self.code, e.ids).tobytes()) for x, e in zip(some, ids))
-        self.known.update((x, self.known[x[:-1]] + self.known[x[-1:]]) for x in marked)
-        return [x for x in (*new, *marked) if len(x) > LONG_PIECE]
+            self.known, self.old = _Known(self._ids), self.known
+        ids_of = self.known.__getitem__
+        return iter([b"".join(map(ids_of, group)) for group in groups])
+
+    def _ids(self, piece: bytes) -> bytes:
+        """Ids of a piece that the table does not hold."""
+        ids = self.old.get(piece)
+        if ids is not None:
+            return ids
+        found = _WORD.fullmatch(piece) if self.by_words else None
+        if found is None:
+            return self._library(piece)
+        lead, letters, marks = found.groups()
+        if lead == b"\n":
+            return self.known[lead] + self.known[letters] + self.known[marks]
+        return self.known[lead + letters] + self.known[marks] if marks else self._word(piece)
+
+    def _library(self, piece: bytes) -> bytes:
+        found = self.tokenizer.encode_batch_fast([piece.decode("utf-8", "replace")], add_special_tokens=False)
+        return array(self.code, found[0].ids).tobytes()
+
+    def _word(self, data: bytes) -> bytes:
+        """Ids of Latin letters, perhaps after a space, by the model alone."""
+        if data.isascii():
+            text = data.decode("ascii").replace(" ", _BYTE_NAMES[0x20])
+        else:
+            text = (data.decode().lower().encode() if self.folds else data).decode("latin-1").translate(_BYTE_NAMES)
+        return array(self.code, [t.id for t in self.tokenize(text)]).tobytes()
 
 
 def text_rows(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:

@@ -98,7 +98,7 @@ def _block(shard: int, block: int, first: int, width: int, docs: list, parts: li
 
 def write(
     docs: DataFrame, folder: str, tokenizer: str, end_id: int, *, id_col: str = "doc_id",
-    text_col: str = "text", width: int = 2, block_ids: int = BLOCK_IDS, shards: int | None = None,
+    text_col: str = "text", width: int = 2, block_ids: int = BLOCK_IDS, shards: int | None = None, as_text: bool = False,
 ) -> None:
     """Encode all texts and write the token files.
 
@@ -106,14 +106,16 @@ def write(
     order of their texts; repeated rows stay. A NULL or empty text gives only
     the end id. ``width`` is the bytes of an id, 2 where the vocabulary has at
     most 65536 entries. A block is closed when it holds ``block_ids`` ids; a
-    longer document has a block of its own. Other columns are not read. An
-    empty table gives files without rows.
+    longer document has a block of its own. The strings of special tokens give
+    their special ids, as in a plain library call; with ``as_text`` they are
+    ordinary text. Other columns are not read. An empty table gives files
+    without rows.
     """
     end = int(end_id).to_bytes(width, "little")
     schema = pa.schema(_arrow_fields())
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = PieceEncoder.of(tokenizer, width), TaskContext.get().partitionId()
+        encoder, shard = PieceEncoder.of(tokenizer, width, as_text), TaskContext.get().partitionId()
         block = first = held = 0
         ids: list = []
         parts: list[bytes] = []
