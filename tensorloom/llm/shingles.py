@@ -27,25 +27,28 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _tables() -> list[np.ndarray]:
-    if not _powers:
+def _tables(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, at least ``n`` of each; no longer than what was asked for so far needs."""
+    if not _powers or len(_powers[0]) < n:
+        size = 1 << max(n - 1, 1 << 16).bit_length()
+        _powers.clear()
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            table = np.full(_MOST + 1, base, np.uint64)
+            table = np.full(size, base, np.uint64)
             table[0] = 1
-            _powers.append(np.multiply.accumulate(table))
+            _powers.append(np.multiply.accumulate(table, out=table))
     return _powers
 
 
 def byte_sums(values: np.ndarray) -> np.ndarray:
     """Prefix sums of byte * base**place; differences give hashes of stretches."""
     sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + _U(1)) * _tables()[0][: len(values)], out=sums[1:])
+    np.cumsum((values.astype(np.uint64) + _U(1)) * _tables(len(values))[0][: len(values)], out=sums[1:])
     return sums
 
 
 def stretch_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of the bytes from each start to each end, the same wherever they stand."""
-    return mixed((sums[ends] - sums[starts]) * _tables()[1][starts] + (ends - starts).astype(np.uint64))
+    return mixed((sums[ends] - sums[starts]) * _tables(len(sums))[1][starts] + (ends - starts).astype(np.uint64))
 
 
 def _words(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
