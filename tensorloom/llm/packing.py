@@ -25,23 +25,27 @@ from tensorloom.session import durable
 
 GROUP_ITEMS = 1 << 17
 FAN_IN = 16
+GROUP_BITS, SEQUENCE_BITS = 32, 24
 
 
 def cut_documents(
-    docs: DataFrame, tokenizer: str, end_id: int, capacity: int, *, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer: str, end_id: int, capacity: int, *, id_col: str = "doc_id", text_col: str = "text",
+    as_text: bool = False,
 ) -> DataFrame:
     """Pieces of at most ``capacity`` ids: doc_id, piece, start, length, ids (4 bytes each).
 
     A document is its ids and one ``end_id``; NULL and empty texts have only the
     latter. Documents up to ``capacity`` stay whole. Of longer ones all pieces
-    are full but the first, which takes the remainder. Repeated rows stay.
+    are full but the first, which takes the remainder. Repeated rows stay. The
+    strings of special tokens give their special ids, as in a plain library
+    call; with ``as_text`` they are ordinary text.
     """
     end = int(end_id).to_bytes(4, "little")
     names = ["doc_id", "piece", "start", "length", "ids"]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder.of(tokenizer)
+        encoder = PieceEncoder.of(tokenizer, as_text=as_text)
         for batch in slices(batches, "data"):
             rows = []
             for doc, found in zip(batch.column("doc_id").to_pylist(), encoder.encode_many(batch.column("data").to_pylist())):
@@ -96,6 +100,8 @@ def _pack_group(capacity: int):
         order = np.lexsort((table["_tie"].to_numpy(), -table["_len"].to_numpy()))
         table = table.take(pa.array(order))
         sequence, offset, gaps = sum_of_squares(table["_len"].to_numpy(), capacity)
+        if len(gaps) > 1 << SEQUENCE_BITS:
+            raise ValueError("a group has more sequences than its numbers tell apart")
         table = table.append_column("_seq", pa.array(sequence)).append_column("_at", pa.array(offset))
         return table.append_column("_done", pa.array(gaps[sequence] == 0))
 
@@ -114,8 +120,12 @@ def pack(
     Offsets in a sequence have no gaps from 0 on. Items longer than
     ``capacity``, shorter than 1 or NULL raise an error. Items that fill a
     sequence alone are settled at once. Repeated rows are items of their own;
-    columns named like the results are replaced. An empty table stays empty.
+    columns named like the results are replaced, others of any name stay. A
+    sequence's number is made of its round, its group and its place there, so no
+    two share one. An empty table stays empty.
     """
+    if not 1 <= group_items <= 1 << SEQUENCE_BITS - 2:
+        raise ValueError(f"group_items is between 1 and {1 << SEQUENCE_BITS - 2}")
     items = items.drop("sequence_id", "offset")
     kept = items.columns
     size = F.col(f"`{length}`").cast("bigint")
@@ -123,7 +133,8 @@ def pack(
         F.raise_error(F.format_string("length %s is not between 1 and %d", size.cast("string"), F.lit(capacity))).cast("bigint")
     )
     # Written once: what is dealt out must not change when a task is repeated.
-    numbered = durable(items.withColumns({"_len": sound, "_row": F.monotonically_increasing_id()}))
+    own = F.struct(*[F.col(f"`{c}`").alias(c) for c in kept])
+    numbered = durable(items.select(own.alias("_own"), sound.alias("_len"), F.monotonically_increasing_id().alias("_row")))
     total = numbered.filter(F.col("_len") < capacity).count()
     groups = groups_for(total, group_items)
     seed = F.xxhash64("_row")
@@ -145,5 +156,8 @@ def pack(
     placed = settled[0]
     for part in settled[1:]:
         placed = placed.unionByName(part)
-    name = F.xxhash64("_round", "_group", "_seq")
-    return numbered.join(placed, "_row").select(*[F.col(f"`{c}`") for c in kept], name.alias("sequence_id"), F.col("_at").alias("offset"))
+    inner = F.shiftleft(F.col("_round").cast("bigint"), GROUP_BITS + SEQUENCE_BITS) + F.shiftleft("_group", SEQUENCE_BITS) + F.col("_seq")
+    # Sequences of one item have the negative numbers, by row.
+    name = F.when(F.col("_round") < 0, -F.col("_row") - 1).otherwise(inner)
+    columns = [F.col("_own").getField(c).alias(c) for c in kept]
+    return numbered.join(placed, "_row").select(*columns, name.alias("sequence_id"), F.col("_at").alias("offset"))

@@ -84,9 +84,15 @@ def test_piece_encoder_equals_the_library(path):
     own, plain = PieceEncoder(path, 4, limit=20), Tokenizer.from_file(path)
     rnd = random.Random(3)
     texts = ["".join(rnd.choices("ab é.,!'s \n\t  中12", k=rnd.randint(0, 40))) for _ in range(800)]
-    texts += [r[1] or "" for r in rows()] + ["long " * 500_000]
+    texts += ["".join(rnd.choices(["Ab", "é", "ÀÖ", "×", "xyz", "'s", "<|endoftext|>", "<|EndOfText|>", "|", ">", "&", ".", " ", "\n", "\u0301", "1"], k=rnd.randint(1, 12))) for _ in range(2000)]
+    texts += [r[1] or "" for r in rows()] + ["long " * 500_000, "a <|endoftext|> b", "<|startoftext|>" * 3, "İstanbul ΣΑΣ&&& ĳ."]
+    assert own.by_words
     for text, found in zip(texts, own.encode_many([t.encode() for t in texts])):
         assert np.frombuffer(found, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    as_text = PieceEncoder(path, 4, as_text=True)
+    plain.encode_special_tokens = True
+    for text, found in zip(texts, as_text.encode_many([t.encode() for t in texts])):
+        assert np.frombuffer(found, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
 # 1
@@ -610,6 +616,21 @@ def test_packing_groups_stay_bounded(spark, monkeypatch, tmp_path, lengths):
     assert least <= len(by) <= least * 1.02
 
 
+def test_packing_keeps_columns_of_any_name(spark, docs):
+    names = ["_row", "_len", "_seq", "_at", "_group", "_round", "_own", "a.b", "sequence_id"]
+    items = spark.createDataFrame([(k, *[k + j for j in range(len(names))], 1 + k % 100) for k in range(400)], ["k", *names, "n"])
+    packed = packing.pack(items, "n", 100, group_items=64)
+    assert packed.columns == ["k", *names[:-1], "n", "sequence_id", "offset"]
+    got = packed.collect()
+    assert sorted(tuple(r)[:-2] for r in got) == sorted((k, *[k + j for j in range(len(names) - 1)], 1 + k % 100) for k in range(400))
+    filled: dict[int, list] = {}
+    for r in got:
+        filled.setdefault(r.sequence_id, []).append((r.offset, r.n))
+    for parts in filled.values():
+        ends = np.cumsum([n for _, n in sorted(parts)])
+        assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 100
+
+
 def test_packing_refuses_bad_lengths(spark, docs):
     for bad in (0, 65, None):
         with pytest.raises(Exception, match="not between"):
