@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.texts import PieceEncoder, slices, text_rows
+from tensorloom.llm.texts import BLOCK_BYTES, PieceEncoder, slices, text_rows
 from tensorloom.session import durable
 
 GROUP_ITEMS = 1 << 17
+CACHED_PIECES = 300_000  # a worker keeps up to two tables of so many, some 150 bytes for each piece
 FAN_IN = 16
 GROUP_BITS, SEQUENCE_BITS = 32, 24
 
@@ -40,13 +41,18 @@ def cut_documents(
     strings of special tokens give their special ids, as in a plain library
     call; with ``as_text`` they are ordinary text.
     """
+    cut = _cut(tokenizer, end_id, capacity, as_text)
+    return text_rows(docs, id_col, text_col).mapInArrow(cut, "doc_id bigint, piece int, start bigint, length bigint, ids binary")
+
+
+def _cut(tokenizer: str, end_id: int, capacity: int, as_text: bool):
     end = int(end_id).to_bytes(4, "little")
     names = ["doc_id", "piece", "start", "length", "ids"]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 
-    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder.of(tokenizer, as_text=as_text)
-        for batch in slices(batches, "data"):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = PieceEncoder.of(tokenizer, as_text=as_text, limit=CACHED_PIECES)
+        for batch in slices(batches, "data", BLOCK_BYTES):
             rows = []
             for doc, found in zip(batch.column("doc_id").to_pylist(), encoder.encode_many(batch.column("data").to_pylist())):
                 found += end
@@ -55,7 +61,7 @@ def cut_documents(
                 rows += [(doc, k, a, b - a, found[4 * a : 4 * b]) for k, (a, b) in enumerate(zip(bounds, bounds[1:]))]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return text_rows(docs, id_col, text_col).mapInArrow(cut, "doc_id bigint, piece int, start bigint, length bigint, ids binary")
+    return run
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

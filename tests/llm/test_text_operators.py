@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import textwrap
+import tracemalloc
 import unicodedata
 import uuid
 import zlib
@@ -14,6 +15,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 import tiktoken
@@ -672,3 +674,26 @@ def test_hash_of_result(spark, docs, tmp_path):
     for r in got:
         assert len(r.kept_sha256) == 64 and r.n_removed <= r.n_bytes
     assert any(r.kept_sha256 == hashlib.sha256(b"").hexdigest() for r in got)
+
+
+def test_memory_of_signatures_and_cut_documents():
+    """Megabytes of short texts in one batch take a fraction of their arrays and lists at a time."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(2000)]
+    texts = [" ".join(rng.choices(words, k=4000)).encode() for _ in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.binary())], names=["doc_id", "data"])
+    assert sum(map(len, texts)) > 2 << 20
+
+    def peak(run) -> float:
+        for part in run([batch.slice(0, 1)]):  # loads the vocabulary
+            assert part.num_rows
+        tracemalloc.start()
+        try:
+            assert sum(len(set(x.column("doc_id").to_pylist())) for x in run([batch])) == len(texts)
+            return tracemalloc.get_traced_memory()[1] / 1e6
+        finally:
+            tracemalloc.stop()
+
+    assert peak(forest._sign(5)) < 35
+    assert peak(packing._cut(BYTE_BPE, 0, 2048, False)) < 12
+    assert PieceEncoder._loaded[BYTE_BPE, 4, False, packing.CACHED_PIECES].limit == packing.CACHED_PIECES <= 300_000
