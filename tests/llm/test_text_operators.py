@@ -484,6 +484,52 @@ def test_attention_gradient_causality_and_windows():
     assert short[0] == pytest.approx(whole, rel=1e-6) and short[1] < 0
 
 
+def test_attention_by_class_equals_attention_by_position():
+    rng = np.random.default_rng(4)
+    of = np.zeros(attention.IDS, np.int64)
+    of[:30] = rng.permutation(30) % 11
+    classes = attention.Classes(of, np.zeros(attention.IDS, np.float32), 11)
+    weights = {k: w.astype(np.float64) + rng.normal(0, 0.2, w.shape) for k, w in attention.first_weights(11).items()}
+    ids = rng.integers(0, 30, (2 * attention.BLOCK + 3, 31)).astype(np.uint16)
+    ids[5, 9:] = ids[40, 1:] = 60000
+    kinds = attention.by_class(weights)
+    hidden = attention._attend(weights, kinds, of[ids[:, :-1]])[0]
+    want, n = 0.0, 0
+    for window, (row, at) in enumerate((x, h) for x, h in zip(ids, hidden)):
+        x = weights["embed"][of[row[:-1]]]
+        for t in range(30):
+            seen = range(max(0, t - attention.SPAN + 1), t + 1)
+            scores = [x[t] @ weights["query"] @ (x[s] @ weights["key"]) * np.float32(attention.WIDTH**-0.5) + weights["near"][t - s] for s in seen]
+            share = np.exp(np.clip(scores, -attention.LIMIT, attention.LIMIT))
+            h = x[t] + (share / share.sum()) @ (x[seen.start : seen.stop] @ weights["value"]) @ weights["mix"]
+            if row[t] != 60000:
+                assert at[t] == pytest.approx(h, rel=1e-5)
+            if row[t + 1] != 60000:
+                shelf, place = divmod(of[row[t + 1]], 4)  # eleven classes on three shelves, the last one shorter
+                for logits, k in ((h @ weights["top"] + weights["top_bias"], shelf), ((h @ weights["out"] + weights["bias"])[4 * shelf : 4 * shelf + 4], place)):
+                    want += np.log(np.exp(logits).sum()) - logits[k]
+                n += 1
+    # Windows of several blocks, one of them not full, count as one batch; so does each alone.
+    g, loss, targets = attention.train_batch(weights, ids, classes, 60000)
+    assert (targets, loss) == (n, pytest.approx(want, rel=1e-9))
+    alone = [attention.train_batch(weights, x[None], classes, 60000) for x in ids]
+    for name, value in g.items():
+        assert value == pytest.approx(sum(a[name] * m for a, _, m in alone if m) / n, rel=1e-6, abs=1e-9)
+
+
+def test_words_are_numbered_as_they_come_up(monkeypatch):
+    encoder, plain = attention.PieceEncoder(WORD_BPE, 2, as_text=True), Tokenizer.from_file(WORD_BPE)
+    table = attention.Words({b"an": 2.5}, encoder)
+    monkeypatch.setattr(attention, "KNOWN_WORDS", 3)
+    for texts in ([[[b"an", b"owl"], [b"an"]], []], [[[b"owl", b"hoots"]], [[b"hoots", b"<|endoftext|>"]]], [[[b"an"]]]):
+        for numbers, parts in zip(table.number(iter(texts)), texts):
+            words = [w for part in parts for w in part]
+            assert [table.words[k] for k in numbers] == words
+            assert [table.ids[k] for k in numbers] == encoder.encode_many(words)
+            assert [table.logs[k] == 2.5 if w == b"an" else np.isnan(table.logs[k]) for k, w in zip(numbers, words)] == [True] * len(words)
+    assert table.words == [b"an"] and np.frombuffer(table.ids[0], np.uint16).tolist() == plain.encode("an", add_special_tokens=False).ids
+
+
 # 8
 def greedy(word: bytes, first: set, later: set) -> int:
     n = at = 0
