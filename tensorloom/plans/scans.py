@@ -93,10 +93,12 @@ def lay_out(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Laid:
     numbers = counted.select(F.col(BLOCK).alias("block"), "prev", "run", "_in").collect()
     blocks = max((r["block"] for r in numbers), default=0) + 1
     borders = [(r["block"], r["prev"], r["run"]) for r in numbers if r["_in"]]
-    edges = counted.select(F.col(BLOCK).alias("_b"), F.when(F.col("_in"), F.col("_first")).alias("_first"), F.when(F.col("_out"), F.col("_last")).alias("_last"))
+    # They meet the caller's columns, whose names are any others.
+    at, first, last = "_lay_of", "_lay_first", "_lay_last"
+    edges = counted.select(F.col(BLOCK).alias(at), F.when(F.col("_in"), F.col("_first")).alias(first), F.when(F.col("_out"), F.col("_last")).alias(last))
     if borders:
-        marks = {m: F.col(c).isNotNull() & F.col(c).eqNullSafe(key) for m, c in ((HEAD, "_first"), (TAIL, "_last"))}
-        marked = kept.join(F.broadcast(edges), F.col(BLOCK) == F.col("_b")).withColumns(marks).drop("_b", "_first", "_last")
+        marks = {m: F.col(c).isNotNull() & F.col(c).eqNullSafe(key) for m, c in ((HEAD, first), (TAIL, last))}
+        marked = kept.join(F.broadcast(edges), F.col(BLOCK) == F.col(at)).withColumns(marks).drop(at, first, last)
     else:
         marked = kept.withColumns({HEAD: F.lit(False), TAIL: F.lit(False)})
     listed = df.sparkSession.createDataFrame(borders, "block int, prev int, run bigint") if borders else None

@@ -111,6 +111,22 @@ def test_nested_merge_against_recursion(spark):
         assert got_edges == sorted(want_edges)
 
 
+def test_nested_merge_of_one_graph_over_any_ranges(spark, ranges):
+    """The instances of one outer graph, so many that they fill several ranges."""
+    n = 300
+    table = spark.createDataFrame([(g, True) for g in range(n + 1)], "graph_id long, finalized boolean")
+    vertices = spark.createDataFrame([(0, v, v) for v in range(1, n + 1)] + [(g, 1, None) for g in range(1, n + 1)], "graph_id long, vertex long, nested long")
+    ports = vertices.select("graph_id", F.col("vertex").alias("port"), "vertex")
+    links = spark.createDataFrame([(0, v, v + 1, v + 1) for v in range(1, n)], "graph_id long, source long, target long, port long")
+    top = spark.createDataFrame([(0,)], "graph_id long")
+    nodes, edges = og.merge_nested(table, vertices, ports, links, top)
+    got = sorted((r.vertex, r.graph_id, r.local) for r in nodes.collect())
+    assert got == [(v, 0, v) for v in range(1, n + 1)] + [(n + v, v, 1) for v in range(1, n + 1)]
+    # Per nested graph its own port and then the connector, which joins it to its boundary.
+    got = sorted((r.source, r.target, r.port) for r in edges.collect())
+    assert got == sorted([(v, v + 1, v + 1) for v in range(1, n)] + [(v, n + v, n + 2 * v) for v in range(1, n + 1)])
+
+
 def peeled(vertices, edges):
     """Levels one by one."""
     inputs = {v: {s for s, t in edges if t == v} for v in vertices}

@@ -192,3 +192,11 @@ def test_scans_of_an_empty_table(spark, ranges):
     empty = spark.createDataFrame([], "k string, t long, i long, v long, d long")
     assert scans.running_total(empty, KEYS, ORDER, {"s": F.col("v")}).collect() == []
     assert scans.neighbours(empty, KEYS, ORDER, {"n": "v"}, 1).collect() == []
+
+
+def test_scans_take_any_column_names(df, data, ranges):
+    """Columns of the caller named like those that scans use for the ends of ranges."""
+    named = df.select("k", F.col("t").alias("_first"), F.col("i").alias("_last"), F.col("v").alias("_b"))
+    got = {r["_last"]: (r["_first"], r["_b"], r.rn) for r in scans.row_numbers(named, KEYS, ["_first", "_last"], "rn").collect()}
+    for group in by_key(data).values():
+        assert [got[r[2]] for r in group] == [(r[1], r[3], n) for n, r in enumerate(group, 1)]
