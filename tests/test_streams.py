@@ -219,6 +219,32 @@ def test_leases_end_by_their_own_deadline(spark, tmp_path):
     assert len([r for r in rows if r.transfer < 90]) == 6 and max(held) > held[-1]
 
 
+def test_leases_share_the_state_of_their_bundle(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tm, "BUNDLES", 4, raising=False)
+    n = 600
+    opened, closed = {}, {}
+    begins, closes = [[], [], [], []], [[], [], [], []]
+    for t in range(n):
+        opened[t] = 1_000 + t * 7 % 900 * 1_000
+        begins[t % 3].append((t, 1_000, opened[t]))
+        if t % 2:
+            closed[t] = 1_000 + t * 11 % 800 * 1_000
+            closes[t * 5 % 3].append((t, closed[t], "aborted" if t % 3 else "committed"))
+            closes[t * 5 % 3].append((t, closed[t] + 1_000, "again"))
+    for rows in (begins, closes):
+        rows[3].append((-1, 9_000_000, 9_000_000) if rows is begins else (-1, 9_000_000, "committed"))
+    begins.append([(-2, 9_000_000, 9_900_000)])
+    closes.append([(-2, 9_000_000, "committed")])
+    opens = windows_of(spark, str(tmp_path / "b"), begins, "transfer long, at long, deadline_ms long", "at")
+    ends = windows_of(spark, str(tmp_path / "c"), closes, "transfer long, closed_at long, how string", "closed_at")
+    rows, held = run(spark, tm.lease_outcomes(opens, ends, "3000 seconds"), str(tmp_path / "out"))
+    got = sorted((r.transfer, r.outcome) for r in rows if r.transfer >= 0)
+    want = {t: ("aborted" if t % 3 else "committed") if t in closed and closed[t] < opened[t] else tm.EXPIRED for t in opened}
+    assert got == sorted(want.items())
+    # State and timers by bundle, not by transfer.
+    assert max(held) <= 4 * 5
+
+
 def test_waits_end_by_their_own_timeout(spark, tmp_path):
     stored = spark.createDataFrame([(7, 500), (8, 2_000)], "id long, ms long").select("id", F.timestamp_millis("ms").alias("stored_at"))
     requests = [
