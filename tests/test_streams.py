@@ -91,6 +91,40 @@ def test_every_frame_has_an_outcome(spark, tmp_path):
     ])
 
 
+@pytest.mark.parametrize("finalise", ["end of axis", "whole artifact"])
+def test_transfers_share_the_state_of_their_bundle(spark, tmp_path, monkeypatch, finalise):
+    """Few calls of the state store: rows of it by bundle and part, not by frame. Parts so small that one call fills several."""
+    monkeypatch.setattr(tm, "BUNDLES", 2, raising=False)
+    monkeypatch.setattr(tr, "PART", 3_000, raising=False)
+    monkeypatch.setattr(tr, "KEEP", 3_000, raising=False)
+    rng, windows, want = random.Random(3), [[], [], []], {}
+    for i in range(24):
+        pieces = ["".join(rng.choices("abc", k=40)) for _ in range(12)]
+        text, t, fault = "".join(pieces), str(i), i % 4
+        frames = [frame(t, 1_000, 0, "begin", n=12, total=480, digest=sha(text)), *(frame(t, 1_000, j + 1, "chunk", j, p) for j, p in enumerate(pieces))]
+        frames.append(frame(t, 1_000, 13, "commit", digest=sha(text)))
+        if fault == 1:  # the seventh chunk has another one's hash
+            frames[7] = (*frames[7][:6], sha("other"), *frames[7][7:])
+        elif fault == 2:  # never committed
+            frames.pop()
+        elif fault == 3:  # the fifth and the sixth come twice
+            frames += frames[5:7]
+        for f in frames:
+            windows[rng.randrange(3)].append(f)
+        accepted = "accepted" if fault in (0, 3) or finalise == "end of axis" else tr.DROPPED
+        kept = range(1, 7) if fault == 1 else range(1, 13)
+        want[t] = [(0, "begin", "begun"), *((j, "chunk", accepted) for j in kept)]
+        want[t] += {1: [(7, "chunk", "failed: hash mismatch"), *((j, "chunk", tr.OVER) for j in range(8, 13)), (13, "commit", tr.OVER)],
+                    2: [(13, "lease", "failed: expired")]}.get(fault, [(13, "commit", "closed")])
+        want[t] += [(5, "chunk", tr.REPEATED), (6, "chunk", tr.REPEATED)] * (fault == 3)
+    for i in (4, 5):
+        windows.append([frame("z", 2_000_000 + i, 0, "abort")])
+    rows, held = run(spark, tr.transfer_outcomes(stream_of(spark, tmp_path, windows, "10 seconds"), finalise=finalise), str(tmp_path / "out"))
+    got = {t: sorted((r.seq, r.kind, r.outcome) for r in rows if r.transfer == t) for t in want}
+    assert got == {t: sorted(w) for t, w in want.items()}
+    assert max(held) < 24 * 12 / 4
+
+
 def test_hashes_are_computed_in_the_stream(spark, tmp_path):
     """A wrong chunk hash and right chunks under a wrong total, over windows that part a transfer."""
     d = sha("abcd")
