@@ -151,3 +151,25 @@ def test_vocabulary_with_one_word_in_a_third_of_the_tokens(spark, monkeypatch):
     assert {r.doc: r.text for r in os_.decode(tokens, ["doc"], vocab).collect()} == {i: " ".join(w) for i, w in texts.items()}
     known = vocab.filter("word <> 'the'")
     assert os_.encode(df, ["doc"], "text", known).count() == sum(w != "the" for ws in texts.values() for w in ws)
+
+
+def test_tokens_of_frequent_words_are_not_shuffled(spark):
+    """They stay in the task that split their text; positions of any type give the same texts."""
+    names = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {n: spark.conf.get(n) for n in names}
+    for n, value in names.items():
+        spark.conf.set(n, value)
+    try:
+        texts = {i: " ".join(f"w{(i * 7 + j * 3) % 50}" for j in range(40)) for i in range(20)}
+        df = spark.createDataFrame(list(texts.items()), "doc long, text string").repartition(5)
+        vocab = os_.vocabulary(df, "text", 3)
+        tokens = os_.encode(df, ["doc"], "text", vocab)
+        assert tokens.select("doc", F.spark_partition_id()).distinct().count() == 20
+        assert {r.doc: r.text for r in os_.decode(tokens, ["doc"], vocab).collect()} == texts
+        other = tokens.withColumn("pos", F.col("pos").cast("bigint") - 20)
+        assert {r.doc: r.text for r in os_.decode(other, ["doc"], vocab).collect()} == texts
+        other = tokens.withColumn("pos", F.col("pos") - 20)
+        assert {r.doc: r.text for r in os_.decode(other, ["doc"], vocab).collect()} == texts
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
